@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_classifier, op4_ngram_join, op5_decontamination, op8_secret_scans, op9_quality_rules
+from . import op1_quality_classifier, op4_ngram_join, op5_decontamination, op7_token_output, op8_secret_scans, op9_quality_rules
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_quality_classifier": op1_quality_classifier.query,
         "op4_ngram_join": op4_ngram_join.query,
         "op5_decontamination": op5_decontamination.query,
+        "op7_token_output": op7_token_output.query,
         "op8_secret_scans": op8_secret_scans.query,
         "op9_quality_rules": op9_quality_rules.query,
     }
