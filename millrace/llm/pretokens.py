@@ -46,7 +46,8 @@ def chunks(blk: Block, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     s, _, first = blk.words()
     doc = np.repeat(np.arange(blk.n), np.diff(first))
     at = np.maximum(s - 1, blk.doc_start[doc])
-    at = at[~odd_documents(blk, added)[doc]]
+    blk.odd = odd_documents(blk, added)
+    at = at[~blk.odd[doc]]
     live = blk.doc_end > blk.doc_start
     at = np.unique(np.concatenate([at, blk.doc_start[live]]))
     first = np.append(np.searchsorted(at, blk.doc_start), len(at))
@@ -58,7 +59,7 @@ def chunks(blk: Block, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
 
 def joinable(blk: Block, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Chunks of one blank and a word, which may be encoded as one text with others like them."""
-    two = e - s >= 2
+    two = (e - s >= 2) & ~blk.odd[np.searchsorted(blk.doc_start, s, "right") - 1]
     nxt = blk.data[np.minimum(s + 1, len(blk.data) - 1)]
     return two & IS_SPACE[blk.data[s]] & ~IS_SPACE[nxt]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_classifier, op4_ngram_join, op5_decontamination, op7_token_output, op8_secret_scans, op9_quality_rules
+from . import op1_quality_classifier, op10_bpe, op4_ngram_join, op5_decontamination, op7_token_output, op8_secret_scans, op9_quality_rules
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op7_token_output": op7_token_output.query,
         "op8_secret_scans": op8_secret_scans.query,
         "op9_quality_rules": op9_quality_rules.query,
+        "op10_bpe": op10_bpe.query,
     }
 
 
