@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import op1_quality_classifier, op10_bpe, op4_ngram_join, op5_decontamination, op7_token_output, op8_secret_scans, op9_quality_rules
+from . import op1_quality_classifier, op10_bpe, op3_chat_format, op4_ngram_join, op5_decontamination, op6_language_id, op7_token_output, op8_secret_scans, op9_quality_rules
 
 
 def queries():
     return {
         "op1_quality_classifier": op1_quality_classifier.query,
+        "op3_chat_format": op3_chat_format.query,
         "op4_ngram_join": op4_ngram_join.query,
         "op5_decontamination": op5_decontamination.query,
+        "op6_language_id": op6_language_id.query,
         "op7_token_output": op7_token_output.query,
         "op8_secret_scans": op8_secret_scans.query,
         "op9_quality_rules": op9_quality_rules.query,
