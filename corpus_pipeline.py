@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import op9_quality_rules
+from millrace.llm import op4_ngram_join, op5_decontamination, op8_secret_scans, op9_quality_rules, op10_bpe
 from millrace.llm.store import written
 
 STAGES = [
     ("quality_rules", op9_quality_rules.stage),
+    ("ngram_join", op4_ngram_join.stage),
+    ("decontamination", op5_decontamination.stage),
+    ("secret_scans", op8_secret_scans.stage),
+    ("bpe", op10_bpe.stage),
 ]
 
 #: The forest, MinHash and BPE have no SQL form; tests/llm compares with brute force.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_quality_classifier, op10_bpe, op3_chat_format, op4_ngram_join, op5_decontamination, op6_language_id, op7_token_output, op8_secret_scans, op9_quality_rules
+from . import op1_quality_classifier, op10_bpe, op2_toxicity, op3_chat_format, op4_ngram_join, op5_decontamination, op6_language_id, op7_token_output, op8_secret_scans, op9_quality_rules
 
 
 def queries():
     return {
         "op1_quality_classifier": op1_quality_classifier.query,
+        "op2_toxicity": op2_toxicity.query,
         "op3_chat_format": op3_chat_format.query,
         "op4_ngram_join": op4_ngram_join.query,
         "op5_decontamination": op5_decontamination.query,
