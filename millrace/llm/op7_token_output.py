@@ -28,6 +28,8 @@ from .store import scratch_path
 from .textcore import arrow_map, blocks, ragged, table
 
 SHARD_TOKENS = 1 << 20
+#: Chunks that the library gets as one text.
+PIECE = 256
 SHARDS = "part int, shard int, base bigint, n_tokens bigint, payload binary"
 
 
@@ -68,14 +70,17 @@ class LibraryEncoder:
     def new(self, blk, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         together = joinable(blk, s, e)
         n = e - s
-        joined = blk.data[ragged(s[together], n[together])].tobytes().decode()
-        flat = np.array(self.tok.encode(joined, add_special_tokens=False).ids, np.int64)
+        joined = blk.data[ragged(s[together], n[together])].tobytes()
+        cuts = np.append(0, np.cumsum(n[together]))
+        cuts = np.append(cuts[:-1:PIECE], cuts[-1]).tolist()
+        texts = [joined[a:z].decode() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        flat = np.array([i for x in self.tok.encode_batch_fast(texts, add_special_tokens=False) for i in x.ids], np.int64)
         lens = np.zeros(len(s), np.int64)
         bounds = np.searchsorted(np.append(0, np.cumsum(self.width[flat])), np.append(0, np.cumsum(n[together])))
         lens[together] = np.diff(bounds)
         raw = blk.data.tobytes()
         alone = np.flatnonzero(~together)
-        got = [x.ids for x in self.tok.encode_batch([raw[s[i] : e[i]].decode() for i in alone], add_special_tokens=False)]
+        got = [x.ids for x in self.tok.encode_batch_fast([raw[s[i] : e[i]].decode() for i in alone], add_special_tokens=False)]
         lens[alone] = [len(x) for x in got]
         out = np.zeros(int(lens.sum()), self.memo.store.dtype)
         at = np.append(0, np.cumsum(lens))[:-1]

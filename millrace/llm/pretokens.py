@@ -49,7 +49,10 @@ def chunks(blk: Block, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     blk.odd = odd_documents(blk, added)
     at = at[~blk.odd[doc]]
     live = blk.doc_end > blk.doc_start
-    at = np.unique(np.concatenate([at, blk.doc_start[live]]))
+    cut = np.zeros(len(blk.data), bool)
+    cut[at] = True
+    cut[blk.doc_start[live]] = True
+    at = np.flatnonzero(cut)
     first = np.append(np.searchsorted(at, blk.doc_start), len(at))
     ends = np.append(at[1:], len(blk.data))
     last = first[1:][live] - 1
@@ -67,7 +70,7 @@ def joinable(blk: Block, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 class Memo:
     """Ids of chunks by hash; of fixed size, later chunks take the places of earlier ones."""
 
-    def __init__(self, bits: int = 20, room: int = 12 << 20, dtype=np.uint16):
+    def __init__(self, bits: int = 21, room: int = 16 << 20, dtype=np.uint16):
         self.shift = np.uint64(64 - bits)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.starts = np.zeros(1 << bits, np.int64)
@@ -83,8 +86,11 @@ class Memo:
         start, length = self.starts[slot], self.lens[slot]
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
-            _, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[where]
+            order = np.argsort(h[miss])
+            new_key = np.append(True, np.diff(h[miss][order]) != 0)
+            one = miss[order[new_key]]
+            back = np.empty(len(miss), np.int64)
+            back[order] = np.cumsum(new_key) - 1
             ids, lens = new(blk, s[one], e[one])
             if self.used + len(ids) > len(self.store):
                 self.keys[:] = 0  # start afresh: known chunks of this block are encoded anew
