@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import BytePairEncoder
 from .lexicon import Lexicon, build
+from .store import drop, written
 from .textcore import arrow_map, blocks, table
 
 #: Words of the lexicon, at most, and the occurrences that a word of it has, at least.
@@ -69,8 +70,18 @@ def _count(batches):
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON, least: int = MIN_COUNT, text: str = "text") -> list[bytes]:
+    """The most frequent words: all at or above the lowest level of counts (16 levels for each factor of e) that at most ``limit`` words reach."""
     counted = arrow_map(docs.select(F.col(f"`{text}`").alias("text")), _count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(limit).collect()]
+    kept = written(counted.where(F.col("n") >= least).select("word", F.floor(F.ln("n") * 16).cast("int").alias("level")), "words")
+    levels = sorted(((r["level"], r["count"]) for r in kept.groupBy("level").count().collect()), reverse=True)  # some hundred rows
+    total, low = 0, None
+    for level, n in levels:
+        if (total := total + n) > limit:
+            break
+        low = level
+    words = [] if low is None else [bytes(r["word"]) for r in kept.where(F.col("level") >= low).collect()]  # at most limit rows
+    drop(kept)
+    return sorted(words)
 
 
 def compile_lexicon(words: list[bytes], tokenizer: str) -> bytes:
