@@ -139,7 +139,10 @@ class LanguageModel:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fits on doc_id, text, lang of the given documents."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)).alias("h"))
+    # a count of each language tells below which hash some more than enough of its rows lie
+    counts = F.broadcast(rows.groupBy("lang").agg((F.lit(float(1 << 40)) * 2.5 * per_language / F.count("*")).alias("below")))  # a row for each language
+    rows = rows.join(counts, "lang").where("h < below").drop("below")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = rows.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", F.col("lang").alias("own"))
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id").where("lang = own").select("text", "lang")  # per_language rows a language
