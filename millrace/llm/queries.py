@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import op1_quality_classifier, op10_bpe, op2_toxicity, op3_chat_format, op4_ngram_join, op5_decontamination, op6_language_id, op7_token_output, op8_secret_scans, op9_quality_rules
 
+from .oracles import SQL
+
 
 def queries():
     return {
@@ -21,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

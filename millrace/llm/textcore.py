@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 19
 SHINGLE = 5
@@ -226,5 +227,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
-    return [x or "" for x in batch.column(text).to_pylist()]
+def bounded_sample(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows with the smallest hashes of ``keys``.
+
+    A count first tells below which hash about twice as many rows lie, so no task
+    offers more than its share of those however many tasks there are.
+    """
+    total = rows.count()
+    h = F.xxhash64(*keys)
+    if total > 4 * n:
+        rows = rows.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2.5 * n / total) + 1)
+    return rows.orderBy(F.pmod(h, F.lit(1 << 40)), h, *keys).limit(n)

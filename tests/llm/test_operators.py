@@ -29,6 +29,7 @@ from millrace.llm import (
     wavelet,
 )
 from millrace.llm.components import components
+from millrace.llm.sketch import linked_roots
 from millrace.llm.store import scratch_path
 
 PATH = op10_bpe.tokenizer_path()
@@ -282,6 +283,21 @@ def test_floor_depth_meets_the_recall():
     assert 1 - (1 - 0.8**d) ** op4_ngram_join.TREES >= op4_ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** op4_ngram_join.TREES
 
 
+def test_climb_ties_what_plain_comparison_ties():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        base = rng.integers(0, 5, (6, 128))
+        sig = base[rng.integers(0, 6, 40)].astype(np.uint32)
+        sig[rng.random(sig.shape) < 0.12] += 7
+        sig[:, :4] = 1  # one subtree at the floor
+        path = sig[:, :8]
+        order = np.lexsort(path.T[::-1])
+        root = op4_ngram_join.climb(sig[order].astype(np.uint8), path[order], 80, 4)
+        agree = (sig[order][:, None, :] == sig[order][None, :, :]).sum(2) >= 80
+        u, v = np.nonzero(agree)
+        assert root.tolist() == linked_roots(40, u, v).tolist()
+
+
 def test_decontamination_against_brute_force(spark, odd, empty):
     rng = np.random.default_rng(2)
     items = [" ".join(f"q{rng.integers(10**6)}" for _ in range(n)) for n in (1, 3, 4, 5, 9, 20, 37, 59, 130)] + [None, "", "--"]
