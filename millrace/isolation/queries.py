@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
 from ..sources.tables import table
-from .store import VersionedTable
+from .sessions import Server
+from .store import Conflict, VersionedTable
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> VersionedTable:
@@ -84,6 +85,55 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(version=1)
 
 
+def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four clients at once; each has its own view of the same name."""
+    names = ["orders", "customer", "part", "supplier"]
+    server = Server(spark)
+
+    def request(name: str):
+        def run(s: SparkSession) -> DataFrame:
+            table(s, sf_dir, name).createOrReplaceTempView("mine")
+            return s.sql("select count(*) as n from mine")
+
+        return run
+
+    got = [(n, server.submit(request(n), n)) for n in names]
+    rows = [(n, f.result()[0]["n"]) for n, f in got]
+    server.close()
+    return spark.createDataFrame(rows, "client string, n bigint")
+
+
+def _race(change):
+    """Two transactions at once at each level: how many of them commit."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = []
+        for level in ("snapshot", "serializable"):
+            t = _customers(spark, sf_dir)
+            both = [t.begin(level), t.begin(level)]
+            for k, x in enumerate(both):
+                change(spark, x, k)
+            ok = 0
+            for x in both:
+                try:
+                    x.commit()
+                    ok += 1
+                except Conflict:
+                    pass
+            rows.append((level, ok))
+        return spark.createDataFrame(rows, "level string, commits bigint")
+
+    return run
+
+
+def _raise_balance(spark: SparkSession, x, k: int) -> None:
+    x.update(F.col("c_custkey") == 1, {"c_acctbal": F.col("c_acctbal") + 1})
+
+
+def _insert_what_was_read(spark: SparkSession, x, k: int) -> None:
+    x.insert(x.read().where("c_custkey = 1").withColumn("c_custkey", F.lit(-1 - k).cast("bigint")))
+
+
 #: Operations (txn, op, key, seq) of a history with a lost update, a write skew and a serial part.
 HISTORY = "values (1,'r','x',1),(2,'r','x',2),(1,'w','x',3),(2,'w','x',4),(3,'r','y',5),(4,'r','z',6),(3,'w','z',7),(4,'w','y',8),(5,'w','u',9),(6,'r','u',10),(6,'w','v',11),(7,'r','v',12)"
 #: Edges of the conflict graph (write-write, write-read, read-write), then transactions that reach themselves.
@@ -97,6 +147,9 @@ select distinct cast(a as bigint) as txn from r where a = b"""
 _BASE = "select c_custkey, c_nationkey, c_acctbal from customer"
 _NEW = "select s_suppkey + 1000000, s_nationkey, s_acctbal from supplier"
 QUERIES = {
+    "i1_concurrent_clients": (clients, "select 'orders' as client, count(*) as n from orders union all select 'customer', count(*) from customer union all select 'part', count(*) from part union all select 'supplier', count(*) from supplier"),
+    "k5_lost_update": (_race(_raise_balance), "select 'snapshot' as level, cast(1 as bigint) as commits union all select 'serializable', 1"),
+    "k6_write_skew": (_race(_insert_what_was_read), "select 'snapshot' as level, cast(2 as bigint) as commits union all select 'serializable', 1"),
     "k2_snapshot_read": (snapshot, _BASE),
     "k3_insert": (inserted, f"{_BASE} union all {_NEW} union all {_NEW}"),
     "k3_delete": (deleted, f"{_BASE} where not c_acctbal < 0"),

@@ -1,4 +1,8 @@
-"""Concurrent clients: a session, a fair scheduler pool and a job tag for each request."""
+"""Concurrent clients: a session, a scheduler pool and a job tag for each request.
+
+Pools share the cluster fairly where ``spark.scheduler.mode`` is FAIR.  Job tags are
+Spark's own, so cancelling one request leaves the others alone.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 
-from pyspark import InheritableThread  # noqa: F401  threads started by requests inherit their pool
 from pyspark.sql import DataFrame, SparkSession
 
 
