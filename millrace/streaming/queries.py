@@ -116,6 +116,18 @@ def processor_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(out, "update").groupBy("user_id").agg(F.max("n").alias("n"))
 
 
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink of our own: totals of each micro-batch, under the batch's id, so that a batch run again replaces itself."""
+    path = new_path(spark, "totals")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = events(spark, sf_dir).writeStream.option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    return spark.read.schema("event_type string, n bigint, batch int").parquet(path).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files in turn, the older days last: rows behind the watermark don't count."""
     src = new_path(spark, "late")
@@ -132,7 +144,6 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("window.start").cast(NTZ).alias("start"), "n")
 
 
-_DAY = "date_trunc('day', ts)"
 QUERIES = {
     "s6_file_stream": (file_stream, "select event_id, user_id from events where event_type = 'error'"),
     "t1_tumbling": (_windows("1 day"), "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n from events group by 1, 2"),
@@ -144,5 +155,6 @@ QUERIES = {
     "t7_processor": (processor_state, "select user_id, count(*) as n from events group by 1"),
     "t8_stream_static": (static_join, "select event_id, c_mktsegment from events join customer on user_id = c_custkey"),
     "t8_stream_stream": (stream_join, "select p.event_id as purchase, c.event_id as click from events p join events c on p.user_id = c.user_id and c.ts between p.ts - interval 1 hour and p.ts where p.event_type = 'purchase' and c.event_type = 'click'"),
+    "t10_foreach_batch": (batch_totals, "select event_type, count(*) as n from events group by 1"),
     "t9_late_data": (late_rows, "select time_bucket(interval 1 day, ts) as start, count(*) as n from events where ts >= timestamp '2024-01-15' group by 1 having time_bucket(interval 1 day, min(ts)) + interval 1 day <= (select max(ts) from events) - interval 1 hour"),
 }
