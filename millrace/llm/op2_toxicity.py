@@ -1,13 +1,13 @@
 """Toxicity: class-conditional Kneser-Ney models with shared backoff counts.
 
 Each class has a model of expressions (lower-case words between blanks and ASCII
-punctuation), counted once in each text.  A word's probability is its discounted count, and what the discounts
-free goes to the model of its first five bytes, whose counts are continuation counts
-(distinct words with that beginning), and from there to the first three, then to the
-corpus.  How a word shares in its beginning comes from counts over all documents,
-the same for both classes, so an expression that a class never had is judged by what
-its relatives tell.  Discounts are the modified Kneser-Ney ones, from the counts of
-counts.
+punctuation), counted once in each text.  A word's probability is its discounted
+count, and what the discounts free goes to the model of its first six bytes, whose
+counts are continuation counts (distinct words with that beginning), and from there
+to five, four and three bytes, then to the corpus.  How a word shares in its
+beginning comes from counts over all documents, the same for both classes, so an
+expression that a class never had is judged by what its relatives tell.  Discounts
+are the modified Kneser-Ney ones, from the counts of counts.
 
 A text's evidence is the log-likelihood ratio of its words: the mean over the text
 (length-normalised), and the means over its best run of ``RUN`` words and its best
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op1_quality_classifier import held_out
-from .textcore import Block, arrow_map, blocks, mix, segment_reduce, segment_sum, table
+from .store import drop, written
+from .textcore import Block, arrow_map, blocks, bounded_sample, mix, segment_reduce, segment_sum, table
 
 MAX_TOXIC, MAX_ORDINARY = 3000, 6000
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
-STEMS = (5, 3)
+STEMS = (6, 5, 4, 3)
+KINDS = 1 + len(STEMS)
 RUN = 4
 #: One labelled document in so many is left to the logistic regression.
 APART = 4
@@ -62,7 +64,7 @@ def expressions(raw: Block) -> Block:
 
 
 def keys(blk: Block) -> list[np.ndarray]:
-    """64-bit keys of all words and of their first five and three bytes."""
+    """64-bit keys of all words and of their beginnings."""
     s, e, _ = blk.words()
     return [blk.hash_spans(s, e), *(blk.hash_spans(s, np.minimum(e, s + k)) for k in STEMS)]
 
@@ -73,19 +75,19 @@ def slot(h: np.ndarray) -> np.ndarray:
 
 def _shared(batches):
     """Counts of words and their beginnings over all documents, by slot."""
-    seen = np.zeros((3, SLOTS), np.int64)
+    seen = np.zeros((KINDS, SLOTS), np.int64)
     for _, raw in blocks(batches):
         blk = expressions(raw)
         for k, h in enumerate(keys(blk)):
             seen[k] += np.bincount(slot(h), minlength=SLOTS)
-    for k in range(3):
+    for k in range(KINDS):
         at = np.flatnonzero(seen[k])
         yield pa.record_batch([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(seen[k][at])], names=["kind", "slot", "n"])
 
 
 def shared_counts(docs: DataFrame) -> np.ndarray:
-    got = arrow_map(docs.select("text"), _shared, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()  # 3 x SLOTS rows at most
-    out = np.ones((3, SLOTS))
+    got = arrow_map(docs.select("text"), _shared, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()  # KINDS x SLOTS rows at most
+    out = np.ones((KINDS, SLOTS))
     out[got["kind"], got["slot"]] += got["n"]
     return out
 
@@ -127,13 +129,13 @@ class Model:
     def ratios(self, hs: list[np.ndarray]) -> np.ndarray:
         """Log-likelihood ratio, toxic to ordinary, of words given by their keys."""
         s = [self.shared[k][slot(h)] for k, h in enumerate(hs)]
-        base = s[2] / self.shared[2].sum()  # the corpus's share of the shortest beginning
+        base = s[-1] / self.shared[-1].sum()  # the corpus's share of the shortest beginning
         out = []
         for levels in self.classes:
             p = base
-            for k in (2, 1, 0):
+            for k in reversed(range(KINDS)):
                 # the longer form's share in the shorter one, from the shared counts
-                p = levels[k].prob(hs[k]) + levels[k].freed * (p if k == 2 else p * np.minimum(s[k] / s[k + 1], 1.0))
+                p = levels[k].prob(hs[k]) + levels[k].freed * (p if k == KINDS - 1 else p * np.minimum(s[k] / s[k + 1], 1.0))
             out.append(np.log(p))
         return out[1] - out[0]
 
@@ -191,12 +193,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30)
     return np.append(w[0] - slopes @ mean, slopes)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first members of the distinct pairs (a, b)."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new]
+
+
 def sample(docs: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
     """text, toxic, apart of the bounded labelled sample."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(allowed(F.col("doc_id"))) if allowed is not None else rows
     rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    pick = lambda t, n: rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    pick = lambda t, n: bounded_sample(rows.where(F.col("toxic") == t), n, "doc_id")
     own = pick(1, MAX_TOXIC).unionAll(pick(0, MAX_ORDINARY)).withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(APART)) == 0)
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic", "apart").dropDuplicates(["text", "toxic"])  # bounded
 
@@ -213,25 +224,25 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
             hs, toxic = [h[once] for h in hs], b.column("toxic").to_numpy()[doc[once]]
             for t in (0, 1):
                 h, one, c = np.unique(hs[0][toxic == t], return_index=True, return_counts=True)
-                yield pa.record_batch([pa.array(np.full(len(h), t, np.int32)), *(pa.array(x[toxic == t][one].view(np.int64)) for x in hs), pa.array(c)], names=["toxic", "word", "a", "b", "n"])
+                yield pa.record_batch([pa.array(np.full(len(h), t, np.int32)), *(pa.array(x[toxic == t][one].view(np.int64)) for x in hs), pa.array(c)], names=["toxic", *forms, "n"])
 
-    counted = arrow_map(rows.where("not apart"), count, "toxic int, word bigint, a bigint, b bigint, n bigint")
-    got = counted.groupBy("toxic", "word", "a", "b").agg(F.sum("n").cast("int").alias("n")).toPandas()
+    forms = [f"form{k}" for k in range(KINDS)]
+    counted = arrow_map(rows.where("not apart"), count, "toxic int, " + "".join(f"{f} bigint, " for f in forms) + "n bigint")
+    summed = written(counted.groupBy("toxic", *forms).agg(F.sum("n").cast("int").alias("n")), "counts")
     classes = []
-    for t in (0, 1):
-        own = got[got["toxic"] == t]
-        h = [own[c].to_numpy().view(np.uint64) for c in ("word", "a", "b")]
-        levels = []
-        for k in range(3):
-            if k == 0:
-                key, inverse = np.unique(h[0], return_inverse=True)
-                c = np.bincount(inverse, own["n"].to_numpy(), minlength=len(key)).astype(np.int64)
-            else:  # continuation counts: distinct forms one level up
-                up = np.unique(np.column_stack([h[k], h[k - 1]]), axis=0)
-                key, c = np.unique(up[:, 0], return_counts=True)
+    for t in (0, 1):  # one class at a time, for the driver's memory
+        own = summed.where(F.col("toxic") == t).select(*forms, "n").toArrow()
+        h = [own.column(c).to_numpy().view(np.uint64) for c in forms]
+        order = np.argsort(h[0])
+        key, n = h[0][order], own.column("n").to_numpy()[order].astype(np.int64)
+        levels = [Level(key, n)]
+        for k in range(1, KINDS):  # continuation counts: distinct forms one level up
+            up = distinct_pairs(h[k], h[k - 1])
+            key, c = np.unique(up, return_counts=True)
             levels.append(Level(key, c))
         classes.append(levels)
-    del got
+    drop(summed)
+    del own, h, order, up
     model = Model(shared_counts(docs), classes)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
