@@ -114,9 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None
     return RuleEnsemble(b, [rules[j] for j in live], [float(w[j]) for j in live])
 
 
-def score(df: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
+def score(df: DataFrame, model: RuleEnsemble, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds the statistics, and score (0 to 1) and predicted (0 or 1)."""
-    return with_counts(df, text).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return with_counts(df, text, keep_text).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
@@ -126,4 +126,4 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), allowed=lambda c: ~held_out(c, 3, 1))
-    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")

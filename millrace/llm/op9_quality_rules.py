@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .forest import IsolationForest
 from .stats import COUNTS, RATIOS, arrow_counts, block_counts, ratios
-from .textcore import arrow_map, blocks, table
+from .textcore import arrow_map, blocks, bounded_sample, table
 
 #: Labelled rows that a fit looks at, at most: those with the smallest hashes.
 MAX_LABELLED = 8000
@@ -32,9 +32,9 @@ BAD_SHARE = 0.02
 CONTRACT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds COUNTS and RATIOS of the text; an input column of such a name is dropped."""
-    added = {*COUNTS, *RATIOS}
+def with_counts(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Adds COUNTS and RATIOS of the text; an input column of such a name is dropped, and so is the text if it isn't to be kept."""
+    added = {*COUNTS, *RATIOS} | ({text} if not keep_text else set())
     keep = [f for f in df.schema.fields if f.name not in added]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in RATIOS)])
     names = [f.name for f in keep]
@@ -45,7 +45,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
             r = ratios(c)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *arrow_counts(c, COUNTS), *(pa.array(r[:, k]) for k in range(len(RATIOS)))], names=[*names, *COUNTS, *RATIOS])
 
-    return arrow_map(df.select(*[F.col(f"`{n}`") for n in names]), run, schema)
+    return arrow_map(df.select(*[F.col(f"`{n}`") for n in names], *([] if keep_text else [F.col(f"`{text}`")])), run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed=None, limit: int = MAX_LABELLED) -> DataFrame:
@@ -53,13 +53,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed=None
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         rows = rows.where(allowed(F.col("doc_id")))
-    rows = rows.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
+    rows = bounded_sample(rows.select("doc_id", F.col(label).cast("int").alias("label")), limit, "doc_id", "label")
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # bounded by limit
 
 
 def sample_matrix(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], allowed=None, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    got = with_counts(labelled_sample(docs, labels, label, allowed, limit)).select("doc_id", "label", *columns).toPandas()
-    got = got.sort_values(["doc_id", "label", *columns], ignore_index=True).head(2 * limit)
+    got = with_counts(labelled_sample(docs, labels, label, allowed, limit), keep_text=False).select("doc_id", "label", *columns).limit(4 * limit).toPandas()
+    got = got.sort_values(["doc_id", "label", *columns], ignore_index=True)
     return got[columns].to_numpy(float), got["label"].to_numpy(int)
 
 
@@ -93,9 +93,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) ->
     return Rules(forest, limit_at)
 
 
-def judge(df: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
-    """Adds the CONTRACT counts, base_failed, anomaly and kept."""
-    added = {*CONTRACT, "base_failed", "anomaly", "kept"}
+def judge(df: DataFrame, rules: Rules, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Adds the CONTRACT counts, base_failed, anomaly and kept; leaves the text out if it isn't to be kept."""
+    added = {*CONTRACT, "base_failed", "anomaly", "kept"} | ({text} if not keep_text else set())
     keep = [f for f in df.schema.fields if f.name not in added]
     names = [f.name for f in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *(f"{c} bigint" for c in CONTRACT), "base_failed boolean, anomaly double, kept boolean"])
@@ -106,14 +106,13 @@ def judge(df: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
             failed, score, kept = rules.verdict(c)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *arrow_counts(c, CONTRACT), pa.array(failed), pa.array(score), pa.array(kept)], names=[*names, *CONTRACT, "base_failed", "anomaly", "kept"])
 
-    return arrow_map(df.select(*[F.col(f"`{n}`") for n in names]), run, schema)
+    return arrow_map(df.select(*[F.col(f"`{n}`") for n in names], *([] if keep_text else [F.col(f"`{text}`")])), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = fit_rules(docs, table(spark, sf_dir, "labels"))
-    # the text goes no further than the worker that counts it
-    return judge(docs.select("doc_id", "text"), rules).drop("text")
+    return judge(docs.select("doc_id", "text"), rules, keep_text=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
