@@ -2,14 +2,17 @@
 
 Each distinct text (by MD5) is one node.  Its signature of 128 minima is cut into
 ``TREES`` labels of ``DEPTH`` minima, a path in a prefix trie for each tree.  Two
-texts meet in a tree if their paths agree down to some depth.  How far the matched
-prefixes must be shortened follows from the wanted recall (``floor_depth``): a
-subtree at that depth is what a worker gets, sorted by the rest of the path, so that
-neighbours with the longest common prefix come first and shorter matches follow as
-the distance grows.  Pairs whose signatures agree too little (5 standard deviations
-below the similarity) go; the rest only tie texts into tight groups, as spanning
-links.  Within a group every pair is verified exactly, as a product of 0/1 shingle
-matrices, in blocks of ``BLOCK`` texts: pairs are counted, never emitted.
+texts meet in a tree if their paths agree down to some depth.  How far matched
+prefixes may have to be shortened follows from the wanted recall (``floor_depth``),
+and the subtree at that depth is what a worker gets.  It sorts the paths, which is the
+trie, and starts with the longest common prefixes: texts below one trie node whose
+signatures agree well enough (all but one in a million pairs of the similarity do) are
+tied together, then the prefix is shortened by one and only texts that are not tied
+yet are compared, and so on down to the floor, or until the subtree is one group.
+
+Groups only say which texts may be similar.  Within a group every pair is verified
+exactly, as a product of 0/1 shingle matrices, in blocks of ``BLOCK`` texts: pairs are
+counted, never emitted.
 
 Large subtrees and groups are split into pairs of blocks, each a task's unit of
 work, so no task holds an unbounded group; exact copies never meet at all.
@@ -80,41 +83,61 @@ def _tree_keys(depth: int):
                     k ^= k >> np.uint64(29)
                 keys[:, t] = k.view(np.int64)
             node = b.column("node")
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), node.take(pa.array(np.repeat(np.arange(len(sig)), TREES)))], names=["tree", "node"])
+            which = pa.array(np.tile(np.arange(TREES, dtype=np.int8), len(sig)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), which, node.take(pa.array(np.repeat(np.arange(len(sig)), TREES)))], names=["tree", "t", "node"])
 
     return run
 
 
-def _agreeing(low: int):
-    """Spanning links of the pairs in a unit whose signatures agree in ``low`` minima."""
+def climb(sig: np.ndarray, path: np.ndarray, low: int, floor: int) -> np.ndarray:
+    """Groups of one subtree: for each text the first text, in its order, that it is tied to.
+
+    ``path`` is in sorted order.  From the deepest trie nodes up, texts below one node
+    that aren't tied yet are compared.
+    """
+    root = np.arange(len(sig))
+    for depth in range(path.shape[1], floor - 1, -1):
+        if not root.any():  # one group
+            break
+        new = np.append(True, (path[1:, :depth] != path[:-1, :depth]).any(1))
+        starts = np.append(np.flatnonzero(new), len(path))
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            for r in range(s, e - 1):
+                apart = r + 1 + np.flatnonzero(root[r + 1 : e] != root[r])
+                if not len(apart):
+                    continue
+                for other in apart[(sig[apart] == sig[r]).sum(1) >= low]:
+                    a, b = root[r], root[other]
+                    if a != b:
+                        root[root == max(a, b)] = min(a, b)
+    return root
+
+
+def _agreeing(low: int, floor: int):
+    """Spanning links of the texts of a unit that the subtree's trie ties together."""
 
     def run(batches):
         key = ["tree", "i", "j"]
         for t in whole_groups(batches, key):
-            sig = matrix(t.column("sig").combine_chunks(), np.uint32, HASHES).astype(np.uint8)
+            full = matrix(t.column("sig").combine_chunks(), np.uint32, HASHES)
+            tree = t.column("t").to_numpy().astype(np.int64)
+            path = full[np.arange(len(full))[:, None], tree[:, None] * DEPTH + np.arange(DEPTH)]
+            sig = full.astype(np.uint8)
             starts = group_starts(t, key)
             size = np.diff(starts)
             group = np.repeat(np.arange(len(size)), size)
-            us, vs = [], []
-            small = (size <= 24)[group]
-            for step in range(1, int(min(size.max(), 24))):  # neighbours in the sorted trie, then farther ones
-                u = np.flatnonzero((group[:-step] == group[step:]) & small[:-step])
-                if len(u):
-                    hit = (sig[u] == sig[u + step]).sum(1) >= low
-                    us.append(u[hit])
-                    vs.append(u[hit] + step)
-            for g in np.flatnonzero(size > 24):
-                a = sig[starts[g] : starts[g + 1]]
-                for r in range(len(a)):
-                    hit = np.flatnonzero((a[r + 1 :] == a[r]).sum(1) >= low)
-                    us.append(np.full(len(hit), starts[g] + r))
-                    vs.append(starts[g] + r + 1 + hit)
-            if not us:
-                continue
-            root = linked_roots(t.num_rows, np.concatenate(us), np.concatenate(vs))
+            order = np.lexsort((*path.T[::-1], group))  # each subtree's trie, one after the other
+            sig, path = sig[order], path[order]
+            root = np.arange(t.num_rows)
+            pair = starts[:-1][size == 2]  # most subtrees are two texts
+            tied = pair[(sig[pair] == sig[pair + 1]).sum(1) >= low]
+            root[tied + 1] = tied
+            for g in np.flatnonzero(size > 2):
+                s, e = starts[g], starts[g + 1]
+                root[s:e] = s + climb(sig[s:e], path[s:e], low, floor)
             at = np.flatnonzero(root != np.arange(len(root)))
             node = t.column("node").combine_chunks()
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(root[at]))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(order[at])), node.take(pa.array(order[root[at]]))], names=["a", "b"])
 
     return run
 
@@ -153,7 +176,7 @@ def _verified(similarity: float):
         for t in whole_groups(batches, key):
             starts = group_starts(t, key)
             node, own = t.column("node").combine_chunks(), t.column("block").to_numpy()
-            i, j, copies = (t.column(c).to_numpy() for c in ("i", "j", "copies"))
+            i, j, copies, parts = (t.column(c).to_numpy() for c in ("i", "j", "copies", "parts"))
             raw = t.column("shingles").to_pylist()
             links, roots = np.zeros(t.num_rows, np.int64), np.arange(t.num_rows)
             for s, e in zip(starts[:-1], starts[1:], strict=True):
@@ -167,16 +190,16 @@ def _verified(similarity: float):
                 links[s:e] = hit @ copies[s:e]
                 u, v = np.nonzero(hit)
                 roots[s:e] = s + linked_roots(e - s, u, v)
-            yield pa.RecordBatch.from_arrays([node, pa.array(links), node.take(pa.array(roots))], names=["node", "links", "to"])
+            yield pa.RecordBatch.from_arrays([node, pa.array(links), node.take(pa.array(roots)), pa.array(parts == 1)], names=["node", "links", "to", "whole"])
 
     return run
 
 
 def _in_units(df: DataFrame, key: str, count: str) -> DataFrame:
-    """Deals the rows of each key out to pairs of blocks; adds block, i and j."""
+    """Deals the rows of each key out to pairs of blocks; adds parts (blocks of the key), block, i and j."""
     parts = F.ceil(F.col(count) / BLOCK).cast("int")
-    df = df.withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    df = df.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     df = df.select("*", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")).drop("_other", count)
     return df.repartition(F.col(key), F.col("i"), F.col("j")).sortWithinPartitions(key, "i", "j", "node")
 
@@ -189,10 +212,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     nodes = written(signed.groupBy("node").agg(F.min(F.struct("id", "has", "sig")).alias("first"), F.count("*").alias("copies")).select("node", F.col("first.id").alias("rep"), "first.has", "first.sig", "copies"), "nodes")
     depth, low = floor_depth(recall, similarity), least_agreement(similarity)
 
-    paths = arrow_map(nodes.where("has").select("node", "sig"), _tree_keys(depth), "tree bigint, node binary")
+    paths = arrow_map(nodes.where("has").select("node", "sig"), _tree_keys(depth), "tree bigint, t tinyint, node binary")
     met = paths.groupBy("tree").agg(F.count("*").alias("n")).where("n > 1")
     units = _in_units(paths.join(met, "tree").join(nodes.select("node", "sig"), "node"), "tree", "n")
-    maybe = components(arrow_map(units.select("tree", "i", "j", "node", "sig"), _agreeing(low), "a binary, b binary"), "a", "b")
+    maybe = components(arrow_map(units.select("tree", "i", "j", "t", "node", "sig"), _agreeing(low, depth), "a binary, b binary"), "a", "b")
     maybe = written(maybe, "groups")
 
     group = maybe.join(maybe.groupBy("root").agg(F.count("*").alias("n")), "root").join(nodes.select("node", "rep", "copies"), "node")
@@ -200,10 +223,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     texts = base.join(leads, F.expr("node = lead_node and id <=> lead_id"), "left_semi")
     sets = arrow_map(texts.select("node", "text"), _shingled, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     units = _in_units(group.select("root", "n", "node", "copies").join(sets, "node"), "root", "n")
-    verified = written(arrow_map(units, _verified(similarity), "node binary, links bigint, to binary"), "verified")
+    verified = written(arrow_map(units, _verified(similarity), "node binary, links bigint, to binary, whole boolean"), "verified")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(verified.select("node", "to"), "node", "to")
+    # a group that one unit holds is settled; links across units are joined up
+    classes = verified.where("whole").select("node", F.col("to").alias("root")).unionByName(components(verified.where("not whole"), "node", "to"))
     named = classes.join(nodes.select("node", "rep"), "node")
     lead = named.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("lead"))
     named = named.join(lead, "root").select("node", F.col("lead.node").alias("class_node"), F.col("lead.rep").alias("class_id"))
@@ -214,6 +238,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, nodes = near_duplicates(table(spark, sf_dir, "documents"))
+    nodes = written(nodes, "classes")  # so that both sides are dealt out anew and a hot text can be split
     return documents.join(nodes, "node").select(F.col("id").alias("doc_id"), "class_id", F.col("rep").alias("copy_id"), F.col("links").alias("n_links"))
 
 
