@@ -28,7 +28,7 @@ from .textcore import arrow_map, blocks, table
 LEXICON, MIN_COUNT = 1 << 15, 4
 #: Longer words stay out of the lexicon.
 MAX_BYTES = 32
-_SLOT_BITS = 18
+_SLOT_BITS = 19
 
 
 def tokenizer_path() -> str:
@@ -49,8 +49,8 @@ def _count(batches):
         h = blk.hash_spans(s, e)
         h, first, n = np.unique(h, return_index=True, return_counts=True)
         slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        slot, one = np.unique(slot, return_index=True)
-        rest = np.setdiff1d(np.arange(len(h)), one)
+        lead = np.append(True, slot[1:] != slot[:-1]) if len(slot) else np.zeros(0, bool)  # hashes are sorted, so slots are
+        slot, one, rest = slot[lead], np.flatnonzero(lead), np.flatnonzero(~lead)
         h1, n1, f1 = h[one], n[one], first[one]
         same = keys[slot] == h1
         counts[slot[same]] += n1[same]
