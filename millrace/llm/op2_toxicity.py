@@ -15,8 +15,10 @@ word, which a long text doesn't dilute.  Logistic regression on a part of the
 labelled rows that the counts left out turns the three into a score.
 
 Class counts come from at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents,
-those with the smallest hashes; the shared counts, over all documents, are kept in
-``SLOTS`` hashed counters each, which bounds the model whatever the corpus.
+those with the smallest hashes.  The shared counts are exact, over all documents: a
+table of words by 64-bit key and one of each length of beginning, as large as the
+vocabulary.  From these Spark computes the ratio of every word.  Workers hold those of
+the ``FREQUENT`` most frequent words; the others reach the texts they occur in by a join.
 
 Defined results: null and empty texts and texts without words have no evidence and
 get the score of a ratio of 0.  Without labels of both kinds every score is the share
@@ -25,22 +27,28 @@ of label 1 (0 if there are none).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op1_quality_classifier import held_out
-from .store import drop, written
+from .store import written
 from .textcore import Block, arrow_map, blocks, bounded_sample, mix, segment_reduce, segment_sum, table
 
 MAX_TOXIC, MAX_ORDINARY = 3000, 6000
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
+#: Words at most whose ratios every worker holds.
+FREQUENT = 1 << 20
+#: Words that a task gathers before it sends their counts on.
+GATHERED = 1 << 19
 STEMS = (6, 5, 4, 3)
 KINDS = 1 + len(STEMS)
+FORMS = [f"form{k}" for k in range(KINDS)]
+COUNTS = ["n", "a0", "a1"]  # occurrences in all documents; documents or forms of the ordinary and of the toxic class
+COUNTED = "".join(f"{f} bigint, " for f in FORMS) + "n bigint, a0 bigint, a1 bigint"
 RUN = 4
 #: One labelled document in so many is left to the logistic regression.
 APART = 4
@@ -69,89 +77,148 @@ def keys(blk: Block) -> list[np.ndarray]:
     return [blk.hash_spans(s, e), *(blk.hash_spans(s, np.minimum(e, s + k)) for k in STEMS)]
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def folded(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts of equal words, over as many parts as memory allows.
 
+    A part has the keys (KINDS x words) and the counts (COUNTS x words).
+    """
 
-def _shared(batches):
-    """Counts of words and their beginnings over all documents, by slot."""
-    seen = np.zeros((KINDS, SLOTS), np.int64)
-    for _, raw in blocks(batches):
-        blk = expressions(raw)
-        for k, h in enumerate(keys(blk)):
-            seen[k] += np.bincount(slot(h), minlength=SLOTS)
-    for k in range(KINDS):
-        at = np.flatnonzero(seen[k])
-        yield pa.record_batch([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(seen[k][at])], names=["kind", "slot", "n"])
+    def fold():
+        hs, n = (np.concatenate(x, axis=1) for x in zip(*held, strict=True))
+        order = np.argsort(hs[0])
+        key = hs[0][order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return hs[:, order[new]], np.add.reduceat(n[:, order], new, axis=1)
 
+    def batch(hs, n):
+        return pa.record_batch([pa.array(x.view(np.int64)) for x in (*hs, *n)], names=[*FORMS, *COUNTS])
 
-def shared_counts(docs: DataFrame) -> np.ndarray:
-    got = arrow_map(docs.select("text"), _shared, "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()  # KINDS x SLOTS rows at most
-    out = np.ones((KINDS, SLOTS))
-    out[got["kind"], got["slot"]] += got["n"]
-    return out
+    held, size = [], 0
+    for hs, n in parts:
+        if not hs.shape[1]:
+            continue
+        held.append((hs, n))
+        size += hs.shape[1]
+        if size > GATHERED:
+            held = [fold()]
+            size = held[0][0].shape[1]
+            if size > GATHERED // 2:
+                yield batch(*held[0])
+                held, size = [], 0
+    if held:
+        yield batch(*fold())
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """Forms of all words of the documents and their occurrences; a word may have several rows."""
+
+    def count(batches):
+        def parts():
+            for _, raw in blocks(batches):
+                hs = keys(expressions(raw))
+                _, one, n = np.unique(hs[0], return_index=True, return_counts=True)
+                yield np.stack([h[one] for h in hs]), np.stack([n, 0 * n, 0 * n])
+
+        yield from folded(parts())
+
+    return arrow_map(docs.select("text"), count, COUNTED)
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """Forms of the words of labelled texts and the texts of each class that have them."""
+
+    def count(batches):
+        def parts():
+            for b, raw in blocks(batches):
+                blk = expressions(raw)
+                hs = keys(blk)
+                doc = np.repeat(np.arange(blk.n), np.diff(blk.words()[2]))
+                _, once = np.unique(mix(hs[0] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                toxic = b.column("toxic").to_numpy()[doc[once]]
+                yield np.stack([h[once] for h in hs]), np.stack([0 * once, (toxic == 0).astype(np.int64), (toxic == 1).astype(np.int64)])
+
+        yield from folded(parts())
+
+    return arrow_map(rows.select("text", "toxic"), count, COUNTED)
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def discounts(counts: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
-    n = [max(int((counts == k).sum()), 1) for k in range(1, 5)]
+    n = [max(int(times[counts == k].sum()), 1) for k in range(1, 5)]
     y = n[0] / (n[0] + 2 * n[1])
     return np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0, 0.05, 0.1, 0.15], [0, 0.98, 1.9, 2.8])
 
 
 @dataclass
 class Level:
-    """Counts of one level for one class, by sorted key."""
+    """Discounts of one level for one class, from its counts.
+
+    With ``times`` a count stands for so many keys.
+    """
 
     key: np.ndarray
     count: np.ndarray
+    times: np.ndarray | None = None
 
     def __post_init__(self):
-        d = discounts(self.count)
-        self.total = max(float(self.count.sum()), 1.0)
-        self.left = np.maximum(self.count - d[np.minimum(self.count, 3)], 0) / self.total
-        self.freed = max(float(d[np.minimum(self.count, 3)].sum()) / self.total, 1e-6) if len(self.count) else 1.0
-
-    def prob(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
-        return np.where(self.key[at] == h, self.left[at], 0.0)
+        times = np.ones(len(self.count), np.int64) if self.times is None else self.times
+        self.d = discounts(self.count, times)
+        d = self.d[np.minimum(self.count, 3).astype(int)]
+        self.total = max(float((self.count * times).sum()), 1.0)
+        self.left = np.maximum(self.count - d, 0) / self.total
+        self.freed = max(float((d * times).sum()) / self.total, 1e-6) if len(self.count) else 1.0
+
+    def prob(self, count: Column) -> Column:
+        """What is left of a count, as a probability."""
+        d = [float(x) for x in self.d]
+        less = F.when(count >= 3, d[3]).when(count == 2, d[2]).when(count == 1, d[1]).otherwise(0.0)
+        return F.greatest(count - less, F.lit(0.0)) / self.total
+
+
+def levels_of(words: DataFrame) -> list[DataFrame]:
+    """Written tables of words and of each length of beginning, with COUNTS.
+
+    For beginnings the classes have continuation counts: distinct forms one level up.
+    """
+    out = [written(words.groupBy(*FORMS).agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")]
+    for k in range(1, KINDS):
+        up = out[-1].groupBy(*FORMS[k:]).agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in COUNTS[1:]))
+        out.append(written(up, f"beginnings{STEMS[k - 1]}"))
+    return out
 
 
 @dataclass
 class Model:
-    shared: np.ndarray
-    classes: list[list[Level]]  #: ordinary, toxic; words first, then the beginnings
+    tables: list[DataFrame]  #: words first, then the beginnings
+    classes: list[list[Level]]  #: ordinary, toxic
+    base: float  #: what the shares of the shortest beginnings are of
+    known: DataFrame | None = None  #: form0, n and ratio of all words of the documents learned from
     weights: np.ndarray | None = None  #: intercept and a weight for each feature
     share: float = 0.0
 
-    def ratios(self, hs: list[np.ndarray]) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of words given by their keys."""
-        s = [self.shared[k][slot(h)] for k, h in enumerate(hs)]
-        base = s[-1] / self.shared[-1].sum()  # the corpus's share of the shortest beginning
+    def ratios(self, tables: list[DataFrame]) -> DataFrame:
+        """form0, own and ratio: log-likelihood ratios, toxic to ordinary, of words given with their beginnings' counts."""
+        below = None
+        for k in reversed(range(KINDS)):
+            t, s = tables[k], F.col("n") + 1
+            if below is None:  # the corpus's share of the shortest beginning
+                shares = [s / self.base] * 2
+            else:  # the longer form's share in the shorter one, from the shared counts
+                t = t.join(below, FORMS[k + 1])
+                shares = [F.col(f"p{c}") * s / F.col("s") for c in (0, 1)]
+            p = [level[k].prob(F.col(f"a{c}")) + level[k].freed * shares[c] for c, level in enumerate(self.classes)]
+            if k:
+                below = t.select(FORMS[k], s.alias("s"), *(x.alias(f"p{c}") for c, x in enumerate(p)))
+        return t.select("form0", F.col("own" if "own" in t.columns else "n").alias("own"), (F.log(p[1]) - F.log(p[0])).alias("ratio"))
+
+    def ratios_of(self, docs: DataFrame) -> DataFrame:
+        """The same for all words of any documents; what was not learned from counts as 0."""
+        own = written(vocabulary(docs).groupBy(*FORMS).agg(F.sum("n").alias("own")), "own")
         out = []
-        for levels in self.classes:
-            p = base
-            for k in reversed(range(KINDS)):
-                # the longer form's share in the shorter one, from the shared counts
-                p = levels[k].prob(hs[k]) + levels[k].freed * (p if k == KINDS - 1 else p * np.minimum(s[k] / s[k + 1], 1.0))
-            out.append(np.log(p))
-        return out[1] - out[0]
-
-    def features(self, raw: Block, memo: Memo | None = None) -> np.ndarray:
-        blk = expressions(raw)
-        hs = keys(blk)
-        first = blk.words()[2]
-        r = memo.ratios(self, hs) if memo is not None else self.ratios(hs)
-        n = np.diff(first)
-        mean = segment_sum(r, first) / np.maximum(n, 1)
-        best = segment_reduce(np.maximum, r, first, 0.0)
-        c = np.append(0, np.cumsum(r))
-        doc_end = np.repeat(first[1:], n)
-        to = np.minimum(np.arange(len(r)) + RUN, doc_end)
-        run = segment_reduce(np.maximum, (c[to] - c[:-1]) / RUN, first, 0.0)
-        return np.column_stack([mean, run, best])
+        for k, t in enumerate(self.tables):
+            forms = own if k == 0 else own.select(*FORMS[k:]).distinct()
+            out.append(forms.join(t.select(FORMS[k], *COUNTS), FORMS[k], "left").na.fill(0, COUNTS))
+        return written(self.ratios(out), "ratios")
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -159,6 +226,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -40, 40)))
 
 
+def features(blk: Block, r: np.ndarray) -> np.ndarray:
+    """Means over a text, its best run and its best word, from the ratios of all words."""
+    first = blk.words()[2]
+    n = np.diff(first)
+    mean = segment_sum(r, first) / np.maximum(n, 1)
+    best = segment_reduce(np.maximum, r, first, 0.0)
+    c = np.append(0, np.cumsum(r))
+    doc_end = np.repeat(first[1:], n)
+    to = np.minimum(np.arange(len(r)) + RUN, doc_end)
+    run = segment_reduce(np.maximum, (c[to] - c[:-1]) / RUN, first, 0.0)
+    return np.column_stack([mean, run, best])
+
+
+@dataclass
+class Words:
+    """Ratios by sorted key."""
+
+    key: np.ndarray
+    ratio: np.ndarray
+
+    @staticmethod
+    def of(key: np.ndarray, ratio: np.ndarray) -> Words:
+        key, one = np.unique(key.astype(np.int64, copy=False).view(np.uint64), return_index=True)
+        return Words(key, ratio[one])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios, and which of the words are there."""
+        if not len(self.key):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        return self.ratio[at], self.key[at] == h
+
+
 class Memo:
     """Ratios of words that a worker has met, by hash; of fixed size."""
 
@@ -167,19 +267,70 @@ class Memo:
         self.key = np.zeros(1 << bits, np.uint64)
         self.value = np.zeros(1 << bits)
 
-    def ratios(self, model: Model, hs: list[np.ndarray]) -> np.ndarray:
-        at = (hs[0] >> self.shift).astype(np.int64)
+    def ratios(self, h: np.ndarray, *known: Words) -> np.ndarray:
+        at = (h >> self.shift).astype(np.int64)
         out = self.value[at]
-        miss = np.flatnonzero(self.key[at] != hs[0])
+        miss = np.flatnonzero(self.key[at] != h)
         if len(miss):
-            _, where, back = np.unique(hs[0][miss], return_index=True, return_inverse=True)
-            one = miss[where]
-            new = model.ratios([h[one] for h in hs])
-            self.key[at[one]], self.value[at[one]] = hs[0][one], new
+            one, back = np.unique(h[miss], return_inverse=True)
+            new, there = np.zeros(len(one)), np.zeros(len(one), bool)
+            for words in known:
+                r, has = words.find(one)
+                new, there = np.where(has, r, new), there | has
+            if not there.all():
+                raise LookupError("a text has words without a ratio")
+            at = at[miss]
+            self.key[at], self.value[at] = h[miss], new[back]
             out[miss] = new[back]
         return out
 
 
+def frequent(ratios: DataFrame) -> tuple[Words, bool]:
+    """The most frequent words, by a level of their counts, and whether these are all."""
+    level = F.floor(F.log2(F.greatest(F.col("own"), F.lit(1)).cast("double"))).cast("int")
+    rows = {r["level"]: r["n"] for r in ratios.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # 64 at most
+    least, total = 64, 0
+    for k in sorted(rows, reverse=True):
+        if total + rows[k] > FREQUENT:
+            break
+        least, total = k, total + rows[k]
+    got = ratios.where(level >= least).select("form0", "ratio").toArrow()  # FREQUENT at most
+    return Words.of(got["form0"].to_numpy(), got["ratio"].to_numpy()), total == sum(rows.values())
+
+
+def measured(docs: DataFrame, ratios: DataFrame, finish, schema: str) -> DataFrame:
+    """finish(batch, features) of all documents, given the ratios of all their words."""
+    words, whole = frequent(ratios)
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def rare(batches):
+        for b, raw in blocks(batches):
+            blk = expressions(raw)
+            s, e, first = blk.words()
+            h = blk.hash_spans(s, e)
+            at = np.flatnonzero(~held.value.find(h)[1])
+            doc = np.repeat(np.arange(blk.n), np.diff(first))[at]
+            _, once = np.unique(mix(h[at] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            yield pa.record_batch([b.column("_key").take(pa.array(doc[once])), pa.array(h[at[once]].view(np.int64))], names=["_key", "form0"])
+
+    def run(batches):
+        memo, none = Memo(), Words(np.zeros(0, np.uint64), np.zeros(0))
+        for b, raw in blocks(batches):
+            blk = expressions(raw)
+            s, e, _ = blk.words()
+            more = none
+            if "_more" in b.schema.names:
+                got = b.column("_more").flatten()
+                more = Words.of(got.field("form0").to_numpy(), got.field("ratio").to_numpy())
+            yield finish(b, features(blk, memo.ratios(blk.hash_spans(s, e), held.value, more)))
+
+    if not whole:
+        docs = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        found = arrow_map(docs.select("_key", "text"), rare, "_key bigint, form0 bigint").join(ratios.select("form0", "ratio"), "form0")
+        docs = docs.join(found.groupBy("_key").agg(F.collect_list(F.struct("form0", "ratio")).alias("_more")), "_key", "left")
+    return arrow_map(docs, run, schema)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
     """Newton's method on standardised features."""
     mean, std = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -193,88 +344,62 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30)
     return np.append(w[0] - slopes @ mean, slopes)
 
 
-def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first members of the distinct pairs (a, b)."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new]
-
-
-def sample(docs: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
     """text, toxic, apart of the bounded labelled sample."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(allowed(F.col("doc_id"))) if allowed is not None else rows
     rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     pick = lambda t, n: bounded_sample(rows.where(F.col("toxic") == t), n, "doc_id")
-    own = pick(1, MAX_TOXIC).unionAll(pick(0, MAX_ORDINARY)).withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(APART)) == 0)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic", "apart").dropDuplicates(["text", "toxic"])  # bounded
+    own = pick(1, MAX_TOXIC).unionAll(pick(0, MAX_ORDINARY))
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"]).withColumn("apart", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(APART)) == 0)  # bounded
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
-    rows = sample(docs, labels, allowed)
-
-    def count(batches):
-        for b, raw in blocks(batches):
-            blk = expressions(raw)
-            hs = keys(blk)
-            doc = np.repeat(np.arange(blk.n), np.diff(blk.words()[2]))
-            _, once = np.unique(mix(hs[0] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            hs, toxic = [h[once] for h in hs], b.column("toxic").to_numpy()[doc[once]]
-            for t in (0, 1):
-                h, one, c = np.unique(hs[0][toxic == t], return_index=True, return_counts=True)
-                yield pa.record_batch([pa.array(np.full(len(h), t, np.int32)), *(pa.array(x[toxic == t][one].view(np.int64)) for x in hs), pa.array(c)], names=["toxic", *forms, "n"])
-
-    forms = [f"form{k}" for k in range(KINDS)]
-    counted = arrow_map(rows.where("not apart"), count, "toxic int, " + "".join(f"{f} bigint, " for f in forms) + "n bigint")
-    summed = written(counted.groupBy("toxic", *forms).agg(F.sum("n").cast("int").alias("n")), "counts")
-    classes = []
-    for t in (0, 1):  # one class at a time, for the driver's memory
-        own = summed.where(F.col("toxic") == t).select(*forms, "n").toArrow()
-        h = [own.column(c).to_numpy().view(np.uint64) for c in forms]
-        order = np.argsort(h[0])
-        key, n = h[0][order], own.column("n").to_numpy()[order].astype(np.int64)
-        levels = [Level(key, n)]
-        for k in range(1, KINDS):  # continuation counts: distinct forms one level up
-            up = distinct_pairs(h[k], h[k - 1])
-            key, c = np.unique(up, return_counts=True)
-            levels.append(Level(key, c))
-        classes.append(levels)
-    drop(summed)
-    del own, h, order, up
-    model = Model(shared_counts(docs), classes)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def weigh(batches):
-        for b, raw in blocks(batches):
-            x = held.value.features(raw)
-            yield pa.record_batch([b.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "x0", "x1", "x2"])
-
-    x = arrow_map(rows.where("apart"), weigh, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
+    rows = labelled(docs, labels, allowed)
+    tables = levels_of(vocabulary(docs).unionAll(class_counts(rows.where("not apart"))))
+    sums = None
+    for k, t in enumerate(tables):  # counts of counts: 5 rows a level and class
+        a = t.select(F.lit(k).alias("kind"), F.expr("stack(2, 0, a0, 1, a1) as (toxic, a)")).where("a > 0")
+        a = a.groupBy("kind", "toxic", F.least("a", F.lit(5)).alias("count")).agg(F.count("*").alias("times"), F.sum("a").alias("total"))
+        sums = a if sums is None else sums.unionAll(a)
+    sums = sums.toPandas()
+    classes = [[], []]
+    for t in (0, 1):
+        for k in range(KINDS):
+            own = sums[(sums["toxic"] == t) & (sums["kind"] == k)].sort_values("count")
+            n = own["times"].to_numpy(np.int64)
+            classes[t].append(Level(own["count"].to_numpy(), own["total"].to_numpy(float) / n, n))
+    short = tables[-1].agg(F.sum(F.col("n") + 1).alias("n")).first()["n"] or 0
+    model = Model(tables, classes, float(short + 1))
+    model.known = written(model.ratios(tables), "ratios")
+
+    def weigh(b, x):
+        return pa.record_batch([b.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "x0", "x1", "x2"])
+
+    x = measured(rows.where("apart").select("text", "toxic"), model.known, weigh, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
     y = x["toxic"].to_numpy(float)
     model.share = float(y.mean()) if len(y) else 0.0
     if len(y) and 0 < y.mean() < 1:
         model.weights = logistic(x[["x0", "x1", "x2"]].to_numpy(), y)
-    held.unpersist()
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id_col, score, predicted, and the mean log-likelihood ratio of each text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", learned: bool = False) -> DataFrame:
+    """id_col, score, predicted, and the mean log-likelihood ratio of each text.
 
-    def run(batches):
-        memo = Memo()
-        for b, raw in blocks(batches):
-            x = held.value.features(raw, memo)
-            s = held.value.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 0])], names=[id_col, "score", "predicted", "mean_ratio"])
+    ``learned``: the model was learned from these documents, so it knows all their words.
+    """
+    docs = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("text"))
+    weights = Model([], [], 0.0, None, model.weights, model.share)  # without what only the driver has
+
+    def finish(b, x):
+        s = weights.score(x)
+        return pa.RecordBatch.from_arrays([b.column(id_col), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 0])], names=[id_col, "score", "predicted", "mean_ratio"])
 
-    return arrow_map(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("text")), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, mean_ratio double")
+    return measured(docs, model.known if learned else model.ratios_of(docs), finish, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, mean_ratio double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"), allowed=lambda c: ~held_out(c, 5, 0))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "mean_ratio")
+    return score(docs, model, learned=True).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "mean_ratio")

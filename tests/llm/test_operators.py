@@ -177,6 +177,56 @@ def test_toxicity(spark, docs, labels, odd, empty, no_labels):
     assert {r["score"] for r in op2_toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def ratio_by_hand(texts, counted):
+    """Log-likelihood ratios of all words; counted: (text, toxic) of the class counts."""
+    forms = lambda w: [w, *(w[:k] for k in op2_toxicity.STEMS)]
+    shared = [{} for _ in range(5)]
+    for t in texts:
+        for w in words(t):
+            for k, f in enumerate(forms(w)):
+                shared[k][f] = shared[k].get(f, 0) + 1
+    p = {}
+    for t in (0, 1):
+        seen = [w for text, toxic in counted if toxic == t for w in set(words(text))]
+        counts = [{w: seen.count(w) for w in set(seen)}]
+        for k in range(1, 5):
+            pairs = {(forms(w)[k], forms(w)[k - 1]) for w in seen}
+            counts.append({f: sum(a == f for a, _ in pairs) for f in {a for a, _ in pairs}})
+        for w in shared[0]:
+            f = forms(w)
+            s = [shared[k][f[k]] + 1 for k in range(5)]
+            q = s[4] / (sum(shared[4].values()) + len(shared[4]) + 1)
+            for k in range(4, -1, -1):
+                c = np.array(list(counts[k].values()), int)
+                n = [max(int((c == j).sum()), 1) for j in range(1, 5)]
+                y = n[0] / (n[0] + 2 * n[1])
+                d = np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0, 0.05, 0.1, 0.15], [0, 0.98, 1.9, 2.8])
+                own = counts[k].get(f[k], 0)
+                q = max(own - d[min(own, 3)], 0) / c.sum() + d[np.minimum(c, 3)].sum() / c.sum() * (q if k == 4 else q * s[k] / s[k + 1])
+            p[w, t] = q
+    return {w: np.log(p[w, 1] / p[w, 0]) for w in shared[0]}
+
+
+@pytest.mark.parametrize("frequent", [None, 40])
+def test_toxicity_ratios_by_brute_force(spark, monkeypatch, frequent):
+    """With few frequent words, most reach the texts by a join."""
+    if frequent:
+        monkeypatch.setattr(op2_toxicity, "FREQUENT", frequent)
+    rng = np.random.default_rng(8)
+    stock = ["".join(rng.choice(list("abcd"), rng.integers(2, 10))) for _ in range(300)]
+    texts = [" ".join(rng.choice(stock, 12)) + f" only{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    rows = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "doc_id bigint, text string, toxic int")
+    docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "toxic").where("doc_id < 90")
+    counted = [(r["text"], r["toxic"]) for r in op2_toxicity.labelled(docs, labels).where("not apart").collect()]
+    want = ratio_by_hand(texts, counted)
+    model = op2_toxicity.learn(docs, labels)
+    for learned in (True, False):
+        got = {r["doc_id"]: r["mean_ratio"] for r in op2_toxicity.score(docs, model, learned=learned).collect()}
+        assert len(got) == len(texts)
+        for k, t in enumerate(texts):
+            assert got[k] == pytest.approx(np.mean([want[w] for w in words(t)]))
+
+
 def test_kneser_ney_mass_is_conserved():
     rng = np.random.default_rng(3)
     counts = rng.zipf(1.5, 400).clip(1, 50)
