@@ -14,8 +14,8 @@ A text's evidence is the log-likelihood ratio of its words: the mean over the te
 word, which a long text doesn't dilute.  Logistic regression on a part of the
 labelled rows that the counts left out turns the three into a score.
 
-Class counts come from at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents,
-those with the smallest hashes.  The shared counts are exact, over all documents: a
+Class counts come from all labelled documents but those left to the regression: one in
+``APART``, and of about ``MAX_TOXIC`` and ``MAX_ORDINARY`` texts at most.  The shared counts are exact, over all documents: a
 table of words by 64-bit key and one of each length of beginning, as large as the
 vocabulary.  From these Spark computes the ratio of every word.  Workers hold those of
 the ``FREQUENT`` most frequent words; the others reach the texts they occur in by a join.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .op1_quality_classifier import held_out
 from .store import written
-from .textcore import Block, arrow_map, blocks, bounded_sample, mix, segment_reduce, segment_sum, table
+from .textcore import Block, arrow_map, blocks, mix, segment_reduce, segment_sum, table
 
 MAX_TOXIC, MAX_ORDINARY = 3000, 6000
 #: Words at most whose ratios every worker holds.
@@ -345,13 +345,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
-    """text, toxic, apart of the bounded labelled sample."""
-    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    """text, toxic, apart of all labelled rows, each text once for a label; about MAX_TOXIC and MAX_ORDINARY / APART are apart."""
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.where(allowed(F.col("doc_id"))) if allowed is not None else rows
     rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    pick = lambda t, n: bounded_sample(rows.where(F.col("toxic") == t), n, "doc_id")
-    own = pick(1, MAX_TOXIC).unionAll(pick(0, MAX_ORDINARY))
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"]).withColumn("apart", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(APART)) == 0)  # bounded
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    own = written(hashed.join(rows, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled")  # ids only
+    n = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    below = lambda t, most: int((1 << 40) / APART * min(1.0, most / max(n.get(t, 0), 1)))
+    apart = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 40)) < F.when(F.col("toxic") == 1, below(1, MAX_TOXIC)).otherwise(below(0, MAX_ORDINARY))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(own, ["doc_id", "h"])
+    return texts.dropDuplicates(["doc_id", "h", "toxic"]).select("text", "toxic", apart.alias("apart"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:

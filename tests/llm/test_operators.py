@@ -227,6 +227,17 @@ def test_toxicity_ratios_by_brute_force(spark, monkeypatch, frequent):
             assert got[k] == pytest.approx(np.mean([want[w] for w in words(t)]))
 
 
+def test_toxicity_counts_all_labelled_texts(spark, monkeypatch):
+    """Beyond the limits only the rows of the regression are bounded."""
+    monkeypatch.setattr(op2_toxicity, "MAX_TOXIC", 20)
+    monkeypatch.setattr(op2_toxicity, "MAX_ORDINARY", 40)
+    rows = spark.createDataFrame([(k, f"text {k % 900}", k % 2) for k in range(1000)] + [(5, "text 5", 1)], "doc_id bigint, text string, toxic int")
+    got = op2_toxicity.labelled(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), lambda c: c < 950).collect()
+    assert sorted((r["text"], r["toxic"]) for r in got) == sorted((f"text {k}", k % 2) for k in range(900))
+    apart = [r["toxic"] for r in got if r["apart"]]
+    assert 0 < len(apart) < 45 and sum(r["toxic"] == 1 and not r["apart"] for r in got) > 400
+
+
 def test_kneser_ney_mass_is_conserved():
     rng = np.random.default_rng(3)
     counts = rng.zipf(1.5, 400).clip(1, 50)
