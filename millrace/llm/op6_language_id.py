@@ -1,13 +1,21 @@
 """Language identification: family first, then one-versus-one linear SVMs within it.
 
-Features are hashed byte trigrams of the letters of the whole text, as shares of all
+Features are hashed byte trigrams around the letters of the whole text, as shares of all
 its trigrams, so a linear score is the mean of the trigrams' weights and no feature
-vector is built when scoring.  Families are separated one against another by linear
-SVMs, and so are the languages of a family; votes decide, then margins.
-
-At most ``PER_LANGUAGE`` documents of each language are fitted on, those with the
-smallest hashes.  Defined results: ``und`` with score 0 for null texts and texts
-without a letter; if nothing could be learned every prediction is ``und``.
+vector is built when scoring.  Weights are whole numbers of a unit, so their sums are
+exact and a text's prediction doesn't depend on what is read beside it.  Families are
+separated one against another by linear SVMs, and so are the languages of a family, whose
+duels are fought for the texts of that family only; votes decide, then margins.
+
+The fit takes the documents with the smallest hashes: ``PER_LANGUAGE`` of each language and
+``MAX_ROWS`` in all at most, which bounds what the driver gets; more than ``MAX_LANGUAGES``
+languages are an error, which bounds the model.  Scoring reads all documents.
+
+Defined results: ``und`` with score 0 for null texts and texts without a letter; if
+nothing could be learned every prediction is ``und``.  Rows without text or language
+teach nothing; rows of equal id and language are learned from together or not at all.
+Repeated rows are predicted alike, texts of any length as a whole; an empty table gives
+no rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .op1_quality_classifier import held_out
-from .textcore import Block, arrow_map, blocks, table
+from .textcore import Block, arrow_map, blocks, offsets_of, ragged, table
 
-PER_LANGUAGE = 600
+PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 600, 4800, 160
 BITS = 12
+#: The slot of places without a letter, whose weight is 0.
+NO_SLOT = 1 << BITS
 
 # Families of common language codes; any other code is a family of its own.
 FAMILIES = {
@@ -50,15 +60,14 @@ _MAP[65:91] = np.arange(97, 123)
 _MAP[128:] = np.arange(128, 256)
 
 
-def trigrams(blk: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigram at every place of the block, and which places count."""
-    d = _MAP[blk.data].astype(np.uint32)
-    t = np.zeros(len(d), np.uint32)
-    if len(d) > 2:
-        t[1:-1] = d[:-2] << 16 | d[1:-1] << 8 | d[2:]
-    on = d != 0x20  # the middle byte is of a letter
-    on[[0, -1]] = False
-    return ((t * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64), on
+def trigrams(blk: Block) -> np.ndarray:
+    """Slot of the trigram around every byte of the block; ``NO_SLOT`` where the byte is of no letter."""
+    d = np.full(len(blk.data) + 2, 0x20, np.uint8)  # a blank on both sides: documents never see each other
+    d[1:-1] = _MAP[blk.data]
+    on = d[1:-1] != 0x20
+    d = d.astype(np.uint32)
+    t = d[:-2] << 16 | d[1:-1] << 8 | d[2:]
+    return np.where(on, ((t * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64), NO_SLOT)
 
 
 def has_letter(blk: Block) -> np.ndarray:
@@ -113,32 +122,45 @@ class Duels:
 
 @dataclass
 class LanguageModel:
-    weights: np.ndarray  #: a row for each trigram slot, a column for each duel
+    weights: np.ndarray  #: int32, a row for each duel, a column for each trigram slot and a 0 for NO_SLOT
+    unit: float  #: what a weight of 1 is worth
     bias: np.ndarray
     families: Duels | None
     within: list[Duels]
 
+    def margins(self, slot: np.ndarray, bounds: np.ndarray, duels: Duels) -> np.ndarray:
+        """Margins of these duels, in their columns, for texts slot[bounds[i]:bounds[i+1]]."""
+        out = np.zeros((len(bounds) - 1, len(self.bias)))
+        n = np.maximum(np.add.reduceat(slot != NO_SLOT, bounds[:-1], dtype=np.int64), 1)
+        for _, _, k in duels.pairs:
+            out[:, k] = np.add.reduceat(self.weights[k][slot], bounds[:-1], dtype=np.int64) * self.unit / n + self.bias[k]
+        return out
+
     def predict(self, blk: Block) -> tuple[list[str], np.ndarray]:
         known = has_letter(blk)
         if self.families is None:
             return ["und"] * blk.n, np.zeros(blk.n)
-        slot, on = trigrams(blk)
-        n = np.maximum(np.add.reduceat(on, blk.bounds[:-1], dtype=np.int64), 1)
-        margins = np.empty((blk.n, len(self.bias)))
-        for k in range(len(self.bias)):
-            margins[:, k] = np.add.reduceat(np.where(on, self.weights[k][slot], 0), blk.bounds[:-1], dtype=np.float64) / n + self.bias[k]
-        family, score = self.families.decide(margins)
+        slot, bounds = trigrams(blk), blk.bounds
+        family, score = self.families.decide(self.margins(slot, bounds, self.families))
         out, conf = np.full(blk.n, "und", object), np.zeros(blk.n)
         for f, duels in enumerate(self.within):
             at = np.flatnonzero((family == f) & known)
-            lang, sure = duels.decide(margins[at])
+            if not len(at):
+                continue
+            size = np.diff(bounds)[at]
+            own = slot[ragged(bounds[at], size)] if duels.pairs and len(at) < blk.n else slot
+            lang, sure = duels.decide(self.margins(own, offsets_of(size), duels) if duels.pairs else np.zeros((len(at), 0)))
             out[at] = np.array(duels.names, object)[lang]
             conf[at] = score[at] * sure
         return out.tolist(), conf
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Fits on doc_id, text, lang of the given documents."""
+    n_langs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).agg(F.count_distinct("lang")).first()[0]
+    if n_langs > MAX_LANGUAGES:
+        raise ValueError(f"{n_langs} languages; {MAX_LANGUAGES} at most")
+    per_language = min(per_language, max(max_rows // max(n_langs, 1), 1))
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)).alias("h"))
     # a count of each language tells below which hash some more than enough of its rows lie
     counts = F.broadcast(rows.groupBy("lang").agg((F.lit(float(1 << 40)) * 2.5 * per_language / F.count("*")).alias("below")))  # a row for each language
@@ -149,16 +171,17 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 
     def count(batches):
         for b, blk in blocks(batches):
-            slot, on = trigrams(blk)
+            slot = trigrams(blk)
+            on = slot != NO_SLOT
             doc = np.repeat(np.arange(blk.n), np.diff(blk.bounds))
-            flat = np.bincount(doc[on] * (1 << BITS) + slot[on], minlength=blk.n << BITS).reshape(blk.n, -1)
+            flat = np.bincount(doc[on] * NO_SLOT + slot[on], minlength=blk.n * NO_SLOT).reshape(blk.n, -1)
             share = (flat / np.maximum(flat.sum(1, keepdims=True), 1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in share], pa.binary())], names=["lang", "x"])
 
     got = arrow_map(texts, count, "lang string, x binary").toPandas().sort_values(["lang", "x"], ignore_index=True)
     langs = sorted(set(got["lang"]))
     if not langs:
-        return LanguageModel(np.zeros((0, 1 << BITS), np.float32), np.zeros(0), None, [])
+        return LanguageModel(np.zeros((0, NO_SLOT + 1), np.int32), 1.0, np.zeros(0), None, [])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float32)
     scale = 1 / np.maximum(x.std(0), 1e-4)
     x = x * scale / np.sqrt(x.shape[1])
@@ -173,14 +196,16 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
             at = (of == names[a]) | (of == names[b])
             w, c = linear_svm(x[at], np.where(of[at] == names[a], 1.0, -1.0))
             pairs.append((a, b, len(bias)))
-            weights.append((w * scale).astype(np.float32))
+            weights.append(w * scale)
             bias.append(c)
         return Duels(names, pairs)
 
     names = sorted(set(fam))
     families = duels(names, fam)
     within = [duels([c for c in langs if FAMILY.get(c, c) == f], lang) for f in names]
-    return LanguageModel(np.array(weights, np.float32).reshape(-1, 1 << BITS), np.array(bias), families, within)
+    w = np.array(weights, float).reshape(-1, NO_SLOT)
+    unit = max(float(np.abs(w).max()) / (1 << 30), 1e-30) if w.size else 1.0
+    return LanguageModel(np.column_stack([np.rint(w / unit), np.zeros(len(w))]).astype(np.int32), unit, np.array(bias), families, within)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
