@@ -9,20 +9,24 @@ beginning comes from counts over all documents, the same for both classes, so an
 expression that a class never had is judged by what its relatives tell.  Discounts
 are the modified Kneser-Ney ones, from the counts of counts.
 
-A text's evidence is the log-likelihood ratio of its words: the mean over the text
-(length-normalised), and the means over its best run of ``RUN`` words and its best
-word, which a long text doesn't dilute.  Logistic regression on a part of the
-labelled rows that the counts left out turns the three into a score.
+The decision compares log-likelihoods of the two classes, each divided by the number of
+words it is of: over the whole text, over its best run of ``RUN`` words and over its best
+word, so that neither a long text nor a short one has an advantage.  Logistic regression
+on a part of the labelled rows that the counts left out weighs the three differences.
 
 Class counts come from all labelled documents but those left to the regression: one in
-``APART``, and of about ``MAX_TOXIC`` and ``MAX_ORDINARY`` texts at most.  The shared counts are exact, over all documents: a
-table of words by 64-bit key and one of each length of beginning, as large as the
-vocabulary.  From these Spark computes the ratio of every word.  Workers hold those of
-the ``FREQUENT`` most frequent words; the others reach the texts they occur in by a join.
+``APART``, and of about ``MAX_TOXIC`` and ``MAX_ORDINARY`` texts at most.  The shared counts
+are exact, over all documents.  A form that no class has had differs from its beginning by
+a constant (its share is the same for both classes), so the table of ratios has the forms
+of the labelled texts only.  Workers hold those of the ``FREQUENT`` most frequent forms and
+a bit filter of the others; only texts with a word that passes the filter go through a join.
 
 Defined results: null and empty texts and texts without words have no evidence and
 get the score of a ratio of 0.  Without labels of both kinds every score is the share
-of label 1 (0 if there are none).
+of label 1 (0 if there are none).  A text that is labelled several times counts once for
+each label.  Null ids are scored like others and never learned from; repeated rows are
+scored alike; texts of any length are read whole; an empty table gives no rows.  Of the
+input only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,23 +36,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op1_quality_classifier import held_out
-from .store import written
-from .textcore import Block, arrow_map, blocks, mix, segment_reduce, segment_sum, table
+from .store import drop, written
+from .textcore import Block, arrow_map, blocks, mix, offsets_of, ragged, segment_reduce, segment_sum, table
 
 MAX_TOXIC, MAX_ORDINARY = 3000, 6000
-#: Words at most whose ratios every worker holds.
+#: Forms at most whose ratios every worker holds.
 FREQUENT = 1 << 20
+#: Bits of the filter of the other forms, as a power of two.
+FILTER_BITS = 24
 #: Words that a task gathers before it sends their counts on.
 GATHERED = 1 << 19
+#: A table of ids up to so many rows is sent to all executors; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 STEMS = (6, 5, 4, 3)
 KINDS = 1 + len(STEMS)
-FORMS = [f"form{k}" for k in range(KINDS)]
 COUNTS = ["n", "a0", "a1"]  # occurrences in all documents; documents or forms of the ordinary and of the toxic class
-COUNTED = "".join(f"{f} bigint, " for f in FORMS) + "n bigint, a0 bigint, a1 bigint"
+COUNTED = "form binary, n bigint, a0 bigint, a1 bigint"
 RUN = 4
 #: One labelled document in so many is left to the logistic regression.
 APART = 4
@@ -61,63 +70,57 @@ _MAP[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20
 
 def expressions(raw: Block) -> Block:
     """The block in lower case, digits as 0, ASCII punctuation blanked."""
-    blk = Block.__new__(Block)
-    blk.n, blk.doc_start, blk.doc_end, blk._words, blk._prefix = raw.n, raw.doc_start, raw.doc_end, None, None
     data = _MAP[raw.data]
     upper = np.zeros(len(data), bool)
     upper[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     data[upper] += 0x20
-    blk.data = data
-    return blk
+    return raw.with_data(data)
 
 
-def keys(blk: Block) -> list[np.ndarray]:
-    """64-bit keys of all words and of their beginnings."""
-    s, e, _ = blk.words()
-    return [blk.hash_spans(s, e), *(blk.hash_spans(s, np.minimum(e, s + k)) for k in STEMS)]
+def key_of(blk: Block, s: np.ndarray, e: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit keys of words (kind 0) or of their beginnings."""
+    return blk.hash_spans(s, np.minimum(e, s + STEMS[kind - 1]) if kind else e, 2 + kind)
 
 
-def folded(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Sums the counts of equal words, over as many parts as memory allows.
+def spans(blk: Block, s: np.ndarray, e: np.ndarray) -> pa.Array:
+    """The bytes of spans as an Arrow column."""
+    off = offsets_of(e - s).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(blk.data[ragged(s, e - s)].tobytes())])
 
-    A part has the keys (KINDS x words) and the counts (COUNTS x words).
-    """
 
-    def fold():
-        hs, n = (np.concatenate(x, axis=1) for x in zip(*held, strict=True))
-        order = np.argsort(hs[0])
-        key = hs[0][order]
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        return hs[:, order[new]], np.add.reduceat(n[:, order], new, axis=1)
+def folded(parts: Iterator[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts (COUNTS x words) of equal words, over as many parts as memory allows."""
+    held, size = [], 0
 
-    def batch(hs, n):
-        return pa.record_batch([pa.array(x.view(np.int64)) for x in (*hs, *n)], names=[*FORMS, *COUNTS])
+    def fold() -> pa.Table:
+        t = pa.concat_tables(held).group_by("form").aggregate([(c, "sum") for c in COUNTS])
+        return t.select(["form", *(f"{c}_sum" for c in COUNTS)]).rename_columns(["form", *COUNTS])
 
-    held, size = [], 0
-    for hs, n in parts:
-        if not hs.shape[1]:
+    for words, n in parts:
+        if not len(words):
             continue
-        held.append((hs, n))
-        size += hs.shape[1]
+        held.append(pa.table([words, *(pa.array(x.astype(np.int64)) for x in n)], names=["form", *COUNTS]))
+        size += len(words)
         if size > GATHERED:
             held = [fold()]
-            size = held[0][0].shape[1]
+            size = held[0].num_rows
             if size > GATHERED // 2:
-                yield batch(*held[0])
+                yield from held[0].combine_chunks().to_batches(max_chunksize=1 << 16)
                 held, size = [], 0
     if held:
-        yield batch(*fold())
+        yield from fold().combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """Forms of all words of the documents and their occurrences; a word may have several rows."""
+    """All words of the documents and their occurrences; a word may have several rows."""
 
     def count(batches):
         def parts():
             for _, raw in blocks(batches):
-                hs = keys(expressions(raw))
-                _, one, n = np.unique(hs[0], return_index=True, return_counts=True)
-                yield np.stack([h[one] for h in hs]), np.stack([n, 0 * n, 0 * n])
+                blk = expressions(raw)
+                s, e, _ = blk.words()
+                _, one, n = np.unique(blk.hash_spans(s, e), return_index=True, return_counts=True)
+                yield spans(blk, s[one], e[one]), np.stack([n, 0 * n, 0 * n])
 
         yield from folded(parts())
 
@@ -125,17 +128,17 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
-    """Forms of the words of labelled texts and the texts of each class that have them."""
+    """The words of labelled texts and the texts of each class that have them."""
 
     def count(batches):
         def parts():
             for b, raw in blocks(batches):
                 blk = expressions(raw)
-                hs = keys(blk)
-                doc = np.repeat(np.arange(blk.n), np.diff(blk.words()[2]))
-                _, once = np.unique(mix(hs[0] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                s, e, first = blk.words()
+                doc = np.repeat(np.arange(blk.n), np.diff(first))
+                _, once = np.unique(mix(blk.hash_spans(s, e) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
                 toxic = b.column("toxic").to_numpy()[doc[once]]
-                yield np.stack([h[once] for h in hs]), np.stack([0 * once, (toxic == 0).astype(np.int64), (toxic == 1).astype(np.int64)])
+                yield spans(blk, s[once], e[once]), np.stack([0 * once, toxic == 0, toxic == 1])
 
         yield from folded(parts())
 
@@ -176,49 +179,61 @@ class Level:
 
 
 def levels_of(words: DataFrame) -> list[DataFrame]:
-    """Written tables of words and of each length of beginning, with COUNTS.
+    """Written tables of words and of each length of beginning: form and COUNTS.
 
     For beginnings the classes have continuation counts: distinct forms one level up.
     """
-    out = [written(words.groupBy(*FORMS).agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")]
-    for k in range(1, KINDS):
-        up = out[-1].groupBy(*FORMS[k:]).agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in COUNTS[1:]))
-        out.append(written(up, f"beginnings{STEMS[k - 1]}"))
+    out = [written(words.groupBy("form").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words")]
+    for k, size in enumerate(STEMS):
+        up = out[-1].groupBy(F.substring("form", 1, size).alias("form")).agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in COUNTS[1:]))
+        out.append(written(up, f"beginnings{STEMS[k]}"))
     return out
 
 
 @dataclass
 class Model:
-    tables: list[DataFrame]  #: words first, then the beginnings
-    classes: list[list[Level]]  #: ordinary, toxic
-    base: float  #: what the shares of the shortest beginnings are of
-    known: DataFrame | None = None  #: form0, n and ratio of all words of the documents learned from
+    classes: list[list[Level]]  #: ordinary, toxic; words first, then the beginnings
+    known: DataFrame | None = None  #: key, n and ratio of all forms that a class has had
     weights: np.ndarray | None = None  #: intercept and a weight for each feature
     share: float = 0.0
 
-    def ratios(self, tables: list[DataFrame]) -> DataFrame:
-        """form0, own and ratio: log-likelihood ratios, toxic to ordinary, of words given with their beginnings' counts."""
-        below = None
+    @property
+    def steps(self) -> np.ndarray:
+        """What a form that no class has had differs by from its beginning, for each kind."""
+        return np.array([np.log(b.freed) - np.log(a.freed) for a, b in zip(*self.classes, strict=True)])
+
+    def ratios(self, tables: list[DataFrame], base: float) -> DataFrame:
+        """key, n, ratio: log-likelihood ratios, toxic to ordinary, of all forms that a class has had."""
+        below, out = None, []
         for k in reversed(range(KINDS)):
-            t, s = tables[k], F.col("n") + 1
+            t, s = tables[k].where("a0 > 0 or a1 > 0"), F.col("n") + 1
             if below is None:  # the corpus's share of the shortest beginning
-                shares = [s / self.base] * 2
+                shares = [s / base] * 2
             else:  # the longer form's share in the shorter one, from the shared counts
-                t = t.join(below, FORMS[k + 1])
+                t = t.withColumn("up", F.substring("form", 1, STEMS[k])).join(below, "up")
                 shares = [F.col(f"p{c}") * s / F.col("s") for c in (0, 1)]
             p = [level[k].prob(F.col(f"a{c}")) + level[k].freed * shares[c] for c, level in enumerate(self.classes)]
-            if k:
-                below = t.select(FORMS[k], s.alias("s"), *(x.alias(f"p{c}") for c, x in enumerate(p)))
-        return t.select("form0", F.col("own" if "own" in t.columns else "n").alias("own"), (F.log(p[1]) - F.log(p[0])).alias("ratio"))
-
-    def ratios_of(self, docs: DataFrame) -> DataFrame:
-        """The same for all words of any documents; what was not learned from counts as 0."""
-        own = written(vocabulary(docs).groupBy(*FORMS).agg(F.sum("n").alias("own")), "own")
-        out = []
-        for k, t in enumerate(self.tables):
-            forms = own if k == 0 else own.select(*FORMS[k:]).distinct()
-            out.append(forms.join(t.select(FORMS[k], *COUNTS), FORMS[k], "left").na.fill(0, COUNTS))
-        return written(self.ratios(out), "ratios")
+            own = written(t.select("form", "n", s.alias("s"), *(x.alias(f"q{c}") for c, x in enumerate(p))), f"chances{k}")
+            below = own.select(F.col("form").alias("up"), "s", F.col("q0").alias("p0"), F.col("q1").alias("p1"))
+            out.append(own.select("form", "n", (F.log("q1") - F.log("q0")).alias("ratio"), F.lit(k).alias("kind")))
+
+        def keyed(batches):
+            for b in batches:
+                if b.num_rows:
+                    form, kind = b.column("form").cast(pa.binary()), b.column("kind").to_numpy()
+                    off = np.frombuffer(form.buffers()[1], np.int32, len(form) + 1, form.offset * 4).astype(np.int64)
+                    data = np.frombuffer(form.buffers()[2] or b"", np.uint8)
+                    blk = Block(data, np.array([0, len(data)]))
+                    key = np.zeros(len(form), np.uint64)
+                    for k in np.unique(kind):
+                        at = np.flatnonzero(kind == k)
+                        key[at] = blk.hash_spans(off[at], off[at + 1], 2 + int(k))
+                    yield pa.record_batch([pa.array(key.view(np.int64)), b.column("n"), b.column("ratio")], names=["key", "n", "ratio"])
+
+        every = out[0]
+        for x in out[1:]:
+            every = every.unionAll(x)
+        return written(arrow_map(every, keyed, "key bigint, n bigint, ratio double"), "ratios")
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -259,76 +274,138 @@ class Words:
         return self.ratio[at], self.key[at] == h
 
 
-class Memo:
-    """Ratios of words that a worker has met, by hash; of fixed size."""
+@dataclass
+class Held:
+    """What every worker has: ratios of frequent forms, the filter of the others, steps to beginnings."""
+
+    words: Words
+    others: np.ndarray | None  #: packed bits; None if there are no others
+    steps: np.ndarray
+
+    def perhaps(self, key: np.ndarray) -> np.ndarray:
+        """Which keys may be those of other forms."""
+        at = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (self.others[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
 
-    def __init__(self, bits: int = 18):
-        self.shift = np.uint64(64 - bits)
-        self.key = np.zeros(1 << bits, np.uint64)
-        self.value = np.zeros(1 << bits)
+class Lookup:
+    """Ratios of words, with a memo of fixed size of those that a worker has met."""
 
-    def ratios(self, h: np.ndarray, *known: Words) -> np.ndarray:
+    def __init__(self, held: Held, bits: int = 18):
+        self.held, self.shift = held, np.uint64(64 - bits)
+        self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
+
+    def ratios(self, blk: Block, more: Words | None = None) -> np.ndarray:
+        """A ratio for each word of a block; NaN where a form may be among the others and ``more`` doesn't tell."""
+        s, e, _ = blk.words()
+        h = blk.hash_spans(s, e)
         at = (h >> self.shift).astype(np.int64)
         out = self.value[at]
         miss = np.flatnonzero(self.key[at] != h)
         if len(miss):
-            one, back = np.unique(h[miss], return_inverse=True)
-            new, there = np.zeros(len(one)), np.zeros(len(one), bool)
-            for words in known:
-                r, has = words.find(one)
-                new, there = np.where(has, r, new), there | has
-            if not there.all():
-                raise LookupError("a text has words without a ratio")
-            at = at[miss]
-            self.key[at], self.value[at] = h[miss], new[back]
+            _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            one = miss[one]
+            new, _, _ = self.resolved(blk, s[one], e[one], more)
+            self.key[at[one]], self.value[at[one]] = h[one], new
             out[miss] = new[back]
         return out
 
-
-def frequent(ratios: DataFrame) -> tuple[Words, bool]:
-    """The most frequent words, by a level of their counts, and whether these are all."""
-    level = F.floor(F.log2(F.greatest(F.col("own"), F.lit(1)).cast("double"))).cast("int")
-    rows = {r["level"]: r["n"] for r in ratios.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # 64 at most
+    def resolved(self, blk: Block, s: np.ndarray, e: np.ndarray, more: Words | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ratios of words by their longest known form; words and keys that the others must be asked for."""
+        out, total = np.zeros(len(s)), 0.0
+        live, asked, keys = np.arange(len(s)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for k in range(KINDS):
+            key = key_of(blk, s[live], e[live], k)
+            r, has = self.held.words.find(key)
+            if more is not None:
+                r2, has2 = more.find(key)
+                r, has = np.where(has2, r2, r), has | has2
+            elif self.held.others is not None:
+                ask = ~has & self.held.perhaps(key)
+                asked.append(live[ask])
+                keys.append(key[ask])
+            out[live[has]] = total + r[has]
+            live = live[~has]
+            total += self.held.steps[k]
+        out[live] = total
+        asked, keys = np.concatenate(asked), np.concatenate(keys)
+        out[asked] = np.nan
+        return out, asked, keys
+
+
+def held_of(model: Model) -> tuple[Held, DataFrame | None]:
+    """The most frequent forms, by a level of their counts, and a table of the others if there are any."""
+    known = model.known
+    level = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double"))).cast("int")
+    rows = {r["level"]: r["c"] for r in known.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect()}  # 64 at most
     least, total = 64, 0
     for k in sorted(rows, reverse=True):
         if total + rows[k] > FREQUENT:
             break
         least, total = k, total + rows[k]
-    got = ratios.where(level >= least).select("form0", "ratio").toArrow()  # FREQUENT at most
-    return Words.of(got["form0"].to_numpy(), got["ratio"].to_numpy()), total == sum(rows.values())
-
+    got = known.where(level >= least).select("key", "ratio").toArrow()  # FREQUENT at most
+    words = Words.of(got["key"].to_numpy(), got["ratio"].to_numpy())
+    if total == sum(rows.values()):
+        return Held(words, None, model.steps), None
+    others = known.where(level < least).select("key", "ratio")
+    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    bits = others.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63))")).alias("bits")).toArrow()  # 2**(FILTER_BITS - 6) at most
+    packed = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    packed[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return Held(words, packed, model.steps), others
+
+
+def measured(docs: DataFrame, model: Model, finish, kind: str, schema: str) -> DataFrame:
+    """finish(ids, features) of all documents (id of type ``kind``, text); it gives rows of ``schema``."""
+    held, others = held_of(model)
+    held = docs.sparkSession.sparkContext.broadcast(held)
+    if others is None:
+
+        def whole(batches):
+            look = Lookup(held.value)
+            for b, raw in blocks(batches):
+                blk = expressions(raw)
+                yield finish(b.column("id"), features(blk, look.ratios(blk)))
 
-def measured(docs: DataFrame, ratios: DataFrame, finish, schema: str) -> DataFrame:
-    """finish(batch, features) of all documents, given the ratios of all their words."""
-    words, whole = frequent(ratios)
-    held = docs.sparkSession.sparkContext.broadcast(words)
+        return arrow_map(docs, whole, schema)
 
-    def rare(batches):
+    def first(batches):
+        """Features of texts whose words are all known here; the text and the keys to ask for of others."""
+        look, row = Lookup(held.value), TaskContext.get().partitionId() << 40
         for b, raw in blocks(batches):
             blk = expressions(raw)
-            s, e, first = blk.words()
-            h = blk.hash_spans(s, e)
-            at = np.flatnonzero(~held.value.find(h)[1])
-            doc = np.repeat(np.arange(blk.n), np.diff(first))[at]
-            _, once = np.unique(mix(h[at] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            yield pa.record_batch([b.column("_key").take(pa.array(doc[once])), pa.array(h[at[once]].view(np.int64))], names=["_key", "form0"])
-
-    def run(batches):
-        memo, none = Memo(), Words(np.zeros(0, np.uint64), np.zeros(0))
+            s, e, firsts = blk.words()
+            r = look.ratios(blk)
+            doc = np.repeat(np.arange(blk.n), np.diff(firsts))
+            open_ = np.flatnonzero(np.isnan(r))
+            _, asked, keys = look.resolved(blk, s[open_], e[open_], None)
+            pair = np.unique(np.stack([doc[open_[asked]].astype(np.uint64), keys]), axis=1)
+            waits = np.zeros(blk.n, bool)
+            waits[pair[0].astype(np.int64)] = True
+            lists = np.searchsorted(pair[0], np.arange(blk.n + 1, dtype=np.uint64)).astype(np.int32)
+            x = features(blk, np.nan_to_num(r))
+            text = pc.if_else(pa.array(waits), b.column("text"), pa.scalar(None, b.column("text").type))
+            yield pa.record_batch([pa.array(row + np.arange(blk.n)), b.column("id"), text, *(pa.array(x[:, k]) for k in range(3)), pa.ListArray.from_arrays(pa.array(lists), pa.array(pair[1].view(np.int64)))], names=["row", "id", "text", "x0", "x1", "x2", "asked"])
+            row += blk.n
+
+    def second(batches):
+        look = Lookup(held.value)
         for b, raw in blocks(batches):
             blk = expressions(raw)
-            s, e, _ = blk.words()
-            more = none
-            if "_more" in b.schema.names:
-                got = b.column("_more").flatten()
-                more = Words.of(got.field("form0").to_numpy(), got.field("ratio").to_numpy())
-            yield finish(b, features(blk, memo.ratios(blk.hash_spans(s, e), held.value, more)))
+            got = b.column("told").flatten()
+            yield finish(b.column("id"), features(blk, look.ratios(blk, Words.of(got.field("key").to_numpy(), got.field("ratio").to_numpy()))))
+
+    def done(batches):
+        for b in batches:
+            if b.num_rows:
+                yield finish(b.column("id"), np.column_stack([b.column(f"x{k}").to_numpy() for k in range(3)]))
 
-    if not whole:
-        docs = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-        found = arrow_map(docs.select("_key", "text"), rare, "_key bigint, form0 bigint").join(ratios.select("form0", "ratio"), "form0")
-        docs = docs.join(found.groupBy("_key").agg(F.collect_list(F.struct("form0", "ratio")).alias("_more")), "_key", "left")
-    return arrow_map(docs, run, schema)
+    read = written(arrow_map(docs, first, f"row bigint, id {kind}, text string, x0 double, x1 double, x2 double, asked array<bigint>"), "evidence")
+    wait = read.where(F.col("text").isNotNull())
+    told = wait.select("row", F.explode("asked").alias("key")).join(others, "key").groupBy("row").agg(F.collect_list(F.struct("key", "ratio")).alias("told"))
+    rest = wait.select("row", "id", "text").join(told, "row", "left").select("id", "text", "told")
+    ready = read.where(F.col("text").isNull()).select("id", "x0", "x1", "x2")
+    return arrow_map(ready, done, schema).unionAll(arrow_map(rest, second, schema))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
@@ -350,12 +427,16 @@ def labelled(docs: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
     rows = rows.where(allowed(F.col("doc_id"))) if allowed is not None else rows
     rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    own = written(hashed.join(rows, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled")  # ids only
-    n = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    below = lambda t, most: int((1 << 40) / APART * min(1.0, most / max(n.get(t, 0), 1)))
+    once = hashed.join(rows, "doc_id").groupBy("h", "toxic", "doc_id").agg(F.count("*").alias("times"))
+    own = written(once.groupBy("h", "toxic").agg(F.min(F.struct("doc_id", "times")).alias("d")).select("h", "toxic", "d.*"), "labelled")  # ids only
+    n = {r["toxic"]: (r["n"], r["most"]) for r in own.groupBy("toxic").agg(F.count("*").alias("n"), F.max("times").alias("most")).collect()}
+    below = lambda t, most: int((1 << 40) / APART * min(1.0, most / max(n.get(t, (0, 0))[0], 1)))
     apart = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 40)) < F.when(F.col("toxic") == 1, below(1, MAX_TOXIC)).otherwise(below(0, MAX_ORDINARY))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(own, ["doc_id", "h"])
-    return texts.dropDuplicates(["doc_id", "h", "toxic"]).select("text", "toxic", apart.alias("apart"))
+    small = sum(c for c, _ in n.values()) <= BROADCAST_ROWS
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(F.broadcast(own) if small else own, ["doc_id", "h"])
+    if any(most > 1 for _, most in n.values()):  # rows that are repeated, id and all
+        texts = texts.where("times = 1").unionAll(texts.where("times > 1").dropDuplicates(["doc_id", "h", "toxic"]))
+    return texts.select("text", "toxic", apart.alias("apart"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
@@ -374,13 +455,15 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
             n = own["times"].to_numpy(np.int64)
             classes[t].append(Level(own["count"].to_numpy(), own["total"].to_numpy(float) / n, n))
     short = tables[-1].agg(F.sum(F.col("n") + 1).alias("n")).first()["n"] or 0
-    model = Model(tables, classes, float(short + 1))
-    model.known = written(model.ratios(tables), "ratios")
+    model = Model(classes)
+    model.known = model.ratios(tables, float(short + 1))
+    for t in tables:
+        drop(t)
 
-    def weigh(b, x):
-        return pa.record_batch([b.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "x0", "x1", "x2"])
+    def weigh(toxic, x):
+        return pa.record_batch([toxic, *(pa.array(x[:, k]) for k in range(3))], names=["toxic", "x0", "x1", "x2"])
 
-    x = measured(rows.where("apart").select("text", "toxic"), model.known, weigh, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
+    x = measured(rows.where("apart").select(F.col("toxic").alias("id"), "text"), model, weigh, "int", "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])
     y = x["toxic"].to_numpy(float)
     model.share = float(y.mean()) if len(y) else 0.0
     if len(y) and 0 < y.mean() < 1:
@@ -388,22 +471,20 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", learned: bool = False) -> DataFrame:
-    """id_col, score, predicted, and the mean log-likelihood ratio of each text.
-
-    ``learned``: the model was learned from these documents, so it knows all their words.
-    """
-    docs = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("text"))
-    weights = Model([], [], 0.0, None, model.weights, model.share)  # without what only the driver has
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col, score, predicted, and the mean log-likelihood ratio of each text."""
+    weights = Model([], None, model.weights, model.share)  # without what only the driver has
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def finish(b, x):
+    def finish(ids, x):
         s = weights.score(x)
-        return pa.RecordBatch.from_arrays([b.column(id_col), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 0])], names=[id_col, "score", "predicted", "mean_ratio"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 0])], names=["id", "score", "predicted", "mean_ratio"])
 
-    return measured(docs, model.known if learned else model.ratios_of(docs), finish, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, mean_ratio double")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    return measured(rows, model, finish, kind, f"id {kind}, score double, predicted int, mean_ratio double").withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"), allowed=lambda c: ~held_out(c, 5, 0))
-    return score(docs, model, learned=True).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "mean_ratio")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "mean_ratio")
