@@ -7,8 +7,8 @@ import json
 import numpy as np
 import regex
 
-from .pretokens import Memo, joinable
-from .textcore import mix, offsets_of, ragged
+from .pretokens import Memo, chunks, joinable
+from .textcore import offsets_of, ragged, segment_sum
 
 # Fixed value: the code points of white space.
 _SPACE = "".join(regex.escape(chr(c)) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -25,7 +25,15 @@ def byte_letters() -> dict[str, int]:
 
 
 class PairTable:
-    """Merge of each pair of ids by open addressing, looked up for whole arrays."""
+    """Two numbers for each pair of numbers (a merge's rank and id, an edge's words before it and its end) by open addressing, looked up for whole arrays."""
+
+    @staticmethod
+    def over(keys: np.ndarray, rank: np.ndarray, made: np.ndarray, steps: int) -> PairTable:
+        """A table whose arrays are there already, as in a mapped file."""
+        t = PairTable.__new__(PairTable)
+        t.keys, t.rank, t.made, t.steps = keys, rank, made, steps
+        t.bits, t.mask = len(keys).bit_length() - 1, len(keys) - 1
+        return t
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray):
         self.bits = max(4, int(len(left) * 4).bit_length())
@@ -36,7 +44,7 @@ class PairTable:
         key = left.astype(np.uint64) << _U(32) | right.astype(np.uint64)
         todo, step = np.arange(len(key)), 0
         while len(todo):
-            at = ((mix(key[todo]) >> _U(64 - self.bits)).astype(np.int64) + step) & self.mask
+            at = (self._slot(key[todo]) + step) & self.mask
             free = self.keys[at] == np.iinfo(np.uint64).max
             slot, first = np.unique(at[free], return_index=True)
             won = todo[np.flatnonzero(free)[first]]
@@ -45,14 +53,18 @@ class PairTable:
             step += 1
         self.steps = step
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).view(np.int64)
+
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (the greatest int32 if there is no merge) and merged id."""
         key = left.astype(np.uint64) << _U(32) | right.astype(np.uint64)
-        at = (mix(key) >> _U(64 - self.bits)).astype(np.int64)
-        hit = self.keys[at] == key
-        rank = np.where(hit, self.rank[at], np.iinfo(np.int32).max)
-        made = self.made[at]
-        todo = np.flatnonzero(~hit & (self.keys[at] != np.iinfo(np.uint64).max))
+        at = self._slot(key)
+        there = self.keys[at]
+        other = np.flatnonzero(there != key)
+        rank, made = self.rank[at], self.made[at]
+        rank[other] = np.iinfo(np.int32).max
+        todo = other[there[other] != np.iinfo(np.uint64).max]
         for step in range(1, self.steps):
             if not len(todo):
                 break
@@ -158,29 +170,16 @@ class BytePairEncoder:
         return data, lens, np.array(special, np.int64), count
 
     def encode_pretokens(self, data: np.ndarray, lens: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pretokens: from the lexicon if it has them, else by merging."""
+        """Ids of pretokens, merged exactly."""
         at = offsets_of(lens)[:-1]
         ids_of, n_of = np.zeros(len(lens), np.int64), np.ones(len(lens), np.int64)
-        parts = [np.array(special[special >= 0], np.int64)]
-        plain = special < 0
-        ids_of[~plain] = np.arange((~plain).sum())
-        used = len(parts[0])
-        if self.lexicon is not None and plain.any():
-            own = np.flatnonzero(plain)
-            got = self.lexicon.find(data, at[own], lens[own])
-            known = own[got >= 0]
-            lex_ids, lex_lens = self.lexicon.outputs(got[got >= 0])
-            ids_of[known], n_of[known] = used + offsets_of(lex_lens)[:-1], lex_lens
-            parts.append(lex_ids)
-            used += len(lex_ids)
-            plain[known] = False
-            self.in_lexicon += len(known)
-        own = np.flatnonzero(plain)
+        added = np.array(special[special >= 0], np.int64)
+        own = np.flatnonzero(special < 0)
+        ids_of[special >= 0] = np.arange(len(added))
         self.merged += len(own)
         ids, n = self.merge(data[ragged(at[own], lens[own])], lens[own])
-        ids_of[own], n_of[own] = used + offsets_of(n)[:-1], n
-        parts.append(ids)
-        return np.concatenate(parts)[ragged(ids_of, n_of)], n_of
+        ids_of[own], n_of[own] = len(added) + offsets_of(n)[:-1], n
+        return np.concatenate([added, ids])[ragged(ids_of, n_of)], n_of
 
     def new(self, blk, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         together = joinable(blk, s, e)
@@ -201,8 +200,24 @@ class BytePairEncoder:
         return ids[ragged(out_start, out_lens)].astype(self.memo.store.dtype), out_lens
 
     def encode(self, blk) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a block of documents and their bounds by document."""
-        return self.memo.encode(blk, self.added_bytes, self.new)
+        """Ids of a block of documents and their bounds by document.
+
+        Chunks walk through the lexicon; those that it lacks are merged, each distinct one once.
+        """
+        if self.lexicon is None:
+            return self.memo.encode(blk, self.added_bytes, self.new)
+        s, e, first = chunks(blk, self.added_bytes)
+        number = self.lexicon.find(blk.data, s, e - s)
+        known = number >= 0
+        rest = np.flatnonzero(~known)
+        lex_ids, lex_lens = self.lexicon.outputs(number[known])
+        ids, lens = self.memo.look_up(blk, s[rest], e[rest], self.new)
+        self.in_lexicon += len(s) - len(rest)
+        n, start = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+        n[known], start[known] = lex_lens, offsets_of(lex_lens)[:-1]
+        n[rest], start[rest] = lens, len(lex_ids) + offsets_of(lens)[:-1]
+        both = np.concatenate([lex_ids.astype(ids.dtype), ids])
+        return both[ragged(start, n)], offsets_of(segment_sum(n, first))
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of documents given by ids, and their bounds."""

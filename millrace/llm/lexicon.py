@@ -3,16 +3,15 @@
 Words are added in order and every finished state is replaced by an equal one that is
 there already, so suffixes are shared and the automaton is minimal.  A state knows how
 many words it accepts, so the way of a word through it sums up to the word's number,
-and the output table is indexed by that.  The image is one flat byte string that is
-mapped into memory; all words of a batch walk through it in step.
+and the output table is indexed by that.  The image is one flat byte string, edges by
+open addressing, that is mapped into memory; all words of a batch walk through it in step.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 
+from .bpe import PairTable
 from .textcore import offsets_of, ragged
 
 
@@ -68,45 +67,49 @@ def build(words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> bytes:
         for byte, t in edges[s]:
             rows.append((n << 8 | byte, number[t], skip))
             skip += accepts[t]
-    rows.sort()
     table = np.array(rows, np.int64).reshape(-1, 3)
-    head = np.array([len(table), len(number), number[0], len(words), len(ids)], np.int64)
-    return b"".join(x.astype("<i8").tobytes() for x in (head, table[:, 0], table[:, 1], table[:, 2], ends, offsets_of(lens), ids.astype(np.int64)))
+    edges_of = PairTable(table[:, 0] >> 8, table[:, 0] & 255, table[:, 2].astype(np.int32), table[:, 1].astype(np.int32))
+    head = np.array([len(edges_of.keys), edges_of.steps, len(number), number[0], len(words), len(ids), max(map(len, words), default=0)], np.int64)
+    parts = (edges_of.keys.astype("<u8"), edges_of.rank.astype("<i4"), edges_of.made.astype("<i4"), ends.astype("<i8"), offsets_of(lens).astype("<i8"), ids.astype("<i8"))
+    return b"".join(x.tobytes() for x in (head.astype("<i8"), *parts))
 
 
 class Lexicon:
-    def __init__(self, image: bytes):
-        self.file = tempfile.TemporaryFile()  # noqa: SIM115  open as long as the map
-        self.file.write(image)
-        self.file.flush()
-        raw = np.memmap(self.file, "<i8", "r")
-        n, states, self.root, words, total = (int(v) for v in raw[:5])
-        at = np.cumsum([5, n, n, n, states, words + 1, total])
-        self.key, self.target, self.skip, self.final, self.bounds, self.ids = (raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True))
+    """The automaton over an image: bytes, or the path of a file that is mapped."""
+
+    def __init__(self, image: bytes | str):
+        raw = np.memmap(image, np.uint8, "r") if isinstance(image, str) else np.frombuffer(image, np.uint8)
+        slots, steps, states, self.root, words, total, self.longest = (int(v) for v in raw[:56].view("<i8"))
+        at = 56
+
+        def take(count: int, dtype: str) -> np.ndarray:
+            nonlocal at
+            size = count * np.dtype(dtype).itemsize
+            at += size
+            return np.asarray(raw[at - size : at].view(dtype))
+
+        keys, skip, target = take(slots, "<u8"), take(slots, "<i4"), take(slots, "<i4")
+        self.edges = PairTable.over(keys, skip, target, steps)
+        self.final, self.bounds, self.ids = take(states, "<i8"), take(words + 1, "<i8"), take(total, "<i8")
         self.states = states
 
     def find(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Numbers of words given by their bytes; -1 if the lexicon lacks one."""
         out = np.full(len(starts), -1, np.int64)
-        if not len(self.key):
-            return out
-        live = np.arange(len(starts))
-        state = np.full(len(starts), self.root, np.int64)
-        number = np.zeros(len(starts), np.int64)
-        step = 0
+        live = np.flatnonzero(lens <= self.longest) if self.longest else np.zeros(0, np.int64)
+        at, end = starts[live], starts[live] + lens[live]
+        state, number = np.full(len(live), self.root, np.int32), np.zeros(len(live), np.int32)
+        none = np.iinfo(np.int32).max
         while len(live):
-            end = lens[live] == step
-            done = live[end]
-            ok = self.final[state[done]] == 1
-            out[done[ok]] = number[done[ok]]
-            live = live[~end]
-            key = state[live] << 8 | data[starts[live] + step]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[at] == key
-            live, at = live[hit], at[hit]
-            number[live] += self.skip[at]
-            state[live] = self.target[at]
-            step += 1
+            skip, state = self.edges.find(state, data[at])
+            at = at + 1
+            number = number + skip  # of use only where there is an edge
+            on = skip != none
+            done = np.flatnonzero(on & (at == end))
+            done = done[self.final[state[done]] == 1]
+            out[live[done]] = number[done]
+            go = np.flatnonzero(on & (at < end))
+            live, at, end, number, state = live[go], at[go], end[go], number[go], state[go]
         return out
 
     def outputs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,13 +1,17 @@
 """BPE encoding and decoding over a minimal acyclic transducer lexicon.
 
-All words of all documents are counted (pre-aggregated in the workers, then by
-Spark); the ``LEXICON`` most frequent ones with at least ``MIN_COUNT`` occurrences
-are encoded once and compiled into the transducer, which bounds what is broadcast.
-Workers map it into memory; a word that it lacks is merged exactly.  A document's
-ids decode to the document's very bytes.
+All words of all documents, each with the blank before it, are counted (pre-aggregated
+in the workers, then by Spark); the ``LEXICON`` most frequent ones with at least
+``MIN_COUNT`` occurrences are encoded once and compiled into the transducer, which
+bounds its size.  It lies in the shared folder, Spark takes it to each executor, and all
+workers there map the same file.  Every word walks through it first; one that it lacks is
+merged exactly.  A document's ids decode to the document's very bytes.
 
 Defined results: null and empty texts have no ids; strings of added tokens in a text
-become their ids; repeated rows are encoded each; ids of documents may be null.
+become their ids; repeated rows are encoded each; ids of documents may be null.  Texts
+of any length are encoded whole, one that is longer than a block as a block of its own.
+Other columns of the input are not read, whatever their names.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -16,12 +20,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BytePairEncoder
 from .lexicon import Lexicon, build
-from .store import drop, written
+from .pretokens import chunks
+from .store import drop, shipped, written
 from .textcore import arrow_map, blocks, table
 
 #: Words of the lexicon, at most, and the occurrences that a word of it has, at least.
@@ -37,14 +43,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _count(batches):
+def _counted(batches, added: list[bytes]):
     """Words with the blank before them, counted; a word may come in several rows."""
     keys = np.zeros(1 << _SLOT_BITS, np.uint64)
     counts = np.zeros(1 << _SLOT_BITS, np.int64)
     words = np.zeros(1 << _SLOT_BITS, f"S{MAX_BYTES}")
     for _, blk in blocks(batches):
-        s, e, _ = blk.words()
-        s = s[(at := e - s < MAX_BYTES)]
+        s, e, _ = chunks(blk, added)
+        s = s[(at := e - s <= MAX_BYTES)]
         e = e[at]
         h = blk.hash_spans(s, e)
         h, first, n = np.unique(h, return_index=True, return_counts=True)
@@ -69,9 +75,13 @@ def _count(batches):
         yield pa.record_batch([pa.array(words[at].tolist(), pa.binary()), pa.array(counts[at], pa.int64())], names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame, limit: int = LEXICON, least: int = MIN_COUNT, text: str = "text") -> list[bytes]:
+def frequent_words(docs: DataFrame, tokenizer: str, limit: int = LEXICON, least: int = MIN_COUNT, text: str = "text") -> list[bytes]:
     """The most frequent words: all at or above the lowest level of counts (16 levels for each factor of e) that at most ``limit`` words reach."""
-    counted = arrow_map(docs.select(F.col(f"`{text}`").alias("text")), _count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def count(batches):
+        yield from _counted(batches, BytePairEncoder.of(tokenizer).added_bytes)
+
+    counted = arrow_map(docs.select(F.col(f"`{text}`").alias("text")), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     kept = written(counted.where(F.col("n") >= least).select("word", F.floor(F.ln("n") * 16).cast("int").alias("level")), "words")
     levels = sorted(((r["level"], r["count"]) for r in kept.groupBy("level").count().collect()), reverse=True)  # some hundred rows
     total, low = 0, None
@@ -85,39 +95,26 @@ def frequent_words(docs: DataFrame, limit: int = LEXICON, least: int = MIN_COUNT
 
 
 def compile_lexicon(words: list[bytes], tokenizer: str) -> bytes:
-    """Transducer over the words' pretokens, each with a blank before it if it starts a word."""
-    enc = BytePairEncoder(tokenizer)
-    texts = [" " + w.decode(errors="replace") for w in words]
-    data, lens, special, _ = enc.pretokens(texts)
-    raw, at = data.tobytes(), np.append(0, np.cumsum(lens))
-    kept = sorted({raw[a:z] for a, z, x in zip(at[:-1], at[1:], special, strict=True) if x < 0})
-    ids, n = enc.merge(np.frombuffer(b"".join(kept), np.uint8), np.array([len(w) for w in kept], np.int64))
-    return build(kept, ids, n)
-
-
-def encoder(tokenizer: str, image) -> BytePairEncoder:
-    """The worker's encoder, with this lexicon (a broadcast variable)."""
+    """Transducer from words, as they stand in texts, to their ids."""
     enc = BytePairEncoder.of(tokenizer)
-    if getattr(enc, "image_id", None) != image.id_:
-        enc.lexicon, enc.image_id = Lexicon(image.value), image.id_
-    return enc
-
+    words = sorted({*words})
+    data, lens, special, count = enc.pretokens([w.decode() for w in words])
+    ids, n = enc.encode_pretokens(data, lens, special)
+    bounds = np.append(0, np.cumsum(count))
+    return build(words, ids, np.add.reduceat(n, bounds[:-1]) if len(words) else np.zeros(0, np.int64))
 
-class _Image:
-    """The broadcast image under a name of its own, by which workers know it again."""
 
-    def __init__(self, spark: SparkSession, data: bytes):
-        self.id_ = hashlib.sha256(data).hexdigest()
-        self.held = spark.sparkContext.broadcast(data)
-
-    @property
-    def value(self) -> bytes:
-        return self.held.value
+def encoder(tokenizer: str, image: str) -> BytePairEncoder:
+    """The worker's encoder with the lexicon of that file, which Spark has brought here."""
+    enc = BytePairEncoder.of(tokenizer)
+    if getattr(enc, "image", None) != image:
+        enc.lexicon, enc.image = Lexicon(SparkFiles.get(image)), image
+    return enc
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if wanted."""
-    image = _Image(docs.sparkSession, compile_lexicon(frequent_words(docs, text=text), tokenizer))
+    image = shipped(docs.sparkSession, compile_lexicon(frequent_words(docs, tokenizer, text=text), tokenizer), "lexicon")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

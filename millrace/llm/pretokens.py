@@ -3,7 +3,7 @@
 The tokenizer's pattern never joins what stands on both sides of the last blank of
 a run of white space that a word follows.  So a text may be cut before that blank,
 and the ids of the text are the ids of its chunks, joined.  Chunks repeat, so each
-distinct one is encoded once and looked up by its 64-bit hash afterwards.
+distinct one is encoded once and looked up afterwards by two independent 64-bit hashes.
 
 Texts for which that might not hold, those with an added token's string or with
 white space beyond ASCII's, stay one chunk.
@@ -68,41 +68,51 @@ def joinable(blk: Block, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids of chunks by hash; of fixed size, later chunks take the places of earlier ones."""
+    """Ids of chunks by hash; of fixed size, later chunks take the places of earlier ones.
 
-    def __init__(self, bits: int = 21, room: int = 16 << 20, dtype=np.uint16):
+    A chunk is known again by 128 bits, two hashes with seeds of their own.
+    """
+
+    def __init__(self, bits: int = 20, room: int = 16 << 20, dtype=np.uint16):
         self.shift = np.uint64(64 - bits)
         self.keys = np.zeros(1 << bits, np.uint64)
+        self.checks = np.zeros(1 << bits, np.uint64)
         self.starts = np.zeros(1 << bits, np.int64)
         self.lens = np.zeros(1 << bits, np.int32)
         self.store = np.zeros(room, dtype)
         self.used = 0
 
-    def encode(self, blk: Block, added: list[bytes], new: Callable) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a block and their bounds by document.  new(blk, s, e) gives ids and lengths of unknown chunks."""
-        s, e, first = chunks(blk, added)
-        h = blk.hash_spans(s, e)
+    def look_up(self, blk: Block, s: np.ndarray, e: np.ndarray, new: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, joined, and how many each has.  new(blk, s, e) gives both for unknown chunks."""
+        h, check = blk.hash_spans(s, e), blk.hash_spans(s, e, 1)
         slot = (h >> self.shift).astype(np.int64)
         start, length = self.starts[slot], self.lens[slot]
-        miss = np.flatnonzero(self.keys[slot] != h)
+        miss = np.flatnonzero((self.keys[slot] != h) | (self.checks[slot] != check))
         if len(miss):
             order = np.argsort(h[miss])
-            new_key = np.append(True, np.diff(h[miss][order]) != 0)
+            a, b = h[miss][order], check[miss][order]
+            new_key = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             one = miss[order[new_key]]
             back = np.empty(len(miss), np.int64)
             back[order] = np.cumsum(new_key) - 1
             ids, lens = new(blk, s[one], e[one])
             if self.used + len(ids) > len(self.store):
                 self.keys[:] = 0  # start afresh: known chunks of this block are encoded anew
+                self.checks[:] = 0
                 self.used = 0
                 if len(ids) > len(self.store):
                     self.store = np.zeros(2 * len(ids), self.store.dtype)
                 if len(miss) < len(h):
-                    return self.encode(blk, added, new)
+                    return self.look_up(blk, s, e, new)
             at = self.used + offsets_of(lens)[:-1]
             self.store[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.keys[slot[one]], self.starts[slot[one]], self.lens[slot[one]] = h[one], at, lens
+            self.keys[slot[one]], self.checks[slot[one]], self.starts[slot[one]], self.lens[slot[one]] = h[one], check[one], at, lens
             start[miss], length[miss] = at[back], lens[back]
-        ids = self.store[ragged(start, length)]
+        return self.store[ragged(start, length)], length
+
+    def encode(self, blk: Block, added: list[bytes], new: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block and their bounds by document."""
+        s, e, first = chunks(blk, added)
+        ids, length = self.look_up(blk, s, e, new)
         return ids, offsets_of(segment_sum(length, first))

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
+#: Used only where ``spark.checkpoint.dir`` is unset and all of Spark runs on one machine, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (master.startswith("local-cluster") or not master.startswith("local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or LOCAL_DEFAULT
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -44,6 +49,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def shipped(spark: SparkSession, data: bytes, label: str) -> str:
+    """Writes data to the shared folder and has Spark bring it to every executor; returns the name for ``SparkFiles.get``."""
+    path = f"{scratch_path(spark, label)}.bin"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    for a in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[a : a + (1 << 20)]))
+    out.close()
+    atexit.register(_remove_late, spark, path)
+    spark.sparkContext.addFile(path)
+    return urlparse(path).path.rsplit("/", 1)[-1]
+
+
 def drop(df: DataFrame) -> None:
     """Removes a scratch table that nothing reads any more."""
     remove(df.sparkSession, df.scratch_path)

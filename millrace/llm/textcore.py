@@ -17,17 +17,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 19
+#: Arrow batches that workers get, at most.
+BATCH_BYTES = 16 << 20
 SHINGLE = 5
 
+#: Spans up to this size are hashed side by side, eight bytes a step; longer ones by the library, one by one.
+SHORT_SPAN = 64
+
 _U = np.uint64
-_rng = np.random.default_rng(0x5EED)
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -43,18 +46,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next block."""
-    p = _powers.get(name)
-    if p is None or len(p) < n:
-        p = np.full(max(n, BLOCK_BYTES + 4096), base, np.uint64)
-        p[0] = 1
-        p = np.multiply.accumulate(p)
-        _powers[name] = p
-    return p[:n]
+def _stirred(h: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    h = (h ^ lane) * _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(31)
+    h *= _U(0x94D049BB133111EB)
+    h ^= h >> _U(29)
+    return h
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
@@ -122,7 +119,14 @@ class Block:
         buf[keep] = data
         self.data = buf
         self._words = None
-        self._prefix = None
+        self._lanes = None
+
+    def with_data(self, data: np.ndarray) -> Block:
+        """The same documents with other bytes in the same places."""
+        out = Block.__new__(Block)
+        out.n, out.doc_start, out.doc_end = self.n, self.doc_start, self.doc_end
+        out.data, out._words, out._lanes = data, None, None
+        return out
 
     @property
     def bounds(self) -> np.ndarray:
@@ -139,15 +143,33 @@ class Block:
             self._words = s, e, first
         return self._words
 
-    def hash_spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """64-bit hashes of data[s:e], equal for equal bytes."""
-        n = len(self.data)
-        if self._prefix is None:
-            self._prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE_CODE[self.data] * _power("base", _BASE, n), out=self._prefix[1:])
-        c = self._prefix
-        inv = _power("inv", _BASE_INV, n + 1)
-        return mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64))
+    def hash_spans(self, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+        """64-bit hashes of data[s:e], equal for equal bytes; each seed gives a function of its own.
+
+        Every step is a bijection of what was hashed so far and a multiplication that isn't
+        linear in the bytes, so texts of regular make don't collide more often than others.
+        """
+        if self._lanes is None:
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[:-8] = self.data
+            self._lanes = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
+        n = e - s
+        h = mix(n.astype(np.uint64) + _U(0x9E3779B97F4A7C15 * (2 * seed + 1) & (1 << 64) - 1))
+        live, left = np.flatnonzero((n > 0) & (n <= SHORT_SPAN)), None
+        if len(live) == len(n):  # the usual case: no span is left out of the first step
+            h = _stirred(h, self._lanes[s] & _LANE[np.minimum(n, 8)])
+            at, live = 8, np.flatnonzero(n > 8)
+        else:
+            at = 0
+        while len(live):
+            left = n[live] - at
+            h[live] = _stirred(h[live], self._lanes[s[live] + at] & _LANE[np.minimum(left, 8)])
+            at += 8
+            live = live[left > 8]
+        raw = memoryview(self.data)
+        for i in np.flatnonzero(n > SHORT_SPAN):
+            h[i] = xxhash.xxh3_64_intdigest(raw[s[i] : e[i]], seed + 1)
+        return mix(h)
 
     def word_hashes(self) -> np.ndarray:
         s, e, _ = self.words()
@@ -217,9 +239,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for two workers in a small executor."""
+    """mapInArrow with batches small enough for two workers in a small executor.
+
+    The limit is read when the plan runs, so the session must keep it; one that the caller
+    has made smaller stays as it is.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    now = spark.conf.get(limit, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
