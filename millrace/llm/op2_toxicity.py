@@ -36,7 +36,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -384,7 +383,7 @@ def measured(docs: DataFrame, model: Model, finish, kind: str, schema: str) -> D
             waits[pair[0].astype(np.int64)] = True
             lists = np.searchsorted(pair[0], np.arange(blk.n + 1, dtype=np.uint64)).astype(np.int32)
             x = features(blk, np.nan_to_num(r))
-            text = pc.if_else(pa.array(waits), b.column("text"), pa.scalar(None, b.column("text").type))
+            text = b.column("text").take(pa.array(np.arange(blk.n), mask=~waits))
             yield pa.record_batch([pa.array(row + np.arange(blk.n)), b.column("id"), text, *(pa.array(x[:, k]) for k in range(3)), pa.ListArray.from_arrays(pa.array(lists), pa.array(pair[1].view(np.int64)))], names=["row", "id", "text", "x0", "x1", "x2", "asked"])
             row += blk.n
 
