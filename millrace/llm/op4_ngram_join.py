@@ -15,7 +15,10 @@ exactly, as a product of 0/1 shingle matrices, in blocks of ``BLOCK`` texts: pai
 counted, never emitted.
 
 Large subtrees and groups are split into pairs of blocks, each a task's unit of
-work, so no task holds an unbounded group; exact copies never meet at all.
+work, of bounded numbers of texts and of shingles, so no task holds an unbounded group;
+exact copies never meet at all.  What is joined to the rows of a group (its size, its
+class) is written first, so both sides of the join are dealt out for it and adaptive
+execution can split a large group's rows.
 
 The result has a row for each document: its class (least id that a chain of links
 reaches), its copy class (least id of the same text) and its number of links, which
@@ -23,7 +26,11 @@ counts every other document with similarity >= ``SIMILARITY``, copies included.
 
 Defined results: null text is the empty text; texts without words link to their own
 copies only.  A text of 1 to 4 words has one shingle of all its words.  Repeated rows
-and repeated or null ids are documents like any other.
+and repeated or null ids are documents like any other.  Shingles are compared by 64-bit
+hashes of their words.  Texts of any length are whole; a text longer than a unit is a block
+of its own.  An empty table gives no rows.  Only the id and the text are read by the join;
+``stage`` carries the other columns in a struct, so no name can clash, and of rows of equal
+id and text keeps the one with the least hash of all columns.
 """
 
 from __future__ import annotations
@@ -35,13 +42,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sketch import HASHES, binary, group_starts, linked_roots, matrix, signatures, whole_groups
-from .store import written
+from .store import drop, written
 from .textcore import SHINGLE, arrow_map, blocks, distinct_by_segment, table
 
 SIMILARITY, RECALL = 0.8, 0.999
 TREES, DEPTH = 16, HASHES // 16
-#: Texts in half of a unit of comparison.
-BLOCK = 256
+#: Texts in half of a unit of comparison, and bytes of their shingle hashes, about.
+BLOCK, BLOCK_SHINGLES = 512, 4 << 20
+#: Tables of keys up to this size are sent to all executors; larger ones are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def floor_depth(recall: float = RECALL, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -64,9 +73,8 @@ def text_key(text: str = "text") -> Column:
 def _signed(batches):
     for b, blk in blocks(batches):
         h, bounds = blk.shingles(SHINGLE)
-        has = np.diff(bounds) > 0
         sig = signatures(h, bounds)
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("id"), pa.array(has), binary(sig)], names=["node", "id", "has", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("id"), pa.array(np.diff(bounds)), binary(sig)], names=["node", "id", "size", "sig"])
 
 
 def _tree_keys(depth: int):
@@ -89,6 +97,16 @@ def _tree_keys(depth: int):
     return run
 
 
+def _slim(batches):
+    """Of each signature what a subtree needs: the path in its tree, and the last byte of every minimum."""
+    for b in batches:
+        if b.num_rows:
+            full = matrix(b.column("sig"), np.uint32, HASHES)
+            tree = b.column("t").to_numpy().astype(np.int64)
+            path = full[np.arange(len(full))[:, None], tree[:, None] * DEPTH + np.arange(DEPTH)]
+            yield pa.RecordBatch.from_arrays([b.column("tree"), b.column("n"), b.column("node"), binary(path), binary(full.astype(np.uint8))], names=["tree", "n", "node", "path", "low"])
+
+
 def climb(sig: np.ndarray, path: np.ndarray, low: int, floor: int) -> np.ndarray:
     """Groups of one subtree: for each text the first text, in its order, that it is tied to.
 
@@ -119,10 +137,8 @@ def _agreeing(low: int, floor: int):
     def run(batches):
         key = ["tree", "i", "j"]
         for t in whole_groups(batches, key):
-            full = matrix(t.column("sig").combine_chunks(), np.uint32, HASHES)
-            tree = t.column("t").to_numpy().astype(np.int64)
-            path = full[np.arange(len(full))[:, None], tree[:, None] * DEPTH + np.arange(DEPTH)]
-            sig = full.astype(np.uint8)
+            path = matrix(t.column("path").combine_chunks(), np.uint32, DEPTH)
+            sig = matrix(t.column("low").combine_chunks(), np.uint8, HASHES)
             starts = group_starts(t, key)
             size = np.diff(starts)
             group = np.repeat(np.arange(len(size)), size)
@@ -150,8 +166,9 @@ def _shingled(batches):
         yield pa.RecordBatch.from_arrays([b.column("node"), sets], names=["node", "shingles"])
 
 
-def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets, as products of 0/1 matrices."""
+def intersections(sets: list[np.ndarray], room: int = 1 << 22) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted sets, as products of 0/1 matrices of so many cells."""
+    width = max(room // len(sets), 64)
     size = np.array([len(s) for s in sets])
     value, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.full(len(value), -1)
@@ -195,45 +212,53 @@ def _verified(similarity: float):
     return run
 
 
-def _in_units(df: DataFrame, key: str, count: str) -> DataFrame:
+def _in_units(df: DataFrame, key: str, parts: Column) -> DataFrame:
     """Deals the rows of each key out to pairs of blocks; adds parts (blocks of the key), block, i and j."""
-    parts = F.ceil(F.col(count) / BLOCK).cast("int")
-    df = df.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    df = df.select("*", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")).drop("_other", count)
+    df = df.withColumn("parts", parts.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    df = df.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other")
     return df.repartition(F.col(key), F.col("i"), F.col("j")).sortWithinPartitions(key, "i", "j", "node")
 
 
+def small(keys: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table of keys, marked for broadcast if its size allows."""
+    return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, nodes).  documents: id, node for every row.  nodes, one for each distinct text: node, rep (its least id), copies, links, class_node, class_id."""
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("node", text_key())
-    schema = f"node binary, id {docs.schema[id_col].dataType.simpleString()}, has boolean, sig binary"
+    schema = f"node binary, id {docs.schema[id_col].dataType.simpleString()}, size bigint, sig binary"
     signed = written(arrow_map(base, _signed, schema), "signatures")
-    nodes = written(signed.groupBy("node").agg(F.min(F.struct("id", "has", "sig")).alias("first"), F.count("*").alias("copies")).select("node", F.col("first.id").alias("rep"), "first.has", "first.sig", "copies"), "nodes")
+    nodes = written(signed.groupBy("node").agg(F.min(F.struct("id", "size", "sig")).alias("first"), F.count("*").alias("copies")).select("node", F.col("first.id").alias("rep"), "first.size", "first.sig", "copies"), "nodes")
+    documents = written(signed.select("id", "node"), "documents")
+    drop(signed)
     depth, low = floor_depth(recall, similarity), least_agreement(similarity)
 
-    paths = arrow_map(nodes.where("has").select("node", "sig"), _tree_keys(depth), "tree bigint, t tinyint, node binary")
-    met = paths.groupBy("tree").agg(F.count("*").alias("n")).where("n > 1")
-    units = _in_units(paths.join(met, "tree").join(nodes.select("node", "sig"), "node"), "tree", "n")
-    maybe = components(arrow_map(units.select("tree", "i", "j", "t", "node", "sig"), _agreeing(low, depth), "a binary, b binary"), "a", "b")
-    maybe = written(maybe, "groups")
-
-    group = maybe.join(maybe.groupBy("root").agg(F.count("*").alias("n")), "root").join(nodes.select("node", "rep", "copies"), "node")
-    leads = group.select(F.col("node").alias("lead_node"), F.col("rep").alias("lead_id"))
-    texts = base.join(leads, F.expr("node = lead_node and id <=> lead_id"), "left_semi")
+    paths = arrow_map(nodes.where("size > 0").select("node", "sig"), _tree_keys(depth), "tree bigint, t tinyint, node binary")
+    met = written(paths.groupBy("tree").agg(F.count("*").alias("n")).where("n > 1"), "subtrees")
+    meeting = paths.join(met, "tree").join(nodes.select("node", "sig"), "node").select("tree", "n", "t", "node", "sig")
+    units = _in_units(arrow_map(meeting, _slim, "tree bigint, n bigint, node binary, path binary, low binary"), "tree", F.ceil(F.col("n") / BLOCK))
+    maybe = components(arrow_map(units.select("tree", "i", "j", "node", "path", "low"), _agreeing(low, depth), "a binary, b binary"), "a", "b")
+    drop(met)
+
+    group = written(maybe.join(nodes.select("node", "rep", "copies", "size"), "node"), "groups")
+    sizes = written(group.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_SHINGLES)).cast("int").alias("n")), "sizes")
+    leads = written(group.select(F.col("node").alias("lead_node"), F.col("rep").alias("lead_id")), "leads")
+    texts = base.join(small(leads, 64), F.expr("node = lead_node and id <=> lead_id"), "left_semi")
     sets = arrow_map(texts.select("node", "text"), _shingled, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    units = _in_units(group.select("root", "n", "node", "copies").join(sets, "node"), "root", "n")
+    units = _in_units(group.join(sizes, "root").select("root", "n", "node", "copies").join(sets, "node"), "root", F.col("n"))
     verified = written(arrow_map(units, _verified(similarity), "node binary, links bigint, to binary, whole boolean"), "verified")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     # a group that one unit holds is settled; links across units are joined up
     classes = verified.where("whole").select("node", F.col("to").alias("root")).unionByName(components(verified.where("not whole"), "node", "to"))
     named = classes.join(nodes.select("node", "rep"), "node")
-    lead = named.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("lead"))
+    lead = written(named.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("lead")), "class_leads")
     named = named.join(lead, "root").select("node", F.col("lead.node").alias("class_node"), F.col("lead.rep").alias("class_id"))
     out = nodes.select("node", "rep", "copies").join(links, "node", "left").join(named, "node", "left")
     out = out.select("node", "rep", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class_node", "node").alias("class_node"), F.when(F.col("class_node").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"))
-    return signed.select("id", "node"), out
+    return documents, out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +269,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that with the least id."""
-    _, nodes = near_duplicates(docs)
-    lead = nodes.where("node = class_node").select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    kept = docs.withColumn("_key", text_key()).join(lead, F.expr("_key = _node and doc_id <=> _rep"), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    documents, nodes = near_duplicates(docs)
+    nodes = written(nodes.select("node", "rep", (F.col("node") == F.col("class_node")).alias("leads")), "classes")
+    rows = written(documents.groupBy("node", "id").agg(F.count("*").alias("times")), "copies")
+    judged = rows.join(nodes, "node").select("node", "id", "times", (F.col("leads") & F.col("id").eqNullSafe(F.col("rep"))).alias("stays"))
+    judged = written(judged, "judged")
+    here = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("key"), F.col("doc_id").alias("own"))
+    same = F.expr("key = node and own <=> id")
+    kept = here.join(small(judged.where("not stays or times > 1"), 64), same, "left_anti")  # most rows, which need no shuffle
+    again = judged.where("stays and times > 1")
+    if not again.isEmpty():
+        twins = here.join(small(again, 64), same, "left_semi")
+        kept = kept.select("row").unionAll(twins.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return kept.select([F.col("row").getField(c).alias(c) for c in docs.columns])
