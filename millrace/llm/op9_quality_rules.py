@@ -1,14 +1,17 @@
 """Quality rules: base limits, then an isolation forest on rule statistics.
 
-``fit_rules`` draws a bounded sample of labelled rows (``MAX_LABELLED``), fits the
-forest on the rows labelled good with a few bad ones among them, and sets the
-score limit where the fewest labelled rows are judged wrongly.
-``judge`` adds the counts, ``base_failed``, ``anomaly`` and ``kept`` to any table.
+``fit_rules`` draws a bounded sample of labelled rows (``MAX_LABELLED``) and fits the
+forest on the rows labelled good with a few bad ones among them.  The limit is set where
+the fewest labelled rows are judged wrongly, each scored by those trees only that haven't
+seen it (a tree sees 256 rows, and half of them at most).  ``judge`` adds the counts, ``base_failed``, ``anomaly`` and
+``kept`` to any table.
 
 Defined results: null and empty texts have counts of 0 and fail the base limits
-(under 20 words).  Repeated rows and ids are judged row by row.  Without labels of
-both kinds the limit is 1, so that only the base limits decide.  Columns of the
-input keep their names; a clash with an added name drops the input's column.
+(under 20 words).  Repeated rows and ids are judged row by row; of labelled rows of equal
+id and label the fit sees one, that with the least statistics.  Without labels of both
+kinds the limit is 1, so that only the base limits decide.  Texts of any length are read
+whole; an empty table gives no rows.  Columns of the input keep their names; a clash with
+an added name drops the input's column (``stage`` adds none and keeps all).
 """
 
 from __future__ import annotations
@@ -58,7 +61,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed=None
 
 
 def sample_matrix(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], allowed=None, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    got = with_counts(labelled_sample(docs, labels, label, allowed, limit), keep_text=False).select("doc_id", "label", *columns).limit(4 * limit).toPandas()
+    rows = with_counts(labelled_sample(docs, labels, label, allowed, limit), keep_text=False)
+    got = rows.groupBy("doc_id", "label").agg(F.min(F.struct(*columns)).alias("x")).select("doc_id", "label", "x.*").toPandas()  # limit at most
     got = got.sort_values(["doc_id", "label", *columns], ignore_index=True)
     return got[columns].to_numpy(float), got["label"].to_numpy(int)
 
@@ -80,9 +84,13 @@ def fit_rules(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) ->
     good, bad = x[y == 1], x[y == 0]
     if len(good) < 2 or not len(bad):
         return Rules(None)
-    few = bad[:: max(1, len(bad) // max(1, int(BAD_SHARE * len(good))))][: max(1, int(BAD_SHARE * len(good)))]
-    forest = IsolationForest().fit(np.concatenate([good, few]))
-    s = forest.score(x)
+    n = max(1, int(BAD_SHARE * len(good)))
+    few = np.zeros(len(bad), bool)
+    few[:: max(1, len(bad) // n)] = True
+    few &= np.cumsum(few) <= n
+    forest = IsolationForest().fit(np.concatenate([good, bad[few]]))
+    s = np.concatenate([forest.score_unseen(np.concatenate([good, bad[few]])), forest.score(bad[~few])])
+    y = np.concatenate([np.ones(len(good), int), np.zeros(len(bad), int)])
     order = np.argsort(s, kind="stable")
     s, y = s[order], y[order]
     # judged bad from place k on: good rows there and bad rows before it are wrong
