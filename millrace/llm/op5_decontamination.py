@@ -12,17 +12,22 @@ A window can share a minimum with an item only if it holds that item's minimum
 shingle, so windows without any of those shingles are skipped before a signature
 is computed; this leaves the outcome as it is.
 
-Items are handled in blocks of about ``ITEM_BYTES`` of text, which bounds what a
-worker gets; each block is compared with all documents.
+Items are handled in blocks of about ``ITEM_BYTES`` of text, which bounds what the driver
+and a worker hold: each block is read, compared with all documents and let go, its result
+written, before the next is read.
 
 Words are lower-cased (ASCII and Latin-1 letters) and freed from ASCII punctuation.
 Defined results: items without words are found nowhere; an item of 1 to 4 words is
 one shingle of all its words; null texts are empty; repeated items and documents
-give repeated rows; null ids are kept.
+give repeated rows; null ids are kept.  Shingles are compared by 64-bit hashes of their
+words.  Texts of any length are searched whole.  Empty tables of documents or items give
+no rows (the stage then keeps all documents).  Of the input only ids and texts are read;
+``stage`` hands the other columns on untouched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sketch import permuted, signatures
+from .store import written
 from .textcore import SHINGLE, Block, arrow_map, blocks, distinct_by_segment, offsets_of, ragged, run_hashes, table
 
 CONTAINMENT = 0.8
@@ -145,25 +151,27 @@ class ItemIndex:
         return found[ok, 0], found[ok, 1], shared[ok]
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text") -> list[ItemIndex]:
-    """Indexes over all items, each over about ITEM_BYTES of text."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text") -> tuple[int, Iterator[ItemIndex]]:
+    """How many blocks all items make, and their indexes one by one, each over about ITEM_BYTES of text."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     total = items.agg(F.sum(F.octet_length(t))).first()[0] or 0
     n = max(1, -(-total // ITEM_BYTES))
-    rows = items.select(F.col(id_col).alias("id"), t.alias("text"))
-    out = []
-    for b in range(n):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) if n > 1 else rows
-        got = sorted(own.collect(), key=lambda r: (r["id"] is not None, r["id"] if r["id"] is not None else 0, r["text"]))  # bounded by ITEM_BYTES
-        out.append(ItemIndex([r["id"] for r in got], [r["text"] for r in got]))
-    return out
+    rows = items.select(F.col(f"`{id_col}`").alias("id"), t.alias("text"))
+
+    def each():
+        for b in range(n):
+            own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) if n > 1 else rows
+            got = sorted(own.collect(), key=lambda r: (r["id"] is not None, r["id"] if r["id"] is not None else 0, r["text"]))  # bounded by ITEM_BYTES
+            yield ItemIndex([r["id"] for r in got], [r["text"] for r in got])
+
+    return n, each()
 
 
 def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of documents and items they contain: id_col, item_id, n_shared, n_item, containment."""
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType
     schema = f"`{id_col}` {kinds[0]}, item_id {kinds[1].simpleString()}, n_shared bigint, n_item bigint, containment double"
-    rows = docs.select(id_col, F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("text"))
 
     def search(index: ItemIndex) -> DataFrame:
         def run(batches):
@@ -178,7 +186,8 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(kinds[1])
-    return reduce(DataFrame.unionAll, [search(x) for x in item_blocks(items)])
+    n, indexes = item_blocks(items)
+    return reduce(DataFrame.unionAll, [search(x) if n == 1 else written(search(x), "contained") for x in indexes])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,13 +196,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    for index in item_blocks(table(spark, sf_dir, "benchmark")):
+    n, indexes = item_blocks(table(spark, sf_dir, "benchmark"))
 
-        def run(batches, index=index):
+    def clean(index: ItemIndex):
+        def run(batches):
             for b, blk in blocks(batches):
-                clean = np.ones(b.num_rows, bool)
-                clean[index.pairs(blk, CONTAINMENT)[0]] = False
-                yield b.filter(pa.array(clean))
+                stays = np.ones(b.num_rows, bool)
+                stays[index.pairs(blk, CONTAINMENT)[0]] = False
+                yield b.filter(pa.array(stays))
+
+        return run
 
-        docs = arrow_map(docs, run, docs.schema)
+    for index in indexes:
+        docs = arrow_map(docs, clean(index), docs.schema)
+        docs = docs if n == 1 else written(docs, "clean")
     return docs
