@@ -150,7 +150,7 @@ def test_second_version_scans_new_blobs_and_rules_only(spark, monkeypatch):
     monkeypatch.setitem(op8_secret_scans.RULES, "hex", (2, *op8_secret_scans.RULES["hex"][1:]))  # a rule changes: its pairs are new
     op8_secret_scans.update_ledger(second, ledger, version="c")
     rules = op8_secret_scans.read_ledger(spark, ledger).groupBy("rule").count().collect()
-    assert {r["rule"]: r["count"] for r in rules if r["rule"].startswith("hex")} == {"hex@1": 3, "hex@2": 2}
+    assert {r["rule"]: r["count"] for r in rules if r["rule"].startswith("hex")} == {"hex@1": 3, "hex@2": 3}
 
 
 # -- stages on clashing names, ties, repeats, empty tables ---------------------------------------------
