@@ -1,14 +1,19 @@
-"""Transactions as queries, and a checker of histories."""
+"""Transactions as queries: levels, races of real threads, a server's clients, and a checker of histories."""
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
 from ..sources.tables import table
+from .listener import Connection, Listener
 from .sessions import Server
-from .store import Conflict, VersionedTable
+from .store import LEVELS, Conflict, Database, Transaction, VersionedTable, claim
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> VersionedTable:
@@ -103,24 +108,63 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "client string, n bigint")
 
 
+def begin_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction reads the version it began with, however many come after; version and rows that it sees."""
+    t = _customers(spark, sf_dir)
+    reader = t.begin()
+    for nation in range(3):
+        x = t.begin()
+        x.delete(F.col("c_nationkey") == nation)
+        x.commit()
+    return reader.read().agg(F.count("*").alias("n")).withColumn("version", F.lit(reader.whole.version)).withColumn("latest", F.lit(t.latest()))
+
+
+def at_once(*work: Callable[[Callable[[], None]], object]) -> list:
+    """Runs functions in threads of their own; each gets a barrier to wait at.  Returns results, or Conflicts."""
+    gate = threading.Barrier(len(work))
+
+    def one(f):
+        try:
+            return f(lambda: gate.wait(600))
+        except Conflict as e:
+            return e
+
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [f.result() for f in [pool.submit(one, f) for f in work]]
+
+
+def commit_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight threads claim one version, forty times: how many win, and whether the winner's entry is what is there."""
+    path, rows = new_path(spark, "race"), []
+    for k in range(40):
+        name = f"{path}/{k:012d}.json"
+
+        def one(wait, me, name=name):
+            wait()
+            return claim(spark, name, f"entry of {me}".encode())
+
+        won = at_once(*(lambda wait, me=me: one(wait, me) for me in range(8)))
+        rows.append((sum(won), spark.read.text(name).first()[0] == f"entry of {won.index(True)}"))
+    return spark.createDataFrame(rows, "winners bigint, intact boolean").groupBy("winners", "intact").agg(F.count("*").alias("races"))
+
+
 def _race(change):
-    """Two transactions at once at each level: how many of them commit."""
+    """Two transactions of two threads, both begun before either changes anything and both done before either commits: how many commit at each level."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = []
         for level in ("snapshot", "serializable"):
             t = _customers(spark, sf_dir)
-            both = [t.begin(level), t.begin(level)]
-            for k, x in enumerate(both):
+
+            def one(wait, k, t=t, level=level):
+                x = t.begin(level)
+                wait()
                 change(spark, x, k)
-            ok = 0
-            for x in both:
-                try:
-                    x.commit()
-                    ok += 1
-                except Conflict:
-                    pass
-            rows.append((level, ok))
+                wait()
+                return x.commit()
+
+            got = at_once(lambda wait, one=one: one(wait, 0), lambda wait, one=one: one(wait, 1))
+            rows.append((level, sum(not isinstance(g, Conflict) for g in got)))
         return spark.createDataFrame(rows, "level string, commits bigint")
 
     return run
@@ -134,28 +178,181 @@ def _insert_what_was_read(spark: SparkSession, x, k: int) -> None:
     x.insert(x.read().where("c_custkey = 1").withColumn("c_custkey", F.lit(-1 - k).cast("bigint")))
 
 
-#: Operations (txn, op, key, seq) of a history with a lost update, a write skew and a serial part.
-HISTORY = "values (1,'r','x',1),(2,'r','x',2),(1,'w','x',3),(2,'w','x',4),(3,'r','y',5),(4,'r','z',6),(3,'w','z',7),(4,'w','y',8),(5,'w','u',9),(6,'r','u',10),(6,'w','v',11),(7,'r','v',12)"
-#: Edges of the conflict graph (write-write, write-read, read-write), then transactions that reach themselves.
-CYCLES = f"""
-with recursive h(txn, op, k, seq) as ({HISTORY}),
+def _pair(spark: SparkSession, sf_dir: str) -> Database:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return Database.create(spark, new_path(spark, "pair"), {"left": s, "right": s})
+
+
+def skew_across_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of two threads reads one table and writes the other: both commit under snapshot, one under serializable."""
+    rows = []
+    for level in ("snapshot", "serializable"):
+        db = _pair(spark, sf_dir)
+
+        def one(wait, read, write, db=db, level=level):
+            x = db.begin(level)
+            wait()
+            n = x.read(read).count()
+            x.insert(write, spark.createDataFrame([(-n, 0.0)], "s_suppkey bigint, s_acctbal double"))
+            wait()
+            return x.commit()
+
+        got = at_once(lambda w, one=one: one(w, "left", "right"), lambda w, one=one: one(w, "right", "left"))
+        rows.append((level, sum(not isinstance(g, Conflict) for g in got)))
+    return spark.createDataFrame(rows, "level string, commits bigint")
+
+
+def both_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One commit over two tables: rows move from one to the other, and no version shows them twice or nowhere."""
+    db = _pair(spark, sf_dir)
+    x = db.begin()
+    move = F.col("s_suppkey") % 2 == 0
+    x.insert("right", x.read("left").where(move).withColumn("s_suppkey", F.col("s_suppkey") + 1000000))
+    x.delete("left", move)
+    x.commit()
+    sides = [db.read(t, v).agg(F.count("*").alias("n")).select(F.lit(t).alias("side"), F.lit(v).alias("version"), "n") for t in ("left", "right") for v in (0, 1)]
+    return sides[0].unionAll(sides[1]).unionAll(sides[2]).unionAll(sides[3])
+
+
+def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update of one key in a table of eight files: files replaced and files left as they were."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    eight = [c.where(F.pmod(F.hash("c_custkey"), F.lit(8)) == k).coalesce(1) for k in range(8)]
+    t = VersionedTable.create(spark, new_path(spark, "table"), eight[0])
+    for part in eight[1:]:
+        x = t.begin()
+        x.insert(part)
+        x.commit()
+    before = {*t.files()}
+    x = t.begin()
+    x.update(F.col("c_custkey") == 1, {"c_acctbal": F.lit(0.0)})
+    x.commit()
+    after = {*t.files()}
+    return spark.createDataFrame([(len(before - after), len(before & after))], "replaced bigint, left_alone bigint")
+
+
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which anomaly happens at which level."""
+    rows = []
+    n = lambda df: df.count()
+    one = lambda: spark.createDataFrame([(7, 7.0)], "s_suppkey bigint, s_acctbal double")
+    for level in LEVELS:
+        db = _pair(spark, sf_dir)
+        reader, writer = db.begin(level), db.begin()
+        before = n(reader.read("left"))
+        writer.insert("left", one())
+        rows.append((level, "dirty read", n(reader.read("left")) != before))
+        writer.commit()
+        rows.append((level, "phantom", n(reader.read("left")) != before))
+        reader.abort()
+        a, b = db.begin(level), db.begin(level)
+        low = [x.read("right").agg(F.min("s_suppkey")).first()[0] for x in (a, b)]
+        lost = True
+        for x, v in ((a, 1.0), (b, 2.0)):
+            x.update("right", F.col("s_suppkey") == low[0], {"s_acctbal": F.lit(v)})
+        a.commit()
+        try:
+            b.commit()
+        except Conflict:
+            lost = False
+        rows.append((level, "lost update", lost))
+        db = _pair(spark, sf_dir)
+        a, b = db.begin(level), db.begin(level)
+        for x, read, write in ((a, "left", "right"), (b, "right", "left")):
+            n(x.read(read))
+            x.insert(write, one())
+        a.commit()
+        try:
+            b.commit()
+            skew = True
+        except Conflict:
+            skew = False
+        rows.append((level, "write skew", skew))
+    return spark.createDataFrame(rows, "level string, anomaly string, happens boolean")
+
+
+def served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three clients of the server raise the same balances in serializable transactions, trying again after a conflict; no raise is lost."""
+    db = _pair(spark, sf_dir)
+
+    def client(address: tuple, raises: int) -> None:
+        c = Connection(address)
+        while raises:
+            try:
+                c.call("begin", level="serializable")
+                n = [*c.query("select count(*) as n from left")][0]["n"]
+                c.call("update", table="right", set={"s_acctbal": f"s_acctbal + {n} / {n}"}, where="s_suppkey < 3")
+                c.call("commit")
+                raises -= 1
+            except Conflict:  # the commit has ended the transaction
+                continue
+        c.close()
+
+    with Listener(spark, db.path) as server, ThreadPoolExecutor(3) as pool:
+        for f in [pool.submit(client, server.address, 2) for _ in range(3)]:
+            f.result()
+    return db.read("right")
+
+
+#: Edges of the conflict graph (write-write, write-read, read-write) of operations (txn, op, k, seq), then transactions that reach themselves.
+CYCLES = """
+with recursive h as (select * from {history}),
 e(a, b) as (select distinct p.txn, q.txn from h p join h q on p.k = q.k and p.seq < q.seq and p.txn <> q.txn and (p.op = 'w' or q.op = 'w')),
-r(a, b, n) as (select a, b, 1 from e union all select r.a, e.b, r.n + 1 from r join e on r.b = e.a where r.n < 7)
-select distinct cast(a as bigint) as txn from r where a = b"""
+r(a, b, n) as (select a, b, 1 from e union all select r.a, e.b, r.n + 1 from r join e on r.b = e.a where r.n < {longest})
+select distinct a as txn from r where a = b"""
+
+
+def in_cycles(spark: SparkSession, history: list[tuple]) -> DataFrame:
+    """txn of every transaction of a history (``Database.history``) that no serial order explains."""
+    view = f"history_{threading.get_ident()}"
+    spark.createDataFrame(history, "txn string, op string, k string, seq bigint").createOrReplaceTempView(view)
+    return spark.sql(CYCLES.format(history=view, longest=max(len({h[0] for h in history}), 2)))
+
+
+def history_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a race for write skew, of two threads, and serial transactions after it: how many transactions committed, and how many of them are in cycles."""
+    rows = []
+    for level in ("snapshot", "serializable"):
+        db = _pair(spark, sf_dir)
+
+        def one(wait, read, write, db=db, level=level):
+            x = db.begin(level)
+            wait()
+            x.insert(write, x.read(read).limit(1))
+            wait()
+            return x.commit()
+
+        at_once(lambda w, one=one: one(w, "left", "right"), lambda w, one=one: one(w, "right", "left"))
+        for _ in range(2):
+            x = Transaction(db, level)
+            x.update("left", F.col("s_suppkey") == 1, {"s_acctbal": F.lit(0.0)})
+            x.commit()
+        rows.append((level, db.latest(), in_cycles(spark, db.history()).count()))
+    return spark.createDataFrame(rows, "level string, committed bigint, in_cycles bigint")
 
 
 _BASE = "select c_custkey, c_nationkey, c_acctbal from customer"
 _NEW = "select s_suppkey + 1000000, s_nationkey, s_acctbal from supplier"
+_ONE_OF_TWO = "select 'snapshot' as level, cast(1 as bigint) as commits union all select 'serializable', 1"
+_SKEW = "select 'snapshot' as level, cast(2 as bigint) as commits union all select 'serializable', 1"
+_HAPPENS = {"dirty read": 1, "phantom": 2, "lost update": 2, "write skew": 3}  # at so many of LEVELS
 QUERIES = {
     "i1_concurrent_clients": (clients, "select 'orders' as client, count(*) as n from orders union all select 'customer', count(*) from customer union all select 'part', count(*) from part union all select 'supplier', count(*) from supplier"),
-    "k5_lost_update": (_race(_raise_balance), "select 'snapshot' as level, cast(1 as bigint) as commits union all select 'serializable', 1"),
-    "k6_write_skew": (_race(_insert_what_was_read), "select 'snapshot' as level, cast(2 as bigint) as commits union all select 'serializable', 1"),
+    "i2_served_transactions": (served, "select s_suppkey, case when s_suppkey < 3 then s_acctbal + 1 + 1 + 1 + 1 + 1 + 1 else s_acctbal end as s_acctbal from supplier"),
+    "k1_begin_pins": (begin_pins, "select count(*) as n, 0 as version, 3 as latest from customer"),
     "k2_snapshot_read": (snapshot, _BASE),
     "k3_insert": (inserted, f"{_BASE} union all {_NEW} union all {_NEW}"),
     "k3_delete": (deleted, f"{_BASE} where not c_acctbal < 0"),
     "k3_update": (updated, "select c_custkey, c_nationkey, case when c_nationkey = 3 then 0.0::double else c_acctbal end as c_acctbal from customer"),
     "k3_merge": (merged, f"{_BASE} where c_custkey not in (select s_suppkey from supplier) union all select s_suppkey, s_nationkey, s_acctbal from supplier"),
+    "k3_touched_files": (touched_files, "select cast(1 as bigint) as replaced, cast(7 as bigint) as left_alone"),
+    "k4_commit_race": (commit_race, "select cast(1 as bigint) as winners, true as intact, cast(40 as bigint) as races"),
+    "k4_both_tables": (both_tables, "select 'left' as side, 0 as version, count(*) as n from supplier union all select 'left', 1, count(*) filter (where s_suppkey % 2 <> 0) from supplier union all select 'right', 0, count(*) from supplier union all select 'right', 1, count(*) + count(*) filter (where s_suppkey % 2 = 0) from supplier"),
+    "k5_lost_update": (_race(_raise_balance), _ONE_OF_TWO),
+    "k6_write_skew": (_race(_insert_what_was_read), _SKEW),
+    "k6_skew_across_tables": (skew_across_tables, _SKEW),
     "k7_abort": (aborted, _BASE),
     "k8_time_travel": (time_travel, f"{_BASE} where c_nationkey <> 1"),
-    "k9_history_cycles": (CYCLES, None),
+    "k9_history_cycles": (history_cycles, "select 'snapshot' as level, cast(4 as bigint) as committed, cast(2 as bigint) as in_cycles union all select 'serializable', 3, 0"),
+    "k10_levels": (anomalies, " union all ".join(f"select '{v}' as level, '{a}' as anomaly, {str(k < n).lower()} as happens" for a, n in _HAPPENS.items() for k, v in enumerate(LEVELS))),
 }

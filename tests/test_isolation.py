@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.isolation.sessions import Server
-from millrace.isolation.store import Conflict, VersionedTable
+from millrace.isolation import store
+from millrace.isolation.listener import Connection, Listener
+from millrace.isolation.queries import at_once, in_cycles
+from millrace.isolation.sessions import Busy, Server, TooLarge
+from millrace.isolation.store import Conflict, Database, VersionedTable
 from millrace.sources.scratch import new_path
 
 
@@ -119,3 +123,189 @@ def test_clients_are_apart_and_can_be_cancelled(spark):
     with pytest.raises(Exception, match="cancel"):
         f.result(timeout=15)
     server.close()
+
+
+# -- commits and vacuum ----------------------------------------------------------------------
+
+
+def test_five_hundred_races_have_one_winner_each(spark):
+    path, rounds = new_path(spark, "races"), 500
+
+    def run(wait, me):
+        won = []
+        for k in range(rounds):
+            wait()
+            won.append(store.claim(spark, f"{path}/{k:012d}.json", b"%d" % me))
+        return won
+
+    got = at_once(*(lambda wait, me=me: run(wait, me) for me in range(8)))
+    assert [sum(w[k] for w in got) for k in range(rounds)] == [1] * rounds
+    names = os.listdir(path.removeprefix("file://"))
+    assert len(names) == rounds  # nothing half-made is left
+    texts = {r[0].rsplit("/", 1)[-1]: r[1] for r in spark.read.text(path, wholetext=True).select(F.input_file_name(), "value").collect()}
+    assert all(texts[f"{k:012d}.json"] == str([w[k] for w in got].index(True)) for k in range(rounds))
+
+
+def test_a_writer_that_dies_before_its_claim_leaves_no_trace(spark, accounts, monkeypatch):
+    x = accounts.begin()
+    x.insert(spark.createDataFrame([(3, 5)], "id int, amount int"))
+
+    def die(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(os, "link", die)
+        with pytest.raises(OSError, match="gone"):
+            x.commit()
+    assert accounts.latest() == 0 and rows(accounts.read()) == [(1, 100), (2, 100)]
+    y = accounts.begin()
+    y.insert(spark.createDataFrame([(4, 6)], "id int, amount int"))
+    assert y.commit() == 1 and rows(accounts.read()) == [(1, 100), (2, 100), (4, 6)]
+
+
+def test_vacuum_spares_open_transactions(spark, accounts):
+    x, y = accounts.begin(), accounts.begin()
+    x.insert(spark.createDataFrame([(3, 5)], "id int, amount int"))
+    y.insert(spark.createDataFrame([(4, 6)], "id int, amount int"))
+    y.abort()
+    assert accounts.vacuum() == 1 and accounts.vacuum() == 0
+    x.commit()
+    assert accounts.vacuum() == 0 and rows(accounts.read()) == [(1, 100), (2, 100), (3, 5)]
+
+
+def test_vacuum_ends_dead_transactions_for_good(spark, accounts):
+    dead, done = accounts.begin(), accounts.begin()
+    dead.insert(spark.createDataFrame([(3, 5)], "id int, amount int"))
+    done.insert(spark.createDataFrame([(4, 6)], "id int, amount int"))
+    done.commit()
+    time.sleep(0.05)
+    assert accounts.vacuum(expire_seconds=0.01) == 1
+    with pytest.raises(Conflict, match="ended"):
+        dead.commit()
+    assert rows(accounts.read()) == [(1, 100), (2, 100), (4, 6)] and not accounts.db.open_transactions()
+
+
+def test_stores_without_a_claim_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(store, "CLAIMS", {})
+    with pytest.raises(ValueError, match="file"):
+        store.claim(spark, f"{new_path(spark, 'x')}/0", b"")
+
+
+def test_log_with_checkpoints(spark, monkeypatch):
+    monkeypatch.setattr(store, "CHECKPOINT", 3)
+    t = VersionedTable.create(spark, new_path(spark, "long"), spark.range(1))
+    for k in range(8):
+        x = t.begin()
+        x.insert(spark.range(10 * k + 10, 10 * k + 12))
+        if k == 4:
+            x.delete(F.col("id") == 0)
+        x.commit()
+    again = VersionedTable(spark, t.path)
+    assert again.db._load("_log/000000000006.checkpoint") and again.read().count() == 16 and again.read(7).count() == 14
+    assert rows(again.read(1)) == [(0,), (10,), (11,)]
+
+
+# -- changes ---------------------------------------------------------------------------------
+
+
+def test_changes_touch_only_files_they_hit(spark):
+    t = VersionedTable.create(spark, new_path(spark, "files"), spark.range(10).coalesce(1).withColumn("file", F.lit("x")))
+    for k in (10, 20):
+        x = t.begin()
+        x.insert(spark.range(k, k + 10).coalesce(1).withColumn("file", F.lit("x")))
+        x.commit()
+    a, b = t.begin(), t.begin()
+    a.update(F.col("id") == 5, {"file": F.lit("a")})
+    b.delete(F.col("id") == 25)
+    a.commit()
+    b.commit()  # another file
+    x = t.begin()
+    x.merge(spark.createDataFrame([(12, "m"), (99, "m"), (None, "m")], "id bigint, file string"), "id")
+    x.delete(F.col("id") == 99)  # its own rows
+    x.commit()
+    got = {r["id"]: r["file"] for r in t.read().collect()}
+    assert got == {**{k: "x" for k in range(30) if k != 25}, 5: "a", 12: "m", None: "m"}
+    x = t.begin()
+    x.delete(F.col("id") == 10**6)
+    assert x.commit() == t.latest() == 5
+
+
+def test_read_committed_runs_a_statement_again(spark, accounts):
+    a, b = accounts.begin("read committed"), accounts.begin("read committed")
+    for x in (a, b):
+        x.update(F.col("id") == 1, {"amount": F.col("amount") + 10})
+        x.insert(spark.createDataFrame([(9, 9)], "id int, amount int"))
+    a.commit()
+    b.commit()
+    assert rows(accounts.read()) == [(1, 120), (2, 100), (9, 9), (9, 9)]
+
+
+def test_transactions_over_several_tables(spark):
+    db = Database.create(spark, new_path(spark, "db"), {"a": spark.range(2), "b": spark.range(3)})
+    x = db.begin()
+    x.create("c", spark.range(4))
+    x.insert("a", x.read("c"))
+    reader = db.begin()
+    assert "c" not in reader.tables()
+    x.commit()
+    assert (db.read("a").count(), db.read("c").count(), reader.read("a").count()) == (6, 4, 2)
+    with pytest.raises(KeyError):
+        reader.read("c")
+
+
+def test_cycles_of_histories(spark):
+    lost = [("1", "r", "x", 1), ("2", "r", "x", 1), ("1", "w", "x", 2), ("2", "w", "x", 4)]
+    serial = [("1", "w", "x", 2), ("2", "r", "x", 3), ("2", "w", "y", 4), ("3", "r", "y", 5)]
+    assert {r["txn"] for r in in_cycles(spark, lost).collect()} == {"1", "2"}
+    assert in_cycles(spark, serial).count() == 0
+
+
+# -- serving -----------------------------------------------------------------------------------
+
+
+def test_limits_of_the_server(spark):
+    server = Server(spark, threads=1, waiting=1, max_rows=5)
+    with pytest.raises(TooLarge):
+        server.submit(lambda s: s.range(6)).result()
+    assert len(server.submit(lambda s: s.range(5)).result()) == 5
+    slow = lambda s: s.range(4, numPartitions=4).select(F.udf(lambda n: time.sleep(20) or n, "long")("id"))
+    began = time.time()
+    first, second = server.submit(slow, timeout=2), server.submit(lambda s: s.range(1))
+    with pytest.raises(Busy):
+        server.submit(lambda s: s.range(1))
+    with pytest.raises(Exception, match="cancel"):
+        first.result()
+    assert second.result()[0]["id"] == 0 and time.time() - began < 18
+    assert sum(len(b) for b in server.stream(spark.range(2500))) == 2500
+    server.close()
+    assert not server.tags
+
+
+def test_listener(spark):
+    db = Database.create(spark, new_path(spark, "served"), {"t": spark.createDataFrame([(1, 100), (2, 100)], "id int, amount int")})
+    with Listener(spark, db.path) as server:
+        a, b = Connection(server.address), Connection(server.address)
+        a.call("begin", level="serializable")
+        b.call("begin", level="serializable")
+        a.call("update", table="t", set={"amount": "amount + 1"}, where="id = 1")
+        assert sorted(r["amount"] for r in a.query("select * from t")) == [100, 101]
+        assert sorted(r["amount"] for r in b.query("select * from t")) == [100, 100]
+        b.call("insert", table="t", select="select 3 as id, cast(sum(amount) as int) as amount from t")
+        assert a.call("commit") == {"version": 1}
+        with pytest.raises(Conflict):
+            b.call("commit")
+        with pytest.raises(RuntimeError, match="no transaction"):
+            b.call("commit")
+        with pytest.raises(RuntimeError):
+            [*b.query("select nothing from nowhere")]
+        assert [r["n"] for r in b.query("select count(*) as n from t")] == [2]
+        b.call("begin")
+        b.call("delete", table="t", where="id = 2")
+        b.close()  # breaks off: its transaction is aborted
+        for _ in range(100):
+            if not db.open_transactions():
+                break
+            time.sleep(0.1)
+        assert not db.open_transactions() and len([*a.query("select * from t")]) == 2
+        assert len([*a.query("select id from range(3000)")]) == 3000
+        a.close()
