@@ -7,7 +7,10 @@ counts are continuation counts (distinct words with that beginning), and from th
 to five, four and three bytes, then to the corpus.  How a word shares in its
 beginning comes from counts over all documents, the same for both classes, so an
 expression that a class never had is judged by what its relatives tell.  Discounts
-are the modified Kneser-Ney ones, from the counts of counts.
+are the modified Kneser-Ney ones, from the counts of counts, but for words that one
+ordinary text alone has: as is usual for the longest expressions of such models, a single
+occurrence gets no probability of its own, and the word is judged by its beginnings, in
+which it counts.  A word of a toxic text, however rare, keeps its count.
 
 The decision compares log-likelihoods of the two classes, each divided by the number of
 words it is of: over the whole text, over its best run of ``RUN`` words and over its best
@@ -161,10 +164,13 @@ class Level:
     key: np.ndarray
     count: np.ndarray
     times: np.ndarray | None = None
+    singles: bool = True  #: whether a count of 1 leaves something
 
     def __post_init__(self):
         times = np.ones(len(self.count), np.int64) if self.times is None else self.times
         self.d = discounts(self.count, times)
+        if not self.singles:
+            self.d[1] = 1.0
         d = self.d[np.minimum(self.count, 3).astype(int)]
         self.total = max(float((self.count * times).sum()), 1.0)
         self.left = np.maximum(self.count - d, 0) / self.total
@@ -205,7 +211,7 @@ class Model:
         """key, n, ratio: log-likelihood ratios, toxic to ordinary, of all forms that a class has had."""
         below, out = None, []
         for k in reversed(range(KINDS)):
-            t, s = tables[k].where("a0 > 0 or a1 > 0"), F.col("n") + 1
+            t, s = tables[k].where("a0 > 0 or a1 > 0" if k else "a0 > 1 or a1 > 0"), F.col("n") + 1
             if below is None:  # the corpus's share of the shortest beginning
                 shares = [s / base] * 2
             else:  # the longer form's share in the shorter one, from the shared counts
@@ -452,7 +458,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
         for k in range(KINDS):
             own = sums[(sums["toxic"] == t) & (sums["kind"] == k)].sort_values("count")
             n = own["times"].to_numpy(np.int64)
-            classes[t].append(Level(own["count"].to_numpy(), own["total"].to_numpy(float) / n, n))
+            classes[t].append(Level(own["count"].to_numpy(), own["total"].to_numpy(float) / n, n, singles=t == 1 or k > 0))
     short = tables[-1].agg(F.sum(F.col("n") + 1).alias("n")).first()["n"] or 0
     model = Model(classes)
     model.known = model.ratios(tables, float(short + 1))

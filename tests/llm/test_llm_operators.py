@@ -202,6 +202,8 @@ def ratio_by_hand(texts, counted):
                 n = [max(int((c == j).sum()), 1) for j in range(1, 5)]
                 y = n[0] / (n[0] + 2 * n[1])
                 d = np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0, 0.05, 0.1, 0.15], [0, 0.98, 1.9, 2.8])
+                if k == 0 and t == 0:
+                    d[1] = 1  # an ordinary text's own words are judged by their beginnings
                 own = counts[k].get(f[k], 0)
                 q = max(own - d[min(own, 3)], 0) / c.sum() + d[np.minimum(c, 3)].sum() / c.sum() * (q if k == 4 else q * s[k] / s[k + 1])
             p[w, t] = q
