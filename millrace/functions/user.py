@@ -34,7 +34,7 @@ def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def spread(v: pd.Series) -> float:
         return float(v.max() - v.min())
 
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(spread("o_totalprice").alias("spread"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(spread("o_totalprice").alias("spread"))
 
 
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,20 +65,20 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cogrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     def both(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"nation": [key[0]], "customers": [len(a)], "suppliers": [len(b)]})
+        return pd.DataFrame({"custkey": [key[0]], "customers": [len(a)], "orders": [len(b)]})
 
-    c = table(spark, sf_dir, "customer").select("c_nationkey").groupBy("c_nationkey")
-    s = table(spark, sf_dir, "supplier").select("s_nationkey").groupBy("s_nationkey")
-    return c.cogroup(s).applyInPandas(both, "nation int, customers bigint, suppliers bigint")
+    c = table(spark, sf_dir, "customer").select("c_custkey").groupBy("c_custkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey").groupBy("o_custkey")
+    return c.cogroup(o).applyInPandas(both, "custkey bigint, customers bigint, orders bigint")
 
 
 QUERIES = {
     "g1_scalar_udf": (scalar_udf, "select r_regionkey, upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) as name from region"),
     "g1_arrow_udf": (arrow_udf, "select n_nationkey, length(n_name) as n from nation"),
     "g2_pandas_udf": (pandas_scalar, "select o_orderkey, o_totalprice / 2 as half_price from orders"),
-    "g2_pandas_udaf": (pandas_aggregate, "select o_orderstatus, max(o_totalprice) - min(o_totalprice) as spread from orders group by 1"),
+    "g2_pandas_udaf": (pandas_aggregate, "select o_custkey, max(o_totalprice) - min(o_totalprice) as spread from orders group by 1"),
     "g3_udtf": (table_function, "select r_regionkey as key, cast(i as integer) as place, substr(r_name, cast(i as integer), 1) as letter from region, range(1, 100) t(i) where i <= length(r_name)"),
     "g4_map_in_pandas": (map_batches, "select event_id, value from events where value > 100"),
     "g4_apply_in_pandas": (grouped, "select user_id, max(event_id) as event_id from events group by 1"),
-    "g4_cogroup": (cogrouped, "select n as nation, count(c) as customers, count(s) as suppliers from (select c_nationkey n, 1 c, null s from customer union all select s_nationkey, null, 1 from supplier) group by 1"),
+    "g4_cogroup": (cogrouped, "select n as custkey, count(c) as customers, count(o) as orders from (select c_custkey n, 1 c, null o from customer union all select o_custkey, null, 1 from orders) group by 1"),
 }

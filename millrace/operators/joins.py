@@ -1,54 +1,89 @@
-"""Joins that equality alone doesn't express, without quadratic plans."""
+"""Joins that equality alone doesn't express, without quadratic plans.
+
+Helper columns get names that no input has, so inputs may have columns of any name.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key and time bucket in an as-of join, about; buckets are made small enough for it.
+BUCKET_ROWS = 1 << 20
+#: A key of a salted join is hot if it has more than one in so many rows; so there are fewer hot keys than that.
+HOT_SHARE = 1000
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, or a longer one that no frame has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str, bucket_seconds: int = 86400) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, out: str, bucket_seconds: int | None = None) -> DataFrame:
     """Adds to each row of left the ``value`` of right's last row with the same key and a time not later.
 
     Time is cut into buckets, so that a key with very many rows is spread over tasks:
     within a bucket the last value is carried along the rows; across buckets it comes
-    from one row for each key and bucket.  Among right rows of one time the greatest
-    value counts.  Rows of left without such a row get null; so do null keys or times.
+    from one row for each key and bucket.  Without ``bucket_seconds`` a bucket is a day, or
+    as much less as the fullest day of any key asks for.  Among right rows of one time the
+    greatest value counts.  Rows of left without such a row get null; so do null keys or
+    times.  Repeated rows of left are answered each.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds)
-    names = left.columns
-    a = left.select("*", bucket(at).alias("_b"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     r = right.where(F.col(by).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull())
-    b = r.select(F.col(by), F.col(at), bucket(at).alias("_b"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    within = Window.partitionBy(by, "_b").orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn("_here", F.last("_v", ignorenulls=True).over(within)).where("_side = 1")
+    seconds = lambda: F.unix_seconds(F.col(at).cast("timestamp"))
+    if bucket_seconds is None:
+        day = F.floor(seconds() / 86400)
+        rows = left.where(F.col(by).isNotNull()).select(F.col(by).alias("k"), day.alias("d")).unionAll(r.select(F.col(by).alias("k"), day.alias("d")))
+        fullest = rows.groupBy("k", "d").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        bucket_seconds = max(1, int(86400 * min(1.0, BUCKET_ROWS / max(fullest, 1))))
+    b, side, v, here, last, carry = (unused(n, left, right) for n in ("bucket__", "side__", "value__", "here__", "last__", "carry__"))
+    bucket = F.floor(seconds() / bucket_seconds)
+    kind = right.schema[value].dataType
+    answered = left.where(F.col(by).isNotNull() & F.col(at).isNotNull())
+    a = answered.select("*", bucket.alias(b), F.lit(1).alias(side), F.lit(None).cast(kind).alias(v))
+    rr = r.select(F.col(by), F.col(at), bucket.alias(b), F.lit(0).alias(side), F.col(value).alias(v))
+    within = Window.partitionBy(by, b).orderBy(at, side, v).rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(rr, allowMissingColumns=True).withColumn(here, F.last(v, ignorenulls=True).over(within)).where(F.col(side) == 1)
     # the last value of each earlier bucket, for the buckets that left has
-    ends = b.groupBy(by, "_b").agg(F.max_by("_v", F.struct(at, "_v")).alias("_last"))
-    asked = a.select(by, "_b").distinct().withColumn("_last", F.lit(None).cast(right.schema[value].dataType))
-    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    steps = ends.unionByName(asked).groupBy(by, "_b").agg(F.max("_last").alias("_last")).withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    joined = rows.join(steps, [by, "_b"], "left")
-    return joined.select(*names, F.coalesce("_here", "_carry").alias(out))
+    ends = rr.groupBy(by, b).agg(F.max_by(v, F.struct(at, v)).alias(last))
+    asked = a.select(by, b).distinct().withColumn(last, F.lit(None).cast(kind))
+    before = Window.partitionBy(by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    steps = ends.unionByName(asked).groupBy(by, b).agg(F.max(last).alias(last)).withColumn(carry, F.last(last, ignorenulls=True).over(before)).drop(last)
+    names = [F.col(f"`{c}`") for c in left.columns]
+    found = rows.join(steps, [by, b], "left").select(*names, F.coalesce(here, carry).alias(out))
+    # rows without a key or time are not dealt out by it: all of them would meet in one task
+    return found.unionAll(left.where(F.col(by).isNull() | F.col(at).isNull()).select(*names, F.lit(None).cast(kind).alias(out)))
 
 
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
     """Pairs with low <= point <= high for whole-number columns, by an equality join on bins of ``width``.
 
     A span is repeated for each bin it touches; a point is in one bin; so a pair is
-    found once.  Choose ``width`` near the usual length of a span.
+    found once.  Choose ``width`` near the usual length of a span.  Null points and ends
+    are in no pair.
     """
-    p = points.withColumn("_bin", F.floor(F.col(point) / width))
-    s = spans.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(s, "_bin").where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bin")
-
+    at = unused("bin__", points, spans)
+    p = points.withColumn(at, F.floor(F.col(point) / width))
+    s = spans.where(F.col(low) <= F.col(high)).withColumn(at, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    return p.join(s, at).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop(at)
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 8) -> DataFrame:
-    """Inner join for a left side with hot keys: left is salted, right repeated for each salt."""
-    own = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))
-    return left.withColumn("_salt", own).join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), [key, "_salt"]).drop("_salt")
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Inner join for a left side with hot keys.
 
-def two_step_sum(df: DataFrame, keys: list[str], value: Column, name: str, salts: int = 16) -> DataFrame:
-    """Distinct-free sum in two steps, for aggregates that cannot be combined on the map side."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
-    part = df.groupBy(*keys, salt.alias("_salt")).agg(F.sum(value).alias("_part"))
-    return part.groupBy(*keys).agg(F.sum("_part").alias(name))
+    A count, combined before the shuffle, tells which keys have more than a
+    ``HOT_SHARE``-th of left's rows; only their rows are salted, and only right's rows of
+    these keys are repeated for each salt.
+    """
+    salt, hot, n = (unused(x, left, right) for x in ("salt__", "hot__", "n__"))
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
+    total = left.count()
+    top = counts.where(F.col(n) > F.lit(total) / HOT_SHARE).select(key, F.lit(True).alias(hot))  # fewer than HOT_SHARE rows
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+    a = left.join(F.broadcast(top), key, "left").withColumn(salt, F.when(F.col(hot), own).otherwise(F.lit(0).cast("bigint"))).drop(hot)
+    each = F.when(F.col(hot), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    b = right.join(F.broadcast(top), key, "left").withColumn(salt, F.explode(each)).drop(hot)
+    return a.join(b, [key, salt]).drop(salt)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.scratch import file_system, new_path
 from ..sources.tables import table
@@ -30,15 +31,29 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def sink(path: str, mode: str = "append"):
+    """Writes a micro-batch under its id, so that one that runs again replaces itself; a complete result replaces the one before."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    return save
+
+
+def collected(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What the batches of a sink have written."""
+    whole = StructType([*schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(whole).parquet(path).drop("batch")
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all there is; complete results replace, others add up."""
+    """Runs the stream over all there is."""
     spark = stream.sparkSession
     path = new_path(spark, "stream")
-    save = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
-    spark.createDataFrame([], stream.schema).write.parquet(path)
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(save).start()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")  # there may be no batch
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(sink(path, mode)).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return collected(spark, path, stream.schema)
 
 
 def file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +69,9 @@ def _windows(*size: str):
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
-    return drained(n, "complete").select("user_id", F.col("session_window.start").cast(NTZ).alias("start"), "n")
+    """Append mode: a session comes out, and its state goes, once the watermark has passed its end."""
+    n = events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
+    return drained(n, "append").select("user_id", F.col("session_window.start").cast(NTZ).alias("start"), "n")
 
 
 def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,19 +152,18 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
     n = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
     path, progress = new_path(spark, "stream"), new_path(spark, "progress")
-    save = lambda batch, _: batch.write.mode("append").parquet(path)
     for _ in range(2):
-        query = n.writeStream.outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(save).start()
+        query = n.writeStream.outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(sink(path)).start()
         query.awaitTermination()
         e.where("ts < timestamp '2024-01-15 00:00:00'").coalesce(1).write.mode("append").parquet(src)
-    return spark.read.parquet(path).select(F.col("window.start").cast(NTZ).alias("start"), "n")
+    return collected(spark, path, n.schema).select(F.col("window.start").cast(NTZ).alias("start"), "n")
 
 
 QUERIES = {
     "s6_file_stream": (file_stream, "select event_id, user_id from events where event_type = 'error'"),
     "t1_tumbling": (_windows("1 day"), "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n from events group by 1, 2"),
     "t2_sliding": (_windows("2 days", "1 day"), "select cast(d as timestamp) as start, event_type, count(*) as n from (select time_bucket(interval 1 day, ts) as d, event_type from events union all select time_bucket(interval 1 day, ts) - interval 1 day, event_type from events) group by 1, 2"),
-    "t3_sessions": (sessions, "select user_id, min(ts) as start, count(*) as n from (select user_id, ts, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events)) group by user_id, s"),
+    "t3_sessions": (sessions, "select user_id, min(ts) as start, count(*) as n from (select user_id, ts, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events)) group by user_id, s having max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 1 hour"),
     "t4_watermark": (closed_windows, "select time_bucket(interval 1 day, ts) as start, count(*) as n from events group by 1 having time_bucket(interval 1 day, min(ts)) + interval 1 day <= (select max(ts) from events) - interval 1 hour"),
     "t5_dedup": (deduplicated, "select event_id from events"),
     "t6_keyed_state": (keyed_state, "select user_id, count(*) as n, max(value) as best from events group by 1"),

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import zlib
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import asof_join, range_join, salted_join, two_step_sum
+from millrace.operators import joins
+from millrace.operators.joins import asof_join, range_join, salted_join
+from millrace.operators.search import nearest
 from millrace.sources.tables import table
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -41,11 +45,78 @@ def test_range(spark, points, spans):
     assert got == sorted((i, j) for i, x in enumerate(points) for j, (a, n) in enumerate(spans) if a <= x <= a + n)
 
 
-def test_salted_join_and_sum(spark):
+def test_salted_join(spark, monkeypatch):
     a = spark.createDataFrame([(1, k) for k in range(200)] + [(2, 7), (2, 7), (None, 3)], "key int, v int")
-    b = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (3, "n")], "key int, w string")
-    assert salted_join(a, b, "key").exceptAll(a.join(b, "key")).count() == 0 and salted_join(a, b, "key").count() == 204
-    assert {r["key"]: r["s"] for r in two_step_sum(a, ["key"], F.col("v"), "s").collect()} == {1: 19900, 2: 14, None: 3}
+    b = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (3, "n"), (None, "no")], "key int, w string")
+    for share in (1000, 3, 1):
+        monkeypatch.setattr(joins, "HOT_SHARE", share)
+        got = salted_join(a, b, "key")
+        assert got.exceptAll(a.join(b, "key")).count() == 0 and got.count() == 204
+
+
+def test_joins_take_any_column_names(spark):
+    names = ["bucket__", "side__", "value__", "here__", "last__", "carry__", "bin__", "salt__", "hot__", "n__", "_b", "_bin", "_salt"]
+    a = spark.createDataFrame([(1, T0, 5, *names), (None, T0, 6, *names), (2, None, 7, *names)], ", ".join(["k int, t timestamp_ntz, x int", *(f"{n} string" for n in names)]))
+    b = spark.createDataFrame([(1, T0, 9), (1, T0, 8)], "k int, t timestamp_ntz, v int")
+    out = asof_join(a, b, "k", "t", "v", "out")
+    assert out.columns == [*a.columns, "out"] and {(r["x"], r["out"]) for r in out.collect()} == {(5, 9), (6, None), (7, None)}
+    spans = spark.createDataFrame([(4, 5, "bin__")], "low int, high int, bin__ string").withColumnRenamed("bin__", "bin___")
+    assert range_join(a, spans, "x", "low", "high", 3).columns == [*a.columns, *spans.columns]
+    assert salted_join(a, b.select("k", "v"), "k").columns == [*a.columns, "v"]
+    assert asof_join(a.limit(0), b.limit(0), "k", "t", "v", "out").count() == 0
+
+
+def test_asof_buckets_follow_the_fullest_day(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BUCKET_ROWS", 10)
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    a = spark.createDataFrame([(1, at(60 * k)) for k in range(300)], "k int, t timestamp_ntz")
+    b = spark.createDataFrame([(1, at(3600 * k), k) for k in range(3)], "k int, t timestamp_ntz, v int")
+    assert all(r["out"] == min((r["t"] - T0).seconds // 3600, 2) for r in asof_join(a, b, "k", "t", "v", "out").collect())
+
+
+@pytest.mark.parametrize(("metric", "numbers"), [("cosine", 1 << 18), ("dot", 30)])
+def test_nearest_by_brute_force(spark, monkeypatch, metric, numbers):
+    monkeypatch.setattr("millrace.operators.search.BLOCK_NUMBERS", numbers)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 6))
+    x[40:50] = x[3]  # ties
+    x[60] = 0
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(200, None), (201, [1.0]), (202, [None] * 6)], "id bigint, v array<double>").repartition(4)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+    got = {}
+    for r in nearest(df, df.where("id % 10 = 0"), "id", "v", 5, metric).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["id"]
+    for q in range(0, 90, 10):
+        s = np.round(u @ u[q], 9)
+        s[q] = -np.inf
+        assert [got[q][k] for k in range(1, 6)] == np.lexsort((np.arange(90), -s))[:5].tolist()
+    assert set(got) == set(range(0, 90, 10))
+    assert nearest(df.limit(0), df.limit(0), "id", "v").count() == 0
+
+
+def test_sample_and_checksums(spark, sf):
+    import xxhash
+
+    from millrace import catalog
+
+    q = catalog.queries()
+    n, all_ids = table(spark, sf, "events").count(), {r[0] for r in table(spark, sf, "events").select("event_id").collect()}
+    one, two = ({r[0] for r in q["f5_sample"](spark, sf).collect()} for _ in range(2))
+    assert one == two and one < all_ids and abs(len(one) - 0.1 * n) < 5 * (0.09 * n) ** 0.5
+    texts = {r["doc_id"]: r["text"].encode() for r in table(spark, sf, "documents").collect()}
+    for r in q["x9_checksums"](spark, sf).collect():
+        t = texts[r["doc_id"]]
+        assert r["crc"] == zlib.crc32(t) and r["xx"] & (1 << 64) - 1 == xxhash.xxh64_intdigest(t, 42)
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark):
+    from millrace.sources.scratch import new_path
+    from millrace.streaming.queries import collected, sink
+
+    path = new_path(spark, "sink")
+    for number, rows in ((0, 3), (1, 4), (1, 4)):
+        sink(path)(spark.range(rows), number)
+    assert collected(spark, path, spark.range(1).schema).count() == 7
 
 
 @pytest.mark.parametrize("name", ["j9_range", "j10_asof", "j11_lateral", "j12_star", "j13_salted"])
