@@ -1,9 +1,11 @@
 """Quality rules: base limits, then an isolation forest on rule statistics.
 
 ``fit_rules`` draws a bounded sample of labelled rows (``MAX_LABELLED``) and fits the
-forest on the rows labelled good with a few bad ones among them.  The limit is set where
-the fewest labelled rows are judged wrongly, each scored by those trees only that haven't
-seen it (a tree sees 256 rows, and half of them at most).  ``judge`` adds the counts, ``base_failed``, ``anomaly`` and
+forest on the rows labelled good, in the range of all labelled rows, so that the space
+where only bad ones lie is cut off early.  The limit is set where the fewest labelled rows
+that pass the base limits are judged wrongly, each good one scored by those trees only that
+haven't seen it (a tree sees 256 rows, and half of them at most); bad rows are seen by no
+tree.  ``judge`` adds the counts, ``base_failed``, ``anomaly`` and
 ``kept`` to any table.
 
 Defined results: null and empty texts have counts of 0 and fail the base limits
@@ -30,8 +32,6 @@ from .textcore import arrow_map, blocks, bounded_sample, table
 #: Labelled rows that a fit looks at, at most: those with the smallest hashes.
 MAX_LABELLED = 8000
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Bad rows mixed in among the good ones when the forest is fitted.
-BAD_SHARE = 0.02
 CONTRACT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -67,30 +67,32 @@ def sample_matrix(docs: DataFrame, labels: DataFrame, label: str, columns: list[
     return got[columns].to_numpy(float), got["label"].to_numpy(int)
 
 
+def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
 @dataclass
 class Rules:
     forest: IsolationForest | None
     limit: float = 1.0
 
     def verdict(self, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        failed = base_failed(c["n_words"], c["n_repeat_words"])
         score = self.forest.score(np.sqrt(ratios(c))) if self.forest else np.zeros(len(failed))
         return failed, score, ~failed & (score <= self.limit)
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Rules:
-    x, y = sample_matrix(docs, labels, "quality", ["n_words", *RATIOS], limit=limit)
-    x, y = np.sqrt(x[x[:, 0] >= MIN_WORDS][:, 1:]), y[x[:, 0] >= MIN_WORDS]
-    good, bad = x[y == 1], x[y == 0]
-    if len(good) < 2 or not len(bad):
+    x, y = sample_matrix(docs, labels, "quality", ["n_words", "n_repeat_words", *RATIOS], limit=limit)
+    failed = base_failed(x[:, 0], x[:, 1])
+    rows, good = np.sqrt(x[:, 2:]), (y == 1) & (x[:, 0] >= MIN_WORDS)
+    bad = (y == 0) & ~failed
+    if good.sum() < 2 or not bad.any():
         return Rules(None)
-    n = max(1, int(BAD_SHARE * len(good)))
-    few = np.zeros(len(bad), bool)
-    few[:: max(1, len(bad) // n)] = True
-    few &= np.cumsum(few) <= n
-    forest = IsolationForest().fit(np.concatenate([good, bad[few]]))
-    s = np.concatenate([forest.score_unseen(np.concatenate([good, bad[few]])), forest.score(bad[~few])])
-    y = np.concatenate([np.ones(len(good), int), np.zeros(len(bad), int)])
+    forest = IsolationForest().fit(rows[good], rows[x[:, 0] >= MIN_WORDS])
+    passed = ~failed[good]
+    s = np.concatenate([forest.score_unseen(rows[good])[passed], forest.score(rows[bad])])
+    y = np.repeat([1, 0], [passed.sum(), bad.sum()])
     order = np.argsort(s, kind="stable")
     s, y = s[order], y[order]
     # judged bad from place k on: good rows there and bad rows before it are wrong
