@@ -7,10 +7,14 @@ texts.  Strings that would read as marks when the ids are shown as text are esca
 backslash goes between ``<`` (with any backslashes after it) and ``|``; taking one away
 gives the content back.  Line feeds and backslashes of a role are escaped as well.
 
-Turns stream through in order of conversation and turn, so a conversation of any
-length takes no more memory than a batch.  Defined results: null texts and roles are
-empty; turns of equal number stand in order of role, then text; rows with a null
-conversation id are one conversation; repeated rows are repeated turns.
+Turns are dealt out by ranges of conversation, turn, role and text, so a conversation of
+very many turns is formatted by several tasks; ``seq`` numbers them all in that order.
+Turns stream through, so a conversation of any length takes no more memory than a batch.
+Only ``digests`` brings the turns of one conversation together, since a hash is of them all
+in order.  Defined results: null texts and roles are empty; turns of equal number stand in
+order of role, then text (null turns first); rows with a null conversation id are one
+conversation; repeated rows are repeated turns; texts of any length are whole; an empty
+table gives no rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +50,7 @@ def escape_role(role: str) -> str:
 
 
 def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role)) if "\\" in role else role
 
 
 def _block_of(texts: list[str]) -> Block:
@@ -89,66 +94,82 @@ class Template:
 
 
 def format_chats(chats: DataFrame, tokenizer: str) -> DataFrame:
-    """conv_id, turn, ids array<int>, loss array<boolean>: a row for each turn, in order within its partition."""
+    """conv_id, turn, seq, ids array<int>, loss array<boolean>: a row for each turn; seq rises with conv_id, turn, role and text."""
     kind = chats.schema["conv_id"].dataType.simpleString()
-    rows = chats.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = chats.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = ["conv_id", "turn", "role", "text"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        template = Template(tokenizer)
-        for b, _ in blocks(batches):
+        template, seq = Template(tokenizer), TaskContext.get().partitionId() << 40
+        for b, blk in blocks(batches):
             ids, bounds, loss = template.assemble(b.column("role").to_pylist(), b.column("text").to_pylist())
             off = pa.array(bounds.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn").cast(pa.int64()), pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(loss))], names=["conv_id", "turn", "ids", "loss"])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(seq + np.arange(blk.n)), pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(loss))], names=["conv_id", "turn", "seq", "ids", "loss"])
+            seq += blk.n
+
+    return arrow_map(rows, run, f"conv_id {kind}, turn bigint, seq bigint, ids array<int>, loss array<boolean>")
+
 
-    return arrow_map(rows, run, f"conv_id {kind}, turn bigint, ids array<int>, loss array<boolean>")
+def _pieces(data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    raw, at = data.tobytes(), bounds.tolist()
+    return [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
 def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each conversation, read back from the ids and masks alone."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    rows = formatted.select("conv_id", "seq", "ids", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
 
     def run(batches):
         template = Template(tokenizer)
-        conv, state, rows = None, None, []
+        head, tail = len(START), len(END) + 1
+        conv, state, done, types = None, None, [], None
 
         def close():
-            rows.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+            done.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         def flush():
-            out = pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
-            rows.clear()
+            out = pa.record_batch([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names=names)
+            done.clear()
             return out
 
-        types = None
         for b in batches:
             types = [b.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            for i in range(b.num_rows):
-                own = b.column("conv_id")[i].as_py()
-                ids = b.column("ids")[i].values.to_numpy()
-                loss = b.column("loss")[i].values.to_numpy(zero_copy_only=False)
+            if not b.num_rows:
+                continue
+            ids = b.column("ids").flatten().to_numpy()
+            loss = b.column("loss").flatten().to_numpy(zero_copy_only=False)
+            bounds = offsets_of(np.asarray(b.column("ids").value_lengths()))
+            if (ids[bounds[:-1]] != template.start).any() or (ids[bounds[1:] - 2] != template.end).any():
+                raise ValueError("a turn without its marks")
+            n = template.len[ids]  # bytes of each id
+            at = offsets_of(n)
+            data = template.bytes[ragged(template.at[ids], n)]
+            chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))[at[bounds]]
+            under = np.repeat(loss, n)
+            learned = _pieces(data[under], np.append(0, np.cumsum(np.where(loss, n, 0)))[bounds])
+            for k, (own, turn, text) in enumerate(zip(b.column("conv_id").to_pylist(), _pieces(data, at[bounds]), learned, strict=True)):
                 if state is None or own != conv:
                     if state is not None:
                         close()
                     conv, state = own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                whole = template.text(ids).decode()
-                if ids[0] != template.start or ids[-2] != template.end:
-                    raise ValueError("a turn without its marks")
-                role, _, text = template.text(ids[1:-2]).decode().partition("\n")
+                role, _, said = turn[head:-tail].decode().partition("\n")
                 state[0] += 1
-                state[1].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-                learned = unescape(template.text(ids[loss]).decode())
-                state[2] += len(learned)
-                state[3].update(learned.encode())
-                state[4] += len(whole)
-            if rows:
+                state[1].update(f"{unescape_role(role)}\n{unescape(said)}\n".encode())
+                if text:
+                    plain = unescape(text.decode())
+                    state[2] += len(plain)
+                    state[3].update(plain.encode())
+                state[4] += int(chars[k + 1] - chars[k])
+            if done:
                 yield flush()
         if state is not None:
             close()
             yield flush()
 
-    return arrow_map(formatted, run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return arrow_map(rows, run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
