@@ -1,4 +1,15 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+Each stage's result is written to the shared folder and read back, which cuts lineage.
+
+Defined results: null and empty texts fail the quality rules, and so does whatever has
+fewer than 20 words; without labels of both kinds only the base limits decide.  Of documents
+that are alike the one with the least id stays (null is the least); of rows of equal id and
+text one.  Null ids, repeated ids with other texts, and nulls in any other column pass
+through.  Texts of any length are handled whole.  Columns beyond those of ``documents`` are
+carried to the last stage, whatever their names; that one returns doc_id, n_tokens,
+ids_sha256, decoded_sha256 and ids.  An empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -7,7 +7,10 @@ into one Spark column expression, which code generation turns into plain JVM cod
 
 Defined results: null and empty texts have statistics of 0 and are scored like any
 other.  Without labels of both kinds every score is the share of label 1 (0.5 if
-there are none).  A null doc_id is never held out.
+there are none).  A null doc_id is never held out and never learned from; repeated rows are
+scored alike, and of labelled rows of equal id and label the fit sees one.  Texts of any
+length are read whole; an empty table gives no rows.  An input column with the name of a
+statistic, score or predicted is dropped in favour of the one added.
 """
 
 from __future__ import annotations
@@ -116,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=None
 
 def score(df: DataFrame, model: RuleEnsemble, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds the statistics, and score (0 to 1) and predicted (0 or 1)."""
-    return with_counts(df, text, keep_text).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    own = [c for c in df.columns if c not in ("score", "predicted")]
+    return with_counts(df.select(*[F.col(f"`{c}`") for c in own]), text, keep_text).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:

@@ -8,7 +8,9 @@ puts them into plain files.  Reading back gives every document's ids and its pla
 in the whole sequence, from sums over the shards before it.
 
 Defined results: null text is empty, so its document is the end id alone; documents
-of equal id stand in order of their text; null ids come first.
+of equal id stand in order of their text; null ids come first; repeated rows are documents
+each.  A text of any length is whole, in one shard.  An empty table gives no documents.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

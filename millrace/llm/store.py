@@ -21,8 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL_DEFAULT
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """A path that is removed by ``release`` or when Python exits."""
+    if not _made:
+        atexit.register(_release_late, spark)
+    _made.append(f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all scratch of this process, once no result is read any more; returns how many paths."""
+    n = len(_made)
+    while _made:
+        remove(spark, _made.pop())
+    return n
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -31,19 +46,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _remove_late(spark: SparkSession, path: str) -> None:
+def _release_late(spark: SparkSession) -> None:
     try:
-        remove(spark, path)
+        release(spark)
     except Exception:  # the session may have ended before
         pass
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back; removed when Python exits."""
+    """Writes df as Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove_late, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -51,13 +65,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shipped(spark: SparkSession, data: bytes, label: str) -> str:
     """Writes data to the shared folder and has Spark bring it to every executor; returns the name for ``SparkFiles.get``."""
-    path = f"{scratch_path(spark, label)}.bin"
+    path = f"{scratch_path(spark, label)}/{label}-{uuid.uuid4().hex}.bin"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
     for a in range(0, len(data), 1 << 20):
         out.write(bytearray(data[a : a + (1 << 20)]))
     out.close()
-    atexit.register(_remove_late, spark, path)
     spark.sparkContext.addFile(path)
     return urlparse(path).path.rsplit("/", 1)[-1]
 
@@ -65,3 +78,4 @@ def shipped(spark: SparkSession, data: bytes, label: str) -> str:
 def drop(df: DataFrame) -> None:
     """Removes a scratch table that nothing reads any more."""
     remove(df.sparkSession, df.scratch_path)
+    _made.remove(df.scratch_path)
