@@ -6,7 +6,7 @@ tables as views; DuckDB is SQL, or None where the same text does for both.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import asof_join, range_join, salted_join
@@ -160,10 +160,14 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of five words of benchmark items that documents share: exploded, semi-joined, counted."""
 
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))
+        return F.when(F.size(w) >= 5, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
     def grams(name: str, key: str) -> DataFrame:
-        w = table(spark, sf_dir, name).select(key, F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "").alias("w")).where(F.size("w") >= 5)
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))
-        return w.select(key, F.explode(F.array_distinct(runs)).alias("gram"))
+        words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+        # the words are a lambda's argument, so that they are made once for a text and not for each run
+        return table(spark, sf_dir, name).select(key, F.explode(F.transform(F.array(words), runs)[0]).alias("gram"))
 
     shared = grams("documents", "doc_id").join(grams("benchmark", "item_id").select("gram").distinct(), "gram", "left_semi")
     return shared.groupBy("doc_id").agg(F.count("*").alias("n"))
