@@ -48,7 +48,7 @@ from .textcore import SHINGLE, arrow_map, blocks, distinct_by_segment, table
 SIMILARITY, RECALL = 0.8, 0.999
 TREES, DEPTH = 16, HASHES // 16
 #: Texts in half of a unit of comparison, and bytes of their shingle hashes, about.
-BLOCK, BLOCK_SHINGLES = 512, 4 << 20
+BLOCK, BLOCK_SHINGLES = 256, 4 << 20
 #: Tables of keys up to this size are sent to all executors; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -168,7 +168,6 @@ def _shingled(batches):
 
 def intersections(sets: list[np.ndarray], room: int = 1 << 22) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted sets, as products of 0/1 matrices of so many cells."""
-    width = max(room // len(sets), 64)
     size = np.array([len(s) for s in sets])
     value, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.full(len(value), -1)
@@ -177,7 +176,9 @@ def intersections(sets: list[np.ndarray], room: int = 1 << 22) -> np.ndarray:
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
     out = np.zeros((len(sets), len(sets)))
-    for low in range(0, int((times > 1).sum()), width):
+    columns = int((times > 1).sum())
+    width = max(min(room // len(sets), columns), 64)
+    for low in range(0, columns, width):
         a, z = np.searchsorted(col, [low, low + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[a:z], col[a:z] - low] = 1
