@@ -34,14 +34,15 @@ class Server:
         self.tags: dict[Future, str] = {}  # of requests that haven't ended
 
     def submit(self, request: Callable[[SparkSession], DataFrame], client: str = "default", timeout: float | None = None) -> Future:
-        """The request's rows, later; it is cancelled if it runs for longer than ``timeout`` seconds."""
+        """The request's rows, later; it is cancelled if it runs for longer than ``timeout`` seconds, or the server's limit."""
         return self.run(lambda s: self._listed(request(s)), client, timeout)
 
     def run(self, work: Callable[[SparkSession], object], client: str = "default", timeout: float | None = None, session: SparkSession | None = None) -> Future:
         """What ``work`` returns, later; in a new session or in that of a client who has one."""
         if not self.room.acquire(blocking=False):
             raise Busy("too many requests wait")
-        tag, limit = f"request-{uuid.uuid4().hex}", timeout or self.timeout
+        tag = f"request-{uuid.uuid4().hex}"
+        limit = min((t for t in (timeout, self.timeout) if t), default=None)
 
         def guarded():
             sc = self.spark.sparkContext
