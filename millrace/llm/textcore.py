@@ -12,6 +12,8 @@ empty.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 19
 #: Arrow batches that workers get, at most.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SHINGLE = 5
 
 #: Spans up to this size are hashed side by side, eight bytes a step; longer ones by the library, one by one.
@@ -238,6 +240,13 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             at = to
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system, since a worker stays for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow with batches small enough for two workers in a small executor.
 
@@ -249,7 +258,14 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     now = spark.conf.get(limit, None)
     if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(limit, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
