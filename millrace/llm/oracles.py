@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express: chats, near duplicates, leaks, secrets."""
+"""DuckDB SQL for the queries that SQL can express: chats, near duplicates, leaks, secrets, cuts, divergences."""
 
 from __future__ import annotations
 
@@ -68,4 +68,30 @@ g as (select doc_id, count(*) filter (where rank = 0) as a, count(*) filter (whe
   string_agg(concat(kind, ':', s, ':', s + n), ',' order by s, rank) filter (where rank < 3) as base, string_agg(concat(kind, ':', s, ':', s + n), ',' order by s, rank) as spans from f group by 1)
 select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
 
-SQL = {"op3_chat_format": OP3, "op4_ngram_join": OP4, "op5_decontamination": OP5, "op8_secret_scans": OP8}
+OP11 = """
+with d as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+r as (select doc_id, text, length(text) as n, list_transform([0, 1, 2, 3], lambda k: cast('0x' || substr(h, 8 * k + 1, 8) as ubigint)) as h from d),
+c as (select doc_id, text, n, cast(least(h[1] % (n + 1), h[2] % (n + 1)) as bigint) as a, cast(greatest(h[1] % (n + 1), h[2] % (n + 1)) as bigint) as b,
+  case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from r),
+p as (select *, substr(text, 1, a) as prefix, substr(text, a + 1, b - a) as middle, substr(text, b + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from p"""
+
+OP12 = r"""
+with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as n from w group by lang, term having count(distinct row) >= 30),
+c as (select lang, source, term, count(*) as n from w group by all),
+g as (select distinct lang, source from d),
+s as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join k using (lang) left join c using (lang, source, term)),
+p as (select lang, source, term, n, 1 + (cast(1000000000 as hugeint) * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * count(*) over (partition by lang, source)) as p from s),
+q as (select lang, term, 1 + (cast(1000000000 as hugeint) * (n + 5)) // (sum(n) over (partition by lang) + 5 * count(*) over (partition by lang)) as q from k),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(x.p - y.p)), 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where n > 0 and p > q),
+u as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from u where part = 'pair' or rank <= 50"""
+
+SQL = {"op3_chat_format": OP3, "op4_ngram_join": OP4, "op5_decontamination": OP5, "op8_secret_scans": OP8, "op11_fill_in_middle": OP11, "op12_source_divergence": OP12}
