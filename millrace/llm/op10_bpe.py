@@ -28,7 +28,7 @@ from .bpe import BytePairEncoder
 from .lexicon import Lexicon, build
 from .pretokens import chunks
 from .store import drop, shipped, written
-from .textcore import arrow_map, blocks, table
+from .textcore import arrow_map, blocks, offsets_of, segment_sum, table
 
 #: Words of the lexicon, at most, and the occurrences that a word of it has, at least.
 LEXICON, MIN_COUNT = 1 << 15, 4
@@ -45,9 +45,11 @@ def tokenizer_path() -> str:
 
 def _counted(batches, added: list[bytes]):
     """Words with the blank before them, counted; a word may come in several rows."""
+    whole = lambda w, n: [x.ljust(k, b"\0") for x, k in zip(w.tolist(), n.tolist(), strict=True)]
     keys = np.zeros(1 << _SLOT_BITS, np.uint64)
     counts = np.zeros(1 << _SLOT_BITS, np.int64)
     words = np.zeros(1 << _SLOT_BITS, f"S{MAX_BYTES}")
+    sizes = np.zeros(1 << _SLOT_BITS, np.int64)  # since such an array takes NULs at the end of a word for padding
     for _, blk in blocks(batches):
         s, e, _ = chunks(blk, added)
         s = s[(at := e - s <= MAX_BYTES)]
@@ -62,17 +64,17 @@ def _counted(batches, added: list[bytes]):
         counts[slot[same]] += n1[same]
         out = slot[~same]
         old = counts[out] > 0
-        gone_words, gone_counts = words[out[old]], counts[out[old]]
-        spans = lambda f: np.array([raw[a:z] for a, z in zip(s[f], e[f], strict=True)], f"S{MAX_BYTES}")
         raw = blk.data.tobytes()
-        keys[out], counts[out], words[out] = h1[~same], n1[~same], spans(f1[~same])
-        w = np.concatenate([gone_words, spans(first[rest])])
+        spans = lambda f: [raw[a:z] for a, z in zip(s[f], e[f], strict=True)]
+        gone, gone_counts = whole(words[out[old]], sizes[out[old]]), counts[out[old]]
+        put = f1[~same]
+        keys[out], counts[out], words[out], sizes[out] = h1[~same], n1[~same], np.array(spans(put), f"S{MAX_BYTES}"), (e - s)[put]
         c = np.concatenate([gone_counts, n[rest]])
-        yield pa.record_batch([pa.array(w.tolist(), pa.binary()), pa.array(c, pa.int64())], names=["word", "n"])
+        yield pa.record_batch([pa.array(gone + spans(first[rest]), pa.binary()), pa.array(c, pa.int64())], names=["word", "n"])
     live = np.flatnonzero(counts)
     for a in range(0, len(live), 1 << 16):
         at = live[a : a + (1 << 16)]
-        yield pa.record_batch([pa.array(words[at].tolist(), pa.binary()), pa.array(counts[at], pa.int64())], names=["word", "n"])
+        yield pa.record_batch([pa.array(whole(words[at], sizes[at]), pa.binary()), pa.array(counts[at], pa.int64())], names=["word", "n"])
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, limit: int = LEXICON, least: int = MIN_COUNT, text: str = "text") -> list[bytes]:
@@ -97,11 +99,10 @@ def frequent_words(docs: DataFrame, tokenizer: str, limit: int = LEXICON, least:
 def compile_lexicon(words: list[bytes], tokenizer: str) -> bytes:
     """Transducer from words, as they stand in texts, to their ids."""
     enc = BytePairEncoder.of(tokenizer)
-    words = sorted({*words})
+    words = sorted({*words} - {b""})
     data, lens, special, count = enc.pretokens([w.decode() for w in words])
     ids, n = enc.encode_pretokens(data, lens, special)
-    bounds = np.append(0, np.cumsum(count))
-    return build(words, ids, np.add.reduceat(n, bounds[:-1]) if len(words) else np.zeros(0, np.int64))
+    return build(words, ids, segment_sum(n, offsets_of(count)))
 
 
 def encoder(tokenizer: str, image: str) -> BytePairEncoder:

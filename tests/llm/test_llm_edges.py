@@ -213,3 +213,17 @@ def test_quality_counts_of_repeated_labelled_ids(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (None, 1)], "doc_id bigint, quality int")
     x, y = op9_quality_rules.sample_matrix(rows, labels, "quality", ["n_words"])
     assert sorted(zip(x[:, 0].tolist(), y.tolist(), strict=True)) == [(2.0, 0), (3.0, 0), (3.0, 1)]
+
+
+def test_words_of_nuls_and_controls_enter_the_lexicon(spark):
+    """Whatever a frequent word ends in, its ids are the library's."""
+    odd = ["\x00 x", "\x00", "\x00\x00\x00", " ", "  ", "\t\x00 ", "a\x00", "\x00a\x00", "\x01\x02\x00 b\x00\x00", "\x7f \x00\n\x00", "ordinary words", "é\x00 é"]
+    rows = [(k, t) for k, t in enumerate(odd * 12)] + [(10**6, " ".join(odd) * 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = op10_bpe.frequent_words(df, PATH)
+    assert any(w.endswith(b"\x00") for w in words) and b"" not in words
+    tok = op7_token_output.LibraryEncoder(PATH).tok
+    got = {r["doc_id"]: r["ids"] for r in op10_bpe.encode(df, PATH).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        assert got[k] == tok.encode(t, add_special_tokens=False).ids, repr(t)
