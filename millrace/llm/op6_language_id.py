@@ -13,7 +13,8 @@ languages are an error, which bounds the model.  Scoring reads all documents.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; if
 nothing could be learned every prediction is ``und``.  Rows without text or language
-teach nothing; rows of equal id and language are learned from together or not at all.
+teach nothing, nor do rows without id; of the texts of equal id and language the one with the
+least hash is learned from, once.
 Repeated rows are predicted alike, texts of any length as a whole; an empty table gives
 no rows.  Other columns are not read, whatever their names.
 """
@@ -32,6 +33,8 @@ from .op1_quality_classifier import held_out
 from .textcore import Block, arrow_map, blocks, offsets_of, ragged, table
 
 PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 600, 4800, 160
+#: Texts whose trigrams are counted at once for a fit.
+FIT_ROWS = 512
 BITS = 12
 #: The slot of places without a letter, whose weight is 0.
 NO_SLOT = 1 << BITS
@@ -161,22 +164,27 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX
     if n_langs > MAX_LANGUAGES:
         raise ValueError(f"{n_langs} languages; {MAX_LANGUAGES} at most")
     per_language = min(per_language, max(max_rows // max(n_langs, 1), 1))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)).alias("h"))
-    # a count of each language tells below which hash some more than enough of its rows lie
-    counts = F.broadcast(rows.groupBy("lang").agg((F.lit(float(1 << 40)) * 2.5 * per_language / F.count("*")).alias("below")))  # a row for each language
-    rows = rows.join(counts, "lang").where("h < below").drop("below")
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 40)).alias("h"))
+    # a count of each language's ids tells below which hash some more than enough of them lie
+    counts = F.broadcast(rows.groupBy("lang").agg((F.lit(float(1 << 40)) * 2.5 * per_language / F.approx_count_distinct("doc_id")).alias("below")))  # a row for each language
+    rows = rows.join(counts, "lang").where("h < below").groupBy("doc_id", "lang", "h").agg(F.min("t").alias("t"))  # of an id's texts one
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = rows.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", F.col("lang").alias("own"))
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id").where("lang = own").select("text", "lang")  # per_language rows a language
+    chosen = rows.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang", "t")  # per_language rows a language
+    texts = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("t")).join(F.broadcast(chosen), ["doc_id", "lang", "t"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.first("text").alias("text")).select("text", "lang")  # rows that are repeated whole count once
 
     def count(batches):
-        for b, blk in blocks(batches):
-            slot = trigrams(blk)
-            on = slot != NO_SLOT
-            doc = np.repeat(np.arange(blk.n), np.diff(blk.bounds))
-            flat = np.bincount(doc[on] * NO_SLOT + slot[on], minlength=blk.n * NO_SLOT).reshape(blk.n, -1)
-            share = (flat / np.maximum(flat.sum(1, keepdims=True), 1)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in share], pa.binary())], names=["lang", "x"])
+        for batch, whole in blocks(batches):
+            slots, bounds = trigrams(whole), whole.bounds
+            for a in range(0, whole.n, FIT_ROWS):  # a dense row for each text
+                z = min(a + FIT_ROWS, whole.n)
+                slot, n = slots[bounds[a] : bounds[z]], z - a
+                on = slot != NO_SLOT
+                doc = np.repeat(np.arange(n), np.diff(bounds[a : z + 1]))
+                flat = np.bincount(doc[on] * NO_SLOT + slot[on], minlength=n * NO_SLOT).reshape(n, -1)
+                share = (flat / np.maximum(flat.sum(1, keepdims=True), 1)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, n), pa.array([r.tobytes() for r in share], pa.binary())], names=["lang", "x"])
 
     got = arrow_map(texts, count, "lang string, x binary").toPandas().sort_values(["lang", "x"], ignore_index=True)
     langs = sorted(set(got["lang"]))

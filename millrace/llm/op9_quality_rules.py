@@ -52,11 +52,11 @@ def with_counts(df: DataFrame, text: str = "text", keep_text: bool = True) -> Da
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed=None, limit: int = MAX_LABELLED) -> DataFrame:
-    """Texts of at most ``limit`` labelled documents: doc_id, text, label."""
+    """Texts of at most ``limit`` labelled documents: doc_id, text, label; all texts of an id that several rows have, each once for a label."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         rows = rows.where(allowed(F.col("doc_id")))
-    rows = bounded_sample(rows.select("doc_id", F.col(label).cast("int").alias("label")), limit, "doc_id", "label")
+    rows = bounded_sample(rows.select("doc_id", F.col(label).cast("int").alias("label")).distinct(), limit, "doc_id", "label")
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # bounded by limit
 
 
