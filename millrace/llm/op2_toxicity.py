@@ -7,10 +7,7 @@ counts are continuation counts (distinct words with that beginning), and from th
 to five, four and three bytes, then to the corpus.  How a word shares in its
 beginning comes from counts over all documents, the same for both classes, so an
 expression that a class never had is judged by what its relatives tell.  Discounts
-are the modified Kneser-Ney ones, from the counts of counts, but for words that one
-ordinary text alone has: as is usual for the longest expressions of such models, a single
-occurrence gets no probability of its own, and the word is judged by its beginnings, in
-which it counts.  A word of a toxic text, however rare, keeps its count.
+are the modified Kneser-Ney ones, from the counts of counts, for both classes alike.
 
 The decision compares log-likelihoods of the two classes, each divided by the number of
 words it is of: over the whole text, over its best run of ``RUN`` words and over its best
@@ -22,7 +19,9 @@ Class counts come from all labelled documents but those left to the regression:
 are exact, over all documents.  A form that no class has had differs from its beginning by
 a constant (its share is the same for both classes), so the table of ratios has the forms
 of the labelled texts only.  Workers hold those of the ``FREQUENT`` most frequent forms and
-a bit filter of the others; only texts with a word that passes the filter go through a join.
+a bit filter of the others.  A text with a word that passes the filter is reduced to what the
+others could change of it: sums and maxima of what is known, and the runs that such words are in,
+with the words' keys.  Those keys, and not the text, go through a join.
 
 Defined results: null and empty texts and texts without words have no evidence and
 get the score of a ratio of 0.  Without labels of both kinds every score is the share
@@ -39,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,13 +164,10 @@ class Level:
     key: np.ndarray
     count: np.ndarray
     times: np.ndarray | None = None
-    singles: bool = True  #: whether a count of 1 leaves something
 
     def __post_init__(self):
         times = np.ones(len(self.count), np.int64) if self.times is None else self.times
         self.d = discounts(self.count, times)
-        if not self.singles:
-            self.d[1] = 1.0
         d = self.d[np.minimum(self.count, 3).astype(int)]
         self.total = max(float((self.count * times).sum()), 1.0)
         self.left = np.maximum(self.count - d, 0) / self.total
@@ -211,7 +208,7 @@ class Model:
         """key, n, ratio: log-likelihood ratios, toxic to ordinary, of all forms that a class has had."""
         below, out = None, []
         for k in reversed(range(KINDS)):
-            t, s = tables[k].where("a0 > 0 or a1 > 0" if k else "a0 > 1 or a1 > 0"), F.col("n") + 1
+            t, s = tables[k].where("a0 > 0 or a1 > 0"), F.col("n") + 1
             if below is None:  # the corpus's share of the shortest beginning
                 shares = [s / base] * 2
             else:  # the longer form's share in the shorter one, from the shared counts
@@ -300,8 +297,8 @@ class Lookup:
         self.held, self.shift = held, np.uint64(64 - bits)
         self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
 
-    def ratios(self, blk: Block, more: Words | None = None) -> np.ndarray:
-        """A ratio for each word of a block; NaN where a form may be among the others and ``more`` doesn't tell."""
+    def ratios(self, blk: Block) -> np.ndarray:
+        """A ratio for each word of a block; NaN where a form may be among the others."""
         s, e, _ = blk.words()
         h = blk.hash_spans(s, e)
         at = (h >> self.shift).astype(np.int64)
@@ -310,32 +307,114 @@ class Lookup:
         if len(miss):
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
             one = miss[one]
-            new, _, _ = self.resolved(blk, s[one], e[one], more)
+            new, asked, _, _ = self.resolved(blk, s[one], e[one])
+            new[asked] = np.nan
             self.key[at[one]], self.value[at[one]] = h[one], new
             out[miss] = new[back]
         return out
 
-    def resolved(self, blk: Block, s: np.ndarray, e: np.ndarray, more: Words | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ratios of words by their longest known form; words and keys that the others must be asked for."""
+    def resolved(self, blk: Block, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ratios of words by their longest form known here; words, keys and kinds that the others must be asked for, the longest first."""
         out, total = np.zeros(len(s)), 0.0
-        live, asked, keys = np.arange(len(s)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        live, asked, keys, kinds = np.arange(len(s)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for k in range(KINDS):
             key = key_of(blk, s[live], e[live], k)
             r, has = self.held.words.find(key)
-            if more is not None:
-                r2, has2 = more.find(key)
-                r, has = np.where(has2, r2, r), has | has2
-            elif self.held.others is not None:
+            if self.held.others is not None:
                 ask = ~has & self.held.perhaps(key)
                 asked.append(live[ask])
                 keys.append(key[ask])
+                kinds.append(np.full(ask.sum(), k))
             out[live[has]] = total + r[has]
             live = live[~has]
             total += self.held.steps[k]
         out[live] = total
-        asked, keys = np.concatenate(asked), np.concatenate(keys)
-        out[asked] = np.nan
-        return out, asked, keys
+        return out, np.concatenate(asked), np.concatenate(keys), np.concatenate(kinds)
+
+
+EVIDENCE = "row bigint, id {kind}, x0 double, x1 double, x2 double, n bigint, times array<int>, ratio array<double>, word array<int>, form_kind array<int>, key array<bigint>, run_sum array<double>, run_words array<int>"
+
+
+def _lists(values: np.ndarray, of: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """Values, sorted by ``of``, as one list for each of n rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values, kind))
+
+
+def evidence(look: Lookup, ids: pa.Array, blk: Block, row: int) -> pa.RecordBatch:
+    """Features of texts whose words are all known here (n is null), and of the others what follows.
+
+    x0: sum of the known ratios; x1, x2: best run and best word among those that are known
+    whole.  n: words.  times, ratio: occurrences of each open word, and its ratio if the others have
+    none of its forms.  word, form_kind, key: forms to ask for.  run_sum, run_words: known sum and
+    ``RUN`` places of open words (-1: none) of each run that has one.
+    """
+    s, e, first = blk.words()
+    n = np.diff(first)
+    r = look.ratios(blk)
+    doc = np.repeat(np.arange(blk.n), n)
+    is_open = np.isnan(r)
+    open_ = np.flatnonzero(is_open)
+    known = np.nan_to_num(r)
+    x = features(blk, known)
+    waits = np.zeros(blk.n, bool)
+    waits[doc[open_]] = True
+    # distinct open words of each text
+    h = blk.hash_spans(s[open_], e[open_])
+    order = np.lexsort((h, doc[open_]))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[open_][order][1:] != doc[open_][order][:-1])
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1  # of each open place its word
+    one = open_[order[new]]
+    word_doc = doc[one]
+    place = np.arange(len(one)) - np.searchsorted(word_doc, word_doc)  # of each word, within its text
+    ratio, asked, keys, kinds = look.resolved(blk, s[one], e[one])
+    by_word = np.lexsort((kinds, asked))
+    asked, keys, kinds = asked[by_word], keys[by_word], kinds[by_word]
+    # runs
+    to = np.minimum(np.arange(len(r)) + RUN, np.repeat(first[1:], n))
+    c, c_open = np.append(0, np.cumsum(known)), np.append(0, np.cumsum(is_open))
+    sums, has_open = c[to] - c[:-1], c_open[to] > c_open[:-1]
+    runs = np.flatnonzero(has_open)
+    at = np.full(len(r) + RUN, -1, np.int64)
+    at[open_] = place[own]
+    words = np.stack([np.where(runs + j < to[runs], at[runs + j], -1) for j in range(RUN)], 1)
+    best_run = segment_reduce(np.maximum, np.where(has_open, -np.inf, sums / RUN), first, 0.0)
+    best_word = segment_reduce(np.maximum, np.where(is_open, -np.inf, r), first, 0.0)
+    x = np.where(waits[:, None], np.column_stack([segment_sum(known, first), best_run, best_word]), x)
+    cols = [
+        pa.array(row + np.arange(blk.n)), ids, *(pa.array(x[:, k]) for k in range(3)), pa.array(n, mask=~waits),
+        _lists(np.bincount(own, minlength=len(one)), word_doc, blk.n, pa.int32()), _lists(ratio, word_doc, blk.n, pa.float64()),
+        _lists(place[asked], word_doc[asked], blk.n, pa.int32()), _lists(kinds, word_doc[asked], blk.n, pa.int32()), _lists(keys.view(np.int64), word_doc[asked], blk.n, pa.int64()),
+        _lists(sums[runs], doc[runs], blk.n, pa.float64()), _lists(words.ravel(), np.repeat(doc[runs], RUN), blk.n, pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=["row", "id", "x0", "x1", "x2", "n", "times", "ratio", "word", "form_kind", "key", "run_sum", "run_words"])
+
+
+def _flat(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values of a list column and the bounds of each row; null lists are empty."""
+    values = col.flatten()
+    return values, offsets_of(np.nan_to_num(pc.list_value_length(col).to_numpy(zero_copy_only=False)).astype(np.int64))
+
+
+def concluded(b: pa.RecordBatch, steps: np.ndarray) -> np.ndarray:
+    """Features of texts with open words, from their evidence and what the others told of them."""
+    ratio, words = _flat(b.column("ratio"))
+    times, _ = _flat(b.column("times"))
+    told, bounds = _flat(b.column("told"))
+    w = ratio.to_numpy().copy()
+    word = words[np.repeat(np.arange(b.num_rows), np.diff(bounds))] + told.field("word").to_numpy()
+    kind = told.field("form_kind").to_numpy()
+    value = told.field("ratio").to_numpy() + np.append(0, np.cumsum(steps))[kind]
+    order = np.lexsort((-kind, word))  # the longest form comes last and counts
+    w[word[order]] = value[order]
+    sums, runs = _flat(b.column("run_sum"))
+    of, _ = _flat(b.column("run_words"))
+    of, base = of.to_numpy().reshape(-1, RUN), words[np.repeat(np.arange(b.num_rows), np.diff(runs))]
+    run = (sums.to_numpy() + np.where(of >= 0, w[np.maximum(base[:, None] + of, 0)], 0).sum(1)) / RUN
+    x0, x1, x2 = (b.column(f"x{k}").to_numpy() for k in range(3))
+    total = x0 + segment_sum(w * times.to_numpy(), words)
+    return np.column_stack([total / b.column("n").to_numpy(), np.maximum(x1, segment_reduce(np.maximum, run, runs, -np.inf)), np.maximum(x2, segment_reduce(np.maximum, w, words, -np.inf))])
 
 
 def held_of(model: Model) -> tuple[Held, DataFrame | None]:
@@ -375,42 +454,27 @@ def measured(docs: DataFrame, model: Model, finish, kind: str, schema: str) -> D
         return arrow_map(docs, whole, schema)
 
     def first(batches):
-        """Features of texts whose words are all known here; the text and the keys to ask for of others."""
         look, row = Lookup(held.value), TaskContext.get().partitionId() << 40
         for b, raw in blocks(batches):
-            blk = expressions(raw)
-            s, e, firsts = blk.words()
-            r = look.ratios(blk)
-            doc = np.repeat(np.arange(blk.n), np.diff(firsts))
-            open_ = np.flatnonzero(np.isnan(r))
-            _, asked, keys = look.resolved(blk, s[open_], e[open_], None)
-            pair = np.unique(np.stack([doc[open_[asked]].astype(np.uint64), keys]), axis=1)
-            waits = np.zeros(blk.n, bool)
-            waits[pair[0].astype(np.int64)] = True
-            lists = np.searchsorted(pair[0], np.arange(blk.n + 1, dtype=np.uint64)).astype(np.int32)
-            x = features(blk, np.nan_to_num(r))
-            text = b.column("text").take(pa.array(np.arange(blk.n), mask=~waits))
-            yield pa.record_batch([pa.array(row + np.arange(blk.n)), b.column("id"), text, *(pa.array(x[:, k]) for k in range(3)), pa.ListArray.from_arrays(pa.array(lists), pa.array(pair[1].view(np.int64)))], names=["row", "id", "text", "x0", "x1", "x2", "asked"])
-            row += blk.n
+            yield evidence(look, b.column("id"), expressions(raw), row)
+            row += b.num_rows
 
     def second(batches):
-        look = Lookup(held.value)
-        for b, raw in blocks(batches):
-            blk = expressions(raw)
-            got = b.column("told").flatten()
-            yield finish(b.column("id"), features(blk, look.ratios(blk, Words.of(got.field("key").to_numpy(), got.field("ratio").to_numpy()))))
+        for b in batches:
+            if b.num_rows:
+                yield finish(b.column("id"), concluded(b, held.value.steps))
 
     def done(batches):
         for b in batches:
             if b.num_rows:
                 yield finish(b.column("id"), np.column_stack([b.column(f"x{k}").to_numpy() for k in range(3)]))
 
-    read = written(arrow_map(docs, first, f"row bigint, id {kind}, text string, x0 double, x1 double, x2 double, asked array<bigint>"), "evidence")
-    wait = read.where(F.col("text").isNotNull())
-    told = wait.select("row", F.explode("asked").alias("key")).join(others, "key").groupBy("row").agg(F.collect_list(F.struct("key", "ratio")).alias("told"))
-    rest = wait.select("row", "id", "text").join(told, "row", "left").select("id", "text", "told")
-    ready = read.where(F.col("text").isNull()).select("id", "x0", "x1", "x2")
-    return arrow_map(ready, done, schema).unionAll(arrow_map(rest, second, schema))
+    read = written(arrow_map(docs, first, EVIDENCE.format(kind=kind)), "evidence")
+    wait = read.where(F.col("n").isNotNull())
+    asked = wait.select("row", F.explode(F.arrays_zip("word", "form_kind", "key")).alias("a")).select("row", "a.*")
+    told = asked.join(others, "key").groupBy("row").agg(F.collect_list(F.struct("word", "form_kind", "ratio")).alias("told"))  # of one text
+    rest = wait.drop("word", "form_kind", "key").join(told, "row", "left")
+    return arrow_map(read.where(F.col("n").isNull()).select("id", "x0", "x1", "x2"), done, schema).unionAll(arrow_map(rest, second, schema))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
@@ -458,7 +522,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
         for k in range(KINDS):
             own = sums[(sums["toxic"] == t) & (sums["kind"] == k)].sort_values("count")
             n = own["times"].to_numpy(np.int64)
-            classes[t].append(Level(own["count"].to_numpy(), own["total"].to_numpy(float) / n, n, singles=t == 1 or k > 0))
+            classes[t].append(Level(own["count"].to_numpy(), own["total"].to_numpy(float) / n, n))
     short = tables[-1].agg(F.sum(F.col("n") + 1).alias("n")).first()["n"] or 0
     model = Model(classes)
     model.known = model.ratios(tables, float(short + 1))

@@ -202,8 +202,6 @@ def ratio_by_hand(texts, counted):
                 n = [max(int((c == j).sum()), 1) for j in range(1, 5)]
                 y = n[0] / (n[0] + 2 * n[1])
                 d = np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], [0, 0.05, 0.1, 0.15], [0, 0.98, 1.9, 2.8])
-                if k == 0 and t == 0:
-                    d[1] = 1  # an ordinary text's own words are judged by their beginnings
                 own = counts[k].get(f[k], 0)
                 q = max(own - d[min(own, 3)], 0) / c.sum() + d[np.minimum(c, 3)].sum() / c.sum() * (q if k == 4 else q * s[k] / s[k + 1])
             p[w, t] = q
@@ -223,10 +221,16 @@ def test_toxicity_ratios_by_brute_force(spark, monkeypatch, frequent):
     counted = [(r["text"], r["toxic"]) for r in op2_toxicity.labelled(docs, labels).where("not apart").collect()]
     want = ratio_by_hand(texts, counted)
     model = op2_toxicity.learn(docs, labels)
-    got = {r["doc_id"]: r["mean_ratio"] for r in op2_toxicity.score(docs, model).collect()}
-    assert len(got) == len(texts)
+    finish = lambda ids, x: pa.RecordBatch.from_arrays([ids, *(pa.array(x[:, k]) for k in range(3))], names=["id", "x0", "x1", "x2"])
+    more = docs.unionAll(spark.createDataFrame([(1000, ""), (1001, None), (1002, texts[0][:5])], "doc_id bigint, text string"))
+    got = {r["id"]: [r["x0"], r["x1"], r["x2"]] for r in op2_toxicity.measured(more.select(F.col("doc_id").alias("id"), "text"), model, finish, "bigint", "id bigint, x0 double, x1 double, x2 double").collect()}
+    assert len(got) == len(texts) + 3 and got[1000] == got[1001] == [0, 0, 0]
+    scores = {r["doc_id"]: (r["score"], r["mean_ratio"], r["predicted"]) for r in op2_toxicity.score(docs, model).collect()}
     for k, t in enumerate(texts):
-        assert got[k] == pytest.approx(np.mean([want[w] for w in words(t)]))
+        r = [want[w] for w in words(t)]
+        assert got[k] == pytest.approx([np.mean(r), max(sum(r[j : j + 4]) / 4 for j in range(len(r))), max(r)])
+        score = 1 / (1 + np.exp(-(model.weights[0] + np.dot(got[k], model.weights[1:]))))
+        assert scores[k] == pytest.approx((score, got[k][0], int(score >= 0.5)))
 
 
 def test_toxicity_counts_all_labelled_texts(spark, monkeypatch):
@@ -247,6 +251,20 @@ def test_kneser_ney_mass_is_conserved():
     assert level.left.sum() + level.freed == pytest.approx(1)
 
 
+def test_regression_of_the_three_differences():
+    """Newton's method against plain gradient descent on the same loss."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)) * [1, 5, 0.1] + [0, 3, -1]
+    y = (x @ [1.0, -0.3, 4.0] + rng.normal(size=300) > -4.5).astype(float)
+    got = op2_toxicity.logistic(x, y)
+    z = np.column_stack([np.ones(300), (x - x.mean(0)) / x.std(0)])
+    w = np.zeros(4)
+    for _ in range(60_000):
+        w -= 0.5 * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) / 300 + 1e-3 * w)
+    slopes = w[1:] / x.std(0)
+    assert got == pytest.approx(np.append(w[0] - slopes @ x.mean(0), slopes), rel=1e-4)
+
+
 # -- 3: chats -----------------------------------------------------------------------------
 
 
