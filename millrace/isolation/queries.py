@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
 from ..sources.tables import table
+from . import history
+from .claims import claim
 from .listener import Connection, Listener
 from .sessions import Server
-from .store import LEVELS, Conflict, Database, Transaction, VersionedTable, claim
+from .store import LEVELS, Conflict, Database, Transaction, VersionedTable
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> VersionedTable:
@@ -215,7 +217,7 @@ def both_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An update of one key in a table of eight files: files replaced and files left as they were."""
+    """An update of one nation in a table of eight files, each of which has some of it: the rows of each nation that are still in those files, and those that aren't."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     eight = [c.where(F.pmod(F.hash("c_custkey"), F.lit(8)) == k).coalesce(1) for k in range(8)]
     t = VersionedTable.create(spark, new_path(spark, "table"), eight[0])
@@ -223,12 +225,114 @@ def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = t.begin()
         x.insert(part)
         x.commit()
-    before = {*t.files()}
+    before = t.files()
     x = t.begin()
-    x.update(F.col("c_custkey") == 1, {"c_acctbal": F.lit(0.0)})
+    x.update(F.col("c_nationkey") == 3, {"c_acctbal": F.lit(0.0)})
+    x.commit()
+    now = t.db.frame(t.db.state(t.latest())["t"], mark="mark")
+    return now.groupBy("c_nationkey", F.col("mark.file").isin(before).alias("in_first_files")).agg(F.count("*").alias("n"))
+
+
+def _threads(t: VersionedTable, level: str, *changes: Callable) -> None:
+    """Each change in a transaction and thread of its own: all begin before any changes, all have changed before any commits."""
+
+    def one(wait, change):
+        x = t.begin(level)
+        wait()
+        change(x)
+        wait()
+        return x.commit()
+
+    got = at_once(*(lambda wait, c=c: one(wait, c) for c in changes))
+    if lost := [g for g in got if isinstance(g, Conflict)]:
+        raise lost[0]
+
+
+def one_file_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three transactions change different rows of one file at once; all commit."""
+    t = VersionedTable.create(spark, new_path(spark, "table"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").coalesce(1))
+    half = lambda k, what: lambda x: x.update(F.col("c_custkey") % 3 == k, {"c_acctbal": F.lit(what)})
+    _threads(t, "snapshot", half(0, 0.0), half(1, 1.0), lambda x: x.delete(F.col("c_custkey") % 3 == 2))
+    return t.read()
+
+
+def disjoint_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two serializable transactions read and change rows of their own nations, and add what they have read; both commit."""
+    t = _customers(spark, sf_dir)
+
+    def change(low: int, high: int):
+        mine = F.col("c_nationkey").between(low, high)
+
+        def run(x):
+            x.insert(x.read(mine & (F.col("c_acctbal") > 9000)).withColumn("c_custkey", F.col("c_custkey") + 1000000))
+            x.update(mine & (F.col("c_acctbal") < 0), {"c_acctbal": F.lit(0.0)})
+
+        return run
+
+    _threads(t, "serializable", change(0, 11), change(12, 24))
+    return t.read()
+
+
+def pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of a table whose files hold ranges: only files that could have rows of it are opened."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    t = VersionedTable.create(spark, new_path(spark, "table"), o.repartitionByRange(32, "o_orderdate"))
+    x = t.begin()
+    x.delete("o_orderdate < timestamp_ntz'1996-01-01' and o_totalprice > 400000")
     x.commit()
-    after = {*t.files()}
-    return spark.createDataFrame([(len(before - after), len(before & after))], "replaced bigint, left_alone bigint")
+    return t.read(where="o_orderdate >= timestamp_ntz'1995-12-01' and o_orderdate < timestamp_ntz'1996-02-01'")
+
+
+def changed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns renamed, widened, dropped, added, and added again under an old name; files from before and after are read side by side, and time travel shows the old columns."""
+    t = _customers(spark, sf_dir)
+    x = Transaction(t.db, "serializable")
+    x.alter("t", rename={"c_acctbal": "balance"}, widen={"c_nationkey": "bigint"}, add={"grade": "string", "note": "int"})
+    s = table(spark, sf_dir, "supplier")
+    x.insert("t", s.select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("balance"), F.lit("new").alias("grade"), F.lit(1).alias("note")))
+    x.update("t", "balance < 0", {"grade": F.lit("low")})
+    x.commit()
+    y = Transaction(t.db, "snapshot")
+    y.alter("t", drop=["note"])
+    y.alter("t", add={"note": "bigint"})
+    y.commit()
+    now, then = t.read(), t.read(version=0)
+    return now.select("c_custkey", "c_nationkey", "balance", "grade", "note", F.lit("now").alias("at")).unionAll(then.select("c_custkey", F.col("c_nationkey").cast("bigint"), "c_acctbal", F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit("then")))
+
+
+def created_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two threads create one table; who comes second gets a conflict and adds its rows instead."""
+    db, s = _pair(spark, sf_dir), table(spark, sf_dir, "supplier")
+
+    def one(wait, k):
+        mine = s.where(F.col("s_suppkey") % 2 == k).select("s_suppkey", F.lit(k).alias("writer"))
+        x = db.begin("read committed" if k else "snapshot")
+        wait()
+        x.create("new", mine)
+        wait()
+        try:
+            x.commit()
+        except Conflict:
+            again = db.begin()
+            again.insert("new", mine)
+            again.commit()
+
+    at_once(lambda w: one(w, 0), lambda w: one(w, 1))
+    return db.read("new")
+
+
+def kept_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database after many commits, with files compacted, its log trimmed and its garbage removed; the rows are those of the last version."""
+    t = _customers(spark, sf_dir)
+    for nation in range(5):
+        x = t.begin()
+        x.update(F.col("c_nationkey") == nation, {"c_acctbal": F.col("c_acctbal") + nation})
+        x.commit()
+    t.db.checkpoint(t.latest())
+    t.db.compact("t")
+    t.db.trim()
+    t.db.vacuum()
+    return VersionedTable(spark, t.path).read()
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,21 +398,6 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.read("right")
 
 
-#: Edges of the conflict graph (write-write, write-read, read-write) of operations (txn, op, k, seq), then transactions that reach themselves.
-CYCLES = """
-with recursive h as (select * from {history}),
-e(a, b) as (select distinct p.txn, q.txn from h p join h q on p.k = q.k and p.seq < q.seq and p.txn <> q.txn and (p.op = 'w' or q.op = 'w')),
-r(a, b, n) as (select a, b, 1 from e union all select r.a, e.b, r.n + 1 from r join e on r.b = e.a where r.n < {longest})
-select distinct a as txn from r where a = b"""
-
-
-def in_cycles(spark: SparkSession, history: list[tuple]) -> DataFrame:
-    """txn of every transaction of a history (``Database.history``) that no serial order explains."""
-    view = f"history_{threading.get_ident()}"
-    spark.createDataFrame(history, "txn string, op string, k string, seq bigint").createOrReplaceTempView(view)
-    return spark.sql(CYCLES.format(history=view, longest=max(len({h[0] for h in history}), 2)))
-
-
 def history_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of a race for write skew, of two threads, and serial transactions after it: how many transactions committed, and how many of them are in cycles."""
     rows = []
@@ -327,10 +416,23 @@ def history_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
             x = Transaction(db, level)
             x.update("left", F.col("s_suppkey") == 1, {"s_acctbal": F.lit(0.0)})
             x.commit()
-        rows.append((level, db.latest(), in_cycles(spark, db.history()).count()))
+        rows.append((level, db.latest(), history.in_cycles(db.history()).count()))
     return spark.createDataFrame(rows, "level string, committed bigint, in_cycles bigint")
 
 
+def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a history: a user's events of a day are a transaction that reads a key, or writes it if something was bought."""
+    e = table(spark, sf_dir, "events")
+    txn = F.concat_ws("/", F.col("user_id"), F.to_date("ts"))
+    op = F.when(F.col("event_type") == "purchase", "w").otherwise("r")
+    return e.select(txn.alias("txn"), op.alias("op"), F.get_json_object("props", "$.k").alias("k"), F.col("event_id").alias("seq"))
+
+
+def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of users that no serial order of all days explains."""
+    return history.in_cycles(event_history(spark, sf_dir))
+
+
 _BASE = "select c_custkey, c_nationkey, c_acctbal from customer"
 _NEW = "select s_suppkey + 1000000, s_nationkey, s_acctbal from supplier"
 _ONE_OF_TWO = "select 'snapshot' as level, cast(1 as bigint) as commits union all select 'serializable', 1"
@@ -345,7 +447,14 @@ QUERIES = {
     "k3_delete": (deleted, f"{_BASE} where not c_acctbal < 0"),
     "k3_update": (updated, "select c_custkey, c_nationkey, case when c_nationkey = 3 then 0.0::double else c_acctbal end as c_acctbal from customer"),
     "k3_merge": (merged, f"{_BASE} where c_custkey not in (select s_suppkey from supplier) union all select s_suppkey, s_nationkey, s_acctbal from supplier"),
-    "k3_touched_files": (touched_files, "select cast(1 as bigint) as replaced, cast(7 as bigint) as left_alone"),
+    "k3_touched_files": (touched_files, "select c_nationkey, c_nationkey <> 3 as in_first_files, count(*) as n from customer group by all"),
+    "k4_changed_columns": (changed_columns, """select c_custkey, cast(c_nationkey as bigint) as c_nationkey, c_acctbal as balance, case when c_acctbal < 0 then 'low' end as grade, cast(null as bigint) as note, 'now' as at from customer
+      union all select s_suppkey + 1000000, s_nationkey, s_acctbal, case when s_acctbal < 0 then 'low' else 'new' end, null, 'now' from supplier union all select c_custkey, c_nationkey, c_acctbal, null, null, 'then' from customer"""),
+    "k4_created_once": (created_once, "select s_suppkey, cast(s_suppkey % 2 as integer) as writer from supplier"),
+    "k5_rows_of_one_file": (one_file_two_writers, "select c_custkey, c_nationkey, cast(c_custkey % 3 as double) as c_acctbal from customer where c_custkey % 3 < 2"),
+    "k6_disjoint_ranges": (disjoint_ranges, "select c_custkey, c_nationkey, greatest(c_acctbal, 0.0) as c_acctbal from customer union all select c_custkey + 1000000, c_nationkey, c_acctbal from customer where c_acctbal > 9000"),
+    "k6_pruned_read": (pruned_read, "select o_orderkey, o_orderdate, o_totalprice from orders where o_orderdate >= timestamp '1995-12-01' and o_orderdate < timestamp '1996-02-01' and not (o_orderdate < timestamp '1996-01-01' and o_totalprice > 400000)"),
+    "k7_kept_log": (kept_log, "select c_custkey, c_nationkey, case when c_nationkey < 5 then c_acctbal + c_nationkey else c_acctbal end as c_acctbal from customer"),
     "k4_commit_race": (commit_race, "select cast(1 as bigint) as winners, true as intact, cast(40 as bigint) as races"),
     "k4_both_tables": (both_tables, "select 'left' as side, 0 as version, count(*) as n from supplier union all select 'left', 1, count(*) filter (where s_suppkey % 2 <> 0) from supplier union all select 'right', 0, count(*) from supplier union all select 'right', 1, count(*) + count(*) filter (where s_suppkey % 2 = 0) from supplier"),
     "k5_lost_update": (_race(_raise_balance), _ONE_OF_TWO),
@@ -354,5 +463,6 @@ QUERIES = {
     "k7_abort": (aborted, _BASE),
     "k8_time_travel": (time_travel, f"{_BASE} where c_nationkey <> 1"),
     "k9_history_cycles": (history_cycles, "select 'snapshot' as level, cast(4 as bigint) as committed, cast(2 as bigint) as in_cycles union all select 'serializable', 3, 0"),
+    "k9_event_cycles": (event_cycles, None),
     "k10_levels": (anomalies, " union all ".join(f"select '{v}' as level, '{a}' as anomaly, {str(k < n).lower()} as happens" for a, n in _HAPPENS.items() for k, v in enumerate(LEVELS))),
 }
