@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key and time bucket in an as-of join, about; buckets are made small enough for it.
 BUCKET_ROWS = 1 << 20
+#: Points of a bin of a range join, about; fuller ones are dealt out to parts.
+BIN_ROWS = 1 << 16
 #: A key of a salted join is hot if it has more than one in so many rows; so there are fewer hot keys than that.
 HOT_SHARE = 1000
 
@@ -58,17 +60,28 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, o
     return found.unionAll(left.where(F.col(by).isNull() | F.col(at).isNull()).select(*names, F.lit(None).cast(kind).alias(out)))
 
 
-def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
-    """Pairs with low <= point <= high for whole-number columns, by an equality join on bins of ``width``.
+def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int = 1) -> DataFrame:
+    """Pairs with low <= point <= high for whole-number columns, by an equality join on bins.
 
-    A span is repeated for each bin it touches; a point is in one bin; so a pair is
-    found once.  Choose ``width`` near the usual length of a span.  Null points and ends
-    are in no pair.
+    Bins have widths of powers of two, from ``width`` on, and a span lies on the level whose bins
+    are as wide as itself, so it is repeated twice at most, however long it is; a point is in one
+    bin of each level that spans have (64 at most).  A bin with more than ``BIN_ROWS`` points is
+    dealt out to parts, each of which meets the bin's spans, so a burst of points is spread over
+    tasks.  A pair is found once.  Null points and ends are in no pair.
     """
-    at = unused("bin__", points, spans)
-    p = points.withColumn(at, F.floor(F.col(point) / width))
-    s = spans.where(F.col(low) <= F.col(high)).withColumn(at, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(s, at).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop(at)
+    level, at, part, parts, n = (unused(x, points, spans) for x in ("level__", "bin__", "part__", "parts__", "n__"))
+    x, a, z = (F.col(f"`{c}`").cast("bigint") for c in (point, low, high))
+    least = max(width - 1, 0).bit_length()
+    s = spans.where(a <= z).withColumn(level, F.greatest(F.lit(least), F.when(z > a, F.coalesce(F.length(F.bin(F.try_subtract(z, a))), F.lit(63))).otherwise(0)).cast("int"))
+    used = [r[0] for r in s.select(level).distinct().collect()]  # a row for each level
+    bin_of = lambda v: F.call_function("shiftright", v, F.col(level))
+    s = s.withColumn(at, F.explode(F.array_distinct(F.array(bin_of(a), bin_of(z)))))
+    p = points.where(x.isNotNull()).withColumn(level, F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn(at, bin_of(x))
+    full = p.groupBy(level, at).agg(F.count("*").alias(n)).where(F.col(n) > BIN_ROWS).select(level, at, F.ceil(F.col(n) / BIN_ROWS).cast("int").alias(parts))
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.coalesce(parts, F.lit(1)))
+    p = p.join(full, [level, at], "left").withColumn(part, own).drop(parts)
+    s = s.join(full, [level, at], "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(parts, F.lit(1)).cast("bigint") - 1))).drop(parts)
+    return p.join(s, [level, at, part]).where((x >= a) & (x <= z)).drop(level, at, part)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:

@@ -1,79 +1,247 @@
-"""Nearest vectors: a set of queries against all rows, in blocks.
+"""Nearest vectors: a set of queries against all rows, exact, by cells that can be passed over.
 
-Queries are handled in blocks of bounded size, each sent to all workers.  A worker scores
-an Arrow batch against the block as one matrix product and keeps the k best rows of the
-batch for each query, so what is shuffled is k rows for each query and batch; a window
-ranks those.  Every query meets every row; nothing is sampled or pruned.
+Rows lie in cells around centres that are fitted on ``SAMPLE`` rows at most; every row is in the
+cell of its nearest centre, and a cell knows its radius r, the greatest distance of a row of it.
+No row of a cell around c scores more against a query q than q . c + |q| r (for the cosine, of
+vectors of length 1), so a cell whose bound is below the k-th best score that a query has already
+can't change its result:
+
+1. each query looks at the cells of highest bound that have k rows together,
+2. then at all others whose bound reaches the k-th best score found there.
+
+Nothing else is passed over, so the result is that of all rows.  Queries that are near each other
+share a block, and a block meets a part of a cell in one matrix product, by Spark's cogroup; blocks
+and parts are bounded, whatever the number of queries and rows in a cell.  A window ranks
+the k rows that each product leaves for a query.  How much is passed over depends on the data: evenly
+spread vectors of many dimensions have no cells worth the name, and then all rows are met.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers in a block of queries, at most (8 bytes each).
-BLOCK_NUMBERS = 1 << 18
+from ..sources.scratch import new_path
+
+#: Rows that centres are fitted on, and centres, at most; rows for each centre, about.
+SAMPLE, CENTRES, CELL_ROWS = 1 << 15, 4096, 2048
+#: Rows of a part of a cell, and queries of a block, about.
+PART_ROWS, BLOCK_QUERIES = 8192, 4096
 #: Places after the point to which scores are compared, so that two ways to sum rank alike.
 PLACES = 9
+_SLACK = 10.0**-PLACES
 
 
-def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of that many numbers, none null, as a matrix; and their rows."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
     whole = np.array([v is not None and len(v) == dim and None not in v for v in col.to_pylist()], bool) if col.null_count or col.values.null_count else np.asarray(col.value_lengths()) == dim
     at = np.flatnonzero(whole)
     flat = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(at), dim), at
 
 
+def _prepared(col: pa.Array, dim: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    x, at = _matrix(col, dim)
+    return (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300) if metric == "cosine" else x), at
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1)[None], 0)
+
+
+def fit_centres(x: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Centres of a sample by Lloyd's rounds from rows at random."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(count, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = np.concatenate([_squares(x[a : a + 4096], centres).argmin(1) for a in range(0, len(x), 4096)])
+        n = np.bincount(near, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+@dataclass
+class Cells:
+    """What is known of each cell; workers get it."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    count: np.ndarray
+    metric: str
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The highest score that each query could have in each cell; -inf for cells without rows."""
+        at = q @ self.centres.T + np.sqrt((q * q).sum(1))[:, None] * self.radius[None]
+        return np.where(self.count > 0, at + _SLACK * (1 + np.abs(at)), -np.inf)
+
+    def first(self, bounds: np.ndarray, k: int) -> np.ndarray:
+        """Which cells a query looks at first: those of highest bound until they have more than k rows."""
+        order = np.argsort(-bounds, 1, kind="stable")
+        rows = np.cumsum(self.count[order], 1)
+        take = np.concatenate([np.ones((len(order), 1), bool), rows[:, :-1] <= k], 1)
+        out = np.zeros_like(take)
+        np.put_along_axis(out, order, take, 1)
+        return out & (bounds > -np.inf)
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cells(rows: DataFrame, id_col: str, vector: str, dim: int, metric: str = "cosine") -> tuple[Cells, DataFrame]:
+    """Cells, and the rows with vectors of ``dim`` numbers by cell (written): cell, turn, id, vector."""
+    slim = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector")).where(F.size("vector") == dim)
+    total = slim.count()
+    h = F.pmod(F.xxhash64("vector"), F.lit(1 << 30))
+    near = slim.where(h < int((1 << 30) * min(1.0, 2.0 * SAMPLE / max(total, 1)))).select("vector").orderBy(h).limit(SAMPLE) if total > SAMPLE else slim.select("vector")
+    sample, _ = _prepared(near.toArrow().column("vector"), dim, metric)  # SAMPLE rows at most
+    centres = fit_centres(sample, min(CENTRES, max(1, total // CELL_ROWS))) if len(sample) else np.zeros((1, dim))
+
+    def assign(batches: Iterator[pa.RecordBatch]):
+        turn = 0
+        for b in batches:
+            x, at = _prepared(b.column("vector"), dim, metric)
+            if not len(at):
+                continue
+            d = _squares(x, centres)
+            own = d.argmin(1)
+            far = np.sqrt(((x - centres[own]) ** 2).sum(1))
+            yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(turn + np.arange(len(at))), b.column("id").take(pa.array(at)), _lists(x), pa.array(far)], names=["cell", "turn", "id", "vector", "far"])
+            turn += len(at)
+
+    placed = _written(slim.mapInArrow(assign, "cell int, turn bigint, id bigint, vector array<double>, far double"), "cells")
+    radius, count = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # CENTRES at most
+        radius[r["cell"]], count[r["cell"]] = r["far"], r["n"]
+    return Cells(centres, radius, count, metric), placed.drop("far")
+
+
+def _met(of: Cells, rows: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """query, id, score: the k best rows of each query among the cells that its block looks at, and more of them."""
+    spark = queries.sparkSession
+    parts = np.maximum(-(-of.count // PART_ROWS), 1)
+    sizes = spark.createDataFrame([(int(c), int(p)) for c, p in enumerate(parts)], "cell int, parts int")
+    pairs = pairs.join(F.broadcast(sizes), "cell")  # CENTRES rows at most
+    key = ["own", "block", "cell", "part"]
+    asked = queries.join(pairs, ["own", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "id", "vector")
+    there = rows.join(pairs, "cell").select("own", "block", "cell", F.pmod(F.col("turn"), F.col("parts")).cast("int").alias("part"), "id", "vector")
+    dim = of.centres.shape[1]
+
+    def product(q: pa.Table, x: pa.Table) -> pa.Table:
+        out = []
+        if q.num_rows and x.num_rows:
+            a, _ = _matrix(q.column("vector"), dim)
+            b, _ = _matrix(x.column("vector"), dim)
+            ids, own = q.column("id").to_numpy(), x.column("id").to_numpy(zero_copy_only=False)
+            for at in range(0, len(ids), 256):
+                for me, row in zip(ids[at : at + 256], np.round(a[at : at + 256] @ b.T, PLACES), strict=True):
+                    row = np.where(own == me, -np.inf, row)
+                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    near = np.flatnonzero((row >= least) & (row > -np.inf))  # ties included
+                    near = near[np.lexsort((own[near], -row[near]))[:k]]
+                    out.append((np.full(len(near), me), own[near], row[near]))
+        cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float))]
+        return pa.table([pa.array(c) for c in cols], names=["query", "id", "score"])
+
+    return asked.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(product, "query bigint, id bigint, score double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+
+
+class Search:
+    """Queries against cells; ``share`` tells which part of all (query, row) pairs was scored."""
+
+    def __init__(self, of: Cells, rows: DataFrame):
+        self.of, self.rows, self.pairs = of, rows, []
+
+    def nearest(self, queries: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+        of, dim = self.of, self.of.centres.shape[1]
+        q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") == dim))
+        q = q.groupBy("id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
+
+        def own(batches: Iterator[pa.RecordBatch]):
+            for b in batches:
+                x, at = _prepared(b.column("vector"), dim, of.metric)
+                if len(at):
+                    yield pa.record_batch([pa.array(_squares(x, of.centres).argmin(1).astype(np.int32)), b.column("id").take(pa.array(at)), _lists(x)], names=["own", "id", "vector"])
+
+        q = _written(q.mapInArrow(own, "own int, id bigint, vector array<double>"), "queries")
+        blocks = np.ones(len(of.centres), np.int64)
+        for r in q.groupBy("own").agg(F.count("*").alias("n")).collect():  # CENTRES at most
+            blocks[r["own"]] = -(-r["n"] // BLOCK_QUERIES)
+        numbers = q.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(blocks)], "own int, blocks int")
+        q = q.join(F.broadcast(numbers), "own").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("own", "block", "id", "vector")
+        self.queries = q
+
+        first = _written(_top(_met(of, self.rows, q, self._wanted(q.withColumn("least", F.lit(None).cast("double")), k, True), k), k), "first")
+        least = first.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-np.inf).alias("least"))
+        rest = q.join(least, "id", "left").select("own", "block", "id", "vector", F.coalesce("least", F.lit(-np.inf)).alias("least"))
+        more = _met(of, self.rows, q, self._wanted(rest, k, False), k)
+        return _top(first.select("query", "id", "score").unionAll(more), k)
+
+    def _wanted(self, q: DataFrame, k: int, first: bool) -> DataFrame:
+        """own, block, cell: the cells that some query of a block must look at."""
+        of, dim = self.of, self.of.centres.shape[1]
+
+        def look(batches: Iterator[pa.RecordBatch]):
+            for b in batches:
+                x, at = _matrix(b.column("vector"), dim)
+                if not len(at):
+                    continue
+                for a in range(0, len(at), 512):
+                    bounds = of.bounds(x[a : a + 512])
+                    want = of.first(bounds, k)
+                    if not first:
+                        want = ~want & (bounds >= b.column("least").to_numpy()[a : a + 512, None] - _SLACK) & (bounds > -np.inf)
+                    row, cell = np.nonzero(want)
+                    own, block = b.column("own").to_numpy()[a : a + 512][row], b.column("block").to_numpy()[a : a + 512][row]
+                    one = np.unique(np.stack([own, block, cell.astype(np.int32)]), axis=1)
+                    yield pa.record_batch([pa.array(c) for c in one], names=["own", "block", "cell"])
+
+        pairs = _written(q.mapInArrow(look, "own int, block int, cell int").distinct(), "pairs")
+        if not first:  # what the block has looked at already
+            pairs = pairs.join(self.pairs[0], ["own", "block", "cell"], "left_anti")
+        self.pairs.append(pairs)
+        return pairs
+
+    def share(self) -> float:
+        """Scored pairs of a query and a row, divided by all of them."""
+        spark = self.queries.sparkSession
+        size = self.queries.groupBy("own", "block").agg(F.count("*").alias("n"))
+        rows = spark.createDataFrame([(c, int(n)) for c, n in enumerate(self.of.count)], "cell int, rows bigint")
+        met = sum(p.join(size, ["own", "block"]).join(F.broadcast(rows), "cell").agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0 for p in self.pairs)
+        return met / max(self.queries.count() * int(self.of.count.sum()), 1)
+
+
+def search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, metric: str = "cosine") -> Search:
+    dim = (queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first() or [1])[0]
+    return Search(*cells(rows, id_col, vector, max(dim, 1), metric))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 10, metric: str = "cosine") -> DataFrame:
     """query, rank (from 1), id and score of the k rows nearest to each query, itself left out.
 
     ``metric``: cosine or dot.  Ties go to the lesser id.  Null vectors, and those of another
     length than the first query's or with nulls, have no neighbours and are none; the
-    cosine with a zero vector is 0.  Repeated ids are rows like others.
+    cosine with a zero vector is 0.  Rows of repeated ids are rows like others; of queries of
+    one id one is asked, and a null id asks nothing.
     """
-    dim = (queries.where(F.col(vector).isNotNull()).select(F.size(vector)).first() or [0])[0]
-    n = queries.count()
-    blocks = max(1, -(-n * max(dim, 1) // BLOCK_NUMBERS))
-    slim = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector"))
-    asked = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector"))
-
-    def best(block: int) -> DataFrame:
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        t = own.toArrow().combine_chunks()  # BLOCK_NUMBERS, about
-        col = t.column("vector").combine_chunks()
-        q, at = _matrix(col, dim) if dim else (np.zeros((0, 1)), np.zeros(0, int))
-        ids = t.column("id").to_numpy()[at]
-        if metric == "cosine":
-            q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-
-        def run(batches: Iterator[pa.RecordBatch]):
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                x, here = _matrix(b.column("vector"), dim)
-                own = b.column("id").to_numpy(zero_copy_only=False)[here]
-                if metric == "cosine":
-                    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-                out = []
-                for a in range(0, len(ids), 256):
-                    s = np.round(q[a : a + 256] @ x.T, PLACES)
-                    for j, row in enumerate(s):
-                        me = ids[a + j]
-                        row = np.where(own == me, -np.inf, row)
-                        least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                        near = np.flatnonzero((row >= least) & (row > -np.inf))  # ties included
-                        near = near[np.lexsort((own[near], -row[near]))[:k]]
-                        out.append((np.full(len(near), me), own[near], row[near]))
-                yield pa.record_batch([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query", "id", "score"])
-
-        return slim.mapInArrow(run, "query bigint, id bigint, score double")
-
-    found = reduce(DataFrame.unionAll, [best(b) for b in range(blocks)])
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    return search(rows, queries, id_col, vector, metric).nearest(queries, id_col, vector, k)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import asof_join, range_join, salted_join
 from ..operators.search import nearest
+from ..operators.selection import percentiles
+from ..sources.scratch import new_path
 from ..sources.tables import table
 
 
@@ -108,9 +110,9 @@ def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chats_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text of all turns for each conversation, in order."""
+    """A text of all turns for each conversation, in order; a null role or text is empty."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return c.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("chat"))
+    return c.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n").alias("chat"))
 
 
 def unpivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +175,34 @@ def leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def selected_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of prices by return flag, and of all rows as one group."""
+    li, f = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), [0.1, 0.5, 0.99]
+    whole = percentiles(li, [], "l_extendedprice", f, "price").select(F.lit("all").alias("l_returnflag"), "fraction", "price")
+    return percentiles(li, ["l_returnflag"], "l_extendedprice", f, "price").unionAll(whole).withColumn("price", F.round("price", 6))
+
+
+#: Days of a span, relative error of distinct counts and of ranks that are promised for stored sketches.
+SPAN_DAYS, USERS_OFF, RANK_OFF = 7, 0.05, 0.03
+
+
+def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each day, written once; every span of seven days from unions of seven of them, held against exact counts."""
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "user_id", "value")
+    path = new_path(spark, "sketches")
+    e.groupBy("day").agg(F.hll_sketch_agg("user_id", 14).alias("users"), F.kll_sketch_agg_double("value").alias("spread")).write.parquet(path)
+    daily = spark.read.schema("day date, users binary, spread binary").parquet(path)
+    spans = F.explode(F.sequence("day", F.date_add("day", SPAN_DAYS - 1))).alias("last")
+    unions = daily.select(spans, "users", "spread").groupBy("last").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("estimate"), F.kll_merge_agg_double("spread").alias("spread"))
+    unions = unions.join(daily.select(F.col("day").alias("last")), "last").select("last", "estimate", F.kll_sketch_get_quantile_double("spread", F.lit(0.5)).alias("middle"))
+    # the exact side, which reads the events again
+    exact = e.select(spans, "user_id", "value").join(unions, "last").groupBy("last", "estimate", "middle")
+    exact = exact.agg(F.count_distinct("user_id").alias("users"), (F.count_if(F.col("value") <= F.col("middle")) / F.count("value")).alias("rank"), F.avg(F.when(F.col("value") == F.col("middle"), 1).otherwise(0)).alias("ties"))
+    near = F.abs(F.col("estimate") - F.col("users")) <= USERS_OFF * F.col("users")
+    half = (F.col("rank") >= 0.5 - RANK_OFF) & (F.col("rank") - F.col("ties") <= 0.5 + RANK_OFF)
+    return exact.select(F.col("last").cast("timestamp_ntz").alias("last"), "users", near.alias("users_near"), half.alias("middle_near"))
+
+
 def approx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact number of users beside the estimate, which is to be within three times its error of 0.01."""
     n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.01).alias("estimate"))
@@ -214,6 +244,8 @@ QUERIES = {
     "a4_approx_distinct": (approx_users, "select event_type, count(distinct user_id) as users, true as close from events group by 1"),
     "a5_moments": ("select p_brand, round(stddev(p_retailprice), 6) as sd, round(variance(p_retailprice), 6) as var from part group by p_brand", None),
     "a5_corr": ("select round(corr(l_quantity, l_extendedprice), 6) as r from lineitem", None),
+    "a4_stored_sketches": (stored_sketches, "with d as (select distinct cast(cast(ts as date) as timestamp) as last from events) select last, count(distinct user_id) as users, true as users_near, true as middle_near from d join events on ts >= last - interval 6 days and ts < last + interval 1 day group by last"),
+    "a6_selection": (selected_percentiles, " union all ".join(f"select {g} as l_returnflag, cast({f} as double) as fraction, round(quantile_cont(l_extendedprice, {f}), 6) as price from lineitem group by 1" for g in ("l_returnflag", "'all'") for f in (0.1, 0.5, 0.99))),
     "a6_percentiles": ("select p_type, median(p_retailprice) as med, percentile_cont(0.9) within group (order by p_retailprice) as p90 from part group by p_type", None),
     "a7_max_by": ("select user_id, max_by(event_id, value) as best, min_by(event_id, value) as worst from (select user_id, min(event_id) as event_id, value from events group by user_id, value) e group by user_id", None),
     "a7_mode": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.mode("event_type", True).alias("usual")), "select user_id, event_type as usual from (select user_id, event_type, row_number() over (partition by user_id order by count(*) desc, event_type) as r from events group by user_id, event_type) where r = 1"),
@@ -266,5 +298,5 @@ QUERIES = {
     "v5_links": (links, r"""select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, array_to_string(regexp_extract_all(html, 'href="([^"]*)"', 1), ' ') as links,
         trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from pages"""),
     "v6_source_quality": (source_quality, "select source, count(*) as n, cast(sum(quality) as bigint) as good from documents join labels using (doc_id) group by 1"),
-    "v7_conversations": (chats_assembled, "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn, role, text) as chat from conversations group by 1"),
+    "v7_conversations": (chats_assembled, "select conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn nulls first, role nulls first, text nulls first) as chat from conversations group by 1"),
 }

@@ -46,12 +46,12 @@ def collected(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(whole).parquet(path).drop("batch")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all there is."""
+def drained(stream: DataFrame, mode: str, progress: str | None = None) -> DataFrame:
+    """Runs the stream over all there is; ``progress`` is where its state stays."""
     spark = stream.sparkSession
     path = new_path(spark, "stream")
     spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")  # there may be no batch
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(sink(path, mode)).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", progress or new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(sink(path, mode)).start()
     query.awaitTermination()
     return collected(spark, path, stream.schema)
 
@@ -61,9 +61,11 @@ def file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(*size: str):
+    """Update mode: a batch writes the windows it has changed, of which the last count holds; state goes behind the watermark."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = events(spark, sf_dir).groupBy(F.window("ts", *size), "event_type").agg(F.count("*").alias("n"))
-        return drained(n, "complete").select(F.col("window.start").cast(NTZ).alias("start"), "event_type", "n")
+        n = events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", *size), "event_type").agg(F.count("*").alias("n"))
+        return drained(n, "update").groupBy(F.col("window.start").cast(NTZ).alias("start"), "event_type").agg(F.max("n").alias("n"))
 
     return run
 
@@ -80,9 +82,24 @@ def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(n, "append").select(F.col("window.start").cast(NTZ).alias("start"), "n")
 
 
+#: How late a repeated event may come; what is known of older ones goes.
+LATE = "2 days"
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = events(spark, sf_dir).select("event_id", "ts").unionByName(events(spark, sf_dir).select("event_id", "ts"))
+    return both.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select("event_id", "ts")
-    return drained(e.unionByName(events(spark, sf_dir).select("event_id", "ts")).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"]), "append").select("event_id")
+    return drained(_twice(spark, sf_dir), "append").select("event_id")
+
+
+def dedup_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What deduplication still knows at the end of the stream, read from its state store."""
+    progress = new_path(spark, "progress")
+    drained(_twice(spark, sf_dir), "append", progress)
+    return spark.read.format("statestore").load(progress).select(F.col("key.event_id").alias("event_id"))
 
 
 def static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +109,8 @@ def static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with the same user's clicks of the hour before; state is bounded by the watermarks."""
-    p = events(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("bought")).withWatermark("bought", "40 days")
-    c = events(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("who"), F.col("ts").alias("clicked")).withWatermark("clicked", "40 days")
+    p = events(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("bought")).withWatermark("bought", "2 hours")
+    c = events(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("who"), F.col("ts").alias("clicked")).withWatermark("clicked", "2 hours")
     return drained(p.join(c, F.expr("user_id = who and clicked between bought - interval 1 hour and bought")), "append").select("purchase", "click")
 
 
@@ -132,6 +149,53 @@ def processor_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(out, "update").groupBy("user_id").agg(F.max("n").alias("n"))
 
 
+class Idle(StatefulProcessor):
+    """A user's events, told and forgotten once event time has passed the last one by ``HOURS``."""
+
+    HOURS = 6
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "n bigint, until bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, until = self.seen.get() if self.seen.exists() else (0, 0)
+        if until:
+            self.handle.deleteTimer(until)
+        for r in rows:
+            n, until = n + len(r), max(until, int(r["ms"].max()) + self.HOURS * 3_600_000)
+        self.seen.update((n, until))
+        self.handle.registerTimer(until)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, _ = self.seen.get()
+        self.seen.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def _idle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """What timers have told, and where the state of the others is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events(own, sf_dir).withWatermark("ts", "1 hour").select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    progress = new_path(spark, "progress")
+    return drained(rows.groupBy("user_id").transformWithStateInPandas(Idle(), "user_id bigint, n bigint", "Append", "EventTime"), "append", progress), progress
+
+
+def idle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who have done nothing for six hours, with the number of their events, told by an event-time timer."""
+    return _idle(spark, sf_dir)[0]
+
+
+def users_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The others: users that are still in the state store when the stream has ended."""
+    _, progress = _idle(spark, sf_dir)
+    return spark.read.format("statestore").option("stateVarName", "seen").load(progress).select(F.col("key.user_id").alias("user_id"), F.col("value.n").alias("n"))
+
+
 def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sink of our own: totals of each micro-batch, under the batch's id, so that a batch run again replaces itself."""
     path = new_path(spark, "totals")
@@ -166,6 +230,9 @@ QUERIES = {
     "t3_sessions": (sessions, "select user_id, min(ts) as start, count(*) as n from (select user_id, ts, sum(new) over (partition by user_id order by ts) as s from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events)) group by user_id, s having max(ts) + interval 30 minutes <= (select max(ts) from events) - interval 1 hour"),
     "t4_watermark": (closed_windows, "select time_bucket(interval 1 day, ts) as start, count(*) as n from events group by 1 having time_bucket(interval 1 day, min(ts)) + interval 1 day <= (select max(ts) from events) - interval 1 hour"),
     "t5_dedup": (deduplicated, "select event_id from events"),
+    "t5_state_left": (dedup_state, "select event_id from events where ts + interval 2 days > (select max(ts) from events) - interval 2 days"),
+    "t7_timers": (idle_users, "select user_id, count(*) as n from events group by 1 having max(ts) + interval 6 hours <= (select max(ts) from events) - interval 1 hour"),
+    "t7_state_left": (users_in_state, "select user_id, count(*) as n from events group by 1 having max(ts) + interval 6 hours > (select max(ts) from events) - interval 1 hour"),
     "t6_keyed_state": (keyed_state, "select user_id, count(*) as n, max(value) as best from events group by 1"),
     "t7_processor": (processor_state, "select user_id, count(*) as n from events group by 1"),
     "t8_stream_static": (static_join, "select event_id, c_mktsegment from events join customer on user_id = c_custkey"),

@@ -11,9 +11,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.operators import joins
+from millrace.operators import joins, search, selection
 from millrace.operators.joins import asof_join, range_join, salted_join
-from millrace.operators.search import nearest
 from millrace.sources.tables import table
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -45,6 +44,49 @@ def test_range(spark, points, spans):
     assert got == sorted((i, j) for i, x in enumerate(points) for j, (a, n) in enumerate(spans) if a <= x <= a + n)
 
 
+@pytest.mark.parametrize("bin_rows", [1 << 16, 5])
+def test_range_join_of_bursts_and_long_spans(spark, monkeypatch, bin_rows):
+    monkeypatch.setattr(joins, "BIN_ROWS", bin_rows)
+    points = [(k, 1000 + k % 3) for k in range(60)] + [(k, k * 997 - 20_000) for k in range(100, 160)] + [(200, None), (201, -(1 << 62)), (202, 1 << 62)]
+    spans = [(0, 999, 1001), (1, -(1 << 40), 1 << 40), (2, 1002, 1002), (3, 5, 4), (4, None, 9), (5, -20_000, 30_000), (6, -7, 8), (7, 1001, 1001), (8, -(1 << 61), 1 << 61), (9, 1 << 62, 1 << 62)]
+    p, s = spark.createDataFrame(points, "i bigint, x bigint"), spark.createDataFrame(spans, "j int, a bigint, z bigint")
+    for width in (1, 7, 1 << 20):
+        got = sorted((r["i"], r["j"]) for r in range_join(p, s, "x", "a", "z", width).collect())
+        assert got == sorted((i, j) for i, x in points for j, a, z in spans if None not in (x, a, z) and a <= x <= z)
+    assert range_join(p, s.limit(0), "x", "a", "z").count() == 0
+    if bin_rows == 5:  # a burst is dealt out: no key has more than a few of its points
+        most = p.withColumn("h", F.pmod(F.xxhash64("i", "x"), F.lit(6))).where("x between 1000 and 1002").groupBy("h", "x").count().agg(F.max("count")).first()[0]
+        assert most < 20
+
+
+@pytest.mark.parametrize(("bins", "rows"), [(1024, 1 << 16), (4, 3), (2, 0), (16, 10)])
+def test_percentiles_by_sorting(spark, monkeypatch, bins, rows):
+    monkeypatch.setattr(selection, "BINS", bins)
+    monkeypatch.setattr(selection, "SORT_ROWS", rows)
+    monkeypatch.setattr(selection, "PASSES", 70)
+    rng = np.random.default_rng(1)
+    data = [("a", float(v)) for v in rng.normal(size=200)] + [("ties", float(v)) for v in rng.integers(0, 3, 90)] + [("one", 5.0), ("two", -1e300), ("two", 1e300), (None, 1.0), (None, 2.0), ("gone", None)]
+    data += [("close", float(np.nextafter(1.0, 2.0) if k % 2 else 1.0)) for k in range(30)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(3)
+    fractions = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["k"], r["fraction"]): r["value"] for r in selection.percentiles(df, ["k"], "v", fractions).collect()}
+    groups = {k: np.array([v for q, v in data if q == k and v is not None]) for k in ("a", "ties", "one", "two", "close", None)}
+    assert got == {(k, f): pytest.approx(np.quantile(v, f), rel=1e-12) for k, v in groups.items() for f in fractions}
+    whole = {r["fraction"]: r["p"] for r in selection.percentiles(df.where("k = 'a'"), [], "v", [0.3], "p").collect()}
+    assert whole == {0.3: pytest.approx(np.quantile(groups["a"], 0.3))}
+    assert selection.percentiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+    with pytest.raises(ValueError, match="finite"):
+        selection.percentiles(spark.createDataFrame([(float("nan"),)], "v double"), [], "v", [0.5])
+
+
+def test_null_turns_stay_in_chats(spark, tmp_path):
+    from millrace.plans.relational import chats_assembled
+
+    rows = [(1, 0, "user", None), (1, 1, None, "b"), (1, 2, "user", "c")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["chat"] for r in chats_assembled(spark, f"file://{tmp_path}").collect()] == ["user: \n: b\nuser: c"]
+
+
 def test_salted_join(spark, monkeypatch):
     a = spark.createDataFrame([(1, k) for k in range(200)] + [(2, 7), (2, 7), (None, 3)], "key int, v int")
     b = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (3, "n"), (None, "no")], "key int, w string")
@@ -74,24 +116,46 @@ def test_asof_buckets_follow_the_fullest_day(spark, monkeypatch):
     assert all(r["out"] == min((r["t"] - T0).seconds // 3600, 2) for r in asof_join(a, b, "k", "t", "v", "out").collect())
 
 
-@pytest.mark.parametrize(("metric", "numbers"), [("cosine", 1 << 18), ("dot", 30)])
-def test_nearest_by_brute_force(spark, monkeypatch, metric, numbers):
-    monkeypatch.setattr("millrace.operators.search.BLOCK_NUMBERS", numbers)
+def plain_nearest(x, ids, queries, k, metric):
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+    out = {}
+    for q in queries:
+        s = np.round(u @ u[q], 9)
+        s[ids == ids[q]] = -np.inf
+        out[int(ids[q])] = ids[np.lexsort((ids, -s))[:k]].tolist()
+    return out
+
+
+@pytest.mark.parametrize(("metric", "cell", "part", "block"), [("cosine", 2048, 8192, 4096), ("cosine", 10, 7, 2), ("dot", 6, 3, 100), ("dot", 2048, 20, 3)])
+def test_nearest_by_brute_force(spark, monkeypatch, metric, cell, part, block):
+    for name, value in (("CELL_ROWS", cell), ("PART_ROWS", part), ("BLOCK_QUERIES", block)):
+        monkeypatch.setattr(search, name, value)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(90, 6))
     x[40:50] = x[3]  # ties
     x[60] = 0
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(200, None), (201, [1.0]), (202, [None] * 6)], "id bigint, v array<double>").repartition(4)
-    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
     got = {}
-    for r in nearest(df, df.where("id % 10 = 0"), "id", "v", 5, metric).collect():
-        got.setdefault(r["query"], {})[r["rank"]] = r["id"]
-    for q in range(0, 90, 10):
-        s = np.round(u @ u[q], 9)
-        s[q] = -np.inf
-        assert [got[q][k] for k in range(1, 6)] == np.lexsort((np.arange(90), -s))[:5].tolist()
-    assert set(got) == set(range(0, 90, 10))
-    assert nearest(df.limit(0), df.limit(0), "id", "v").count() == 0
+    for r in sorted(search.nearest(df, df.where("id % 10 = 0").unionAll(df.where("id = 10")), "id", "v", 5, metric).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query"], []).append(r["id"])
+    assert got == plain_nearest(x, np.arange(90), range(0, 90, 10), 5, metric)
+    assert search.nearest(df.limit(0), df.limit(0), "id", "v").count() == 0 and search.nearest(df.limit(0), df, "id", "v").count() == 0
+
+
+def test_cells_are_passed_over_where_vectors_cluster(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELL_ROWS", 50)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)) * 0.05
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, v array<double>").repartition(3)
+    asked = df.where("id % 20 = 0")
+    for metric in ("cosine", "dot"):
+        s = search.search(df, asked, "id", "v", metric)
+        got = {}
+        for r in sorted(s.nearest(asked, "id", "v", 4).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query"], []).append(r["id"])
+        assert got == plain_nearest(x, np.arange(3000), range(0, 3000, 20), 4, metric)
+        assert s.share() < (0.15 if metric == "cosine" else 0.6)
 
 
 def test_sample_and_checksums(spark, sf):
