@@ -139,7 +139,19 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("BEGIN DECLARE total BIGINT DEFAULT 0; DECLARE i INT DEFAULT 1; WHILE i <= 10 DO SET total = total + i; SET i = i + 1; END WHILE; SELECT total; END")
+    """A script over the orders: a variable, a loop that lowers it, and a query with it."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql("""
+        begin
+          declare most bigint;
+          declare steps int default 0;
+          set most = (select max(n) from (select count(*) as n from orders group by o_custkey));
+          while steps < 1 do
+            set most = most - 1;
+            set steps = steps + 1;
+          end while;
+          select o_custkey, count(*) as n from orders group by o_custkey having count(*) >= most;
+        end""")
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,8 +289,8 @@ QUERIES = {
     "u4_intersect": (set_operation("intersect", ("customer", "c_nationkey"), ("region", "r_regionkey")), "select c_nationkey as k from customer intersect select r_regionkey from region"),
     "u4_except_all": (set_operation("exceptAll", ("customer", "c_nationkey"), ("supplier", "s_nationkey")), "select c_nationkey as k from customer except all select s_nationkey from supplier"),
     "q1_correlated": ("select o_orderkey, (select max(l_extendedprice) from lineitem where l_orderkey = o_orderkey) as dearest from orders", None),
-    "q2_recursive": ("with recursive t(n, f) as (select cast(1 as bigint), cast(1 as bigint) union all select n + 1, f * (n + 1) from t where n < 15) select n, f from t", None),
-    "q3_scripting": (scripted, "select cast(55 as bigint) as total"),
+    "q2_recursive": ("with recursive r(conv_id, turn, chars) as (select conv_id, turn, cast(length(text) as bigint) from conversations where turn = 0 union all select c.conv_id, c.turn, r.chars + cast(length(c.text) as bigint) from r join conversations c on c.conv_id = r.conv_id and c.turn = r.turn + 1) select conv_id, turn, chars from r", None),
+    "q3_scripting": (scripted, "with c as (select o_custkey, count(*) as n from orders group by 1) select o_custkey, n from c where n >= (select max(n) from c) - 1"),
     "x1_strings": ("select p_partkey, cast(length(p_name) as bigint) as len, upper(p_name) as up, lpad(p_brand, 12, '*') as pad, replace(p_type, 'A', 'a') as rep, trim('  x ') as t, substring(p_name, 2, 3) as sub, cast(levenshtein(p_name, p_type) as bigint) as lev, md5(p_name) as md, split(p_name, ' ')[0] as first_word, concat(p_brand, '/', p_type) as both from part", "select p_partkey, length(p_name) as len, upper(p_name) as up, lpad(p_brand, 12, '*') as pad, replace(p_type, 'A', 'a') as rep, trim('  x ') as t, substring(p_name, 2, 3) as sub, levenshtein(p_name, p_type) as lev, md5(p_name) as md, split_part(p_name, ' ', 1) as first_word, concat(p_brand, '/', p_type) as both from part"),
     "x2_regex": (r"select doc_id, regexp_replace(text, '[aeiou]', '*') as masked, regexp_extract(text, '[A-Z][a-z]+', 0) as name from documents", r"select doc_id, regexp_replace(text, '[aeiou]', '*', 'g') as masked, regexp_extract(text, '[A-Z][a-z]+') as name from documents"),
     "x3_dates": ("select o_orderkey, cast(date_trunc('month', o_orderdate) as timestamp_ntz) as m, cast(extract(year from o_orderdate) as bigint) as y, cast(o_orderdate as date) as d, o_orderdate + interval 3 days as later, cast(datediff(date '2002-01-01', cast(o_orderdate as date)) as bigint) as days from orders", "select o_orderkey, cast(date_trunc('month', o_orderdate) as timestamp) as m, extract(year from o_orderdate) as y, cast(o_orderdate as date) as d, o_orderdate + interval 3 days as later, datediff('day', cast(o_orderdate as date), date '2002-01-01') as days from orders"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,35 +53,42 @@ def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(orders.schema).parquet(path).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-class Squares(DataSource):
-    """Numbers from 0 up to option ``rows``, with their squares, in partitions of a thousand."""
+class Calendar(DataSource):
+    """Days from option ``first`` to option ``last`` (ISO), with their week, in partitions of ``STEP`` days."""
 
     @classmethod
     def name(cls) -> str:
-        return "squares"
+        return "calendar"
 
     def schema(self) -> str:
-        return "n bigint, square bigint"
+        return "day date, week int"
 
     def reader(self, schema) -> DataSourceReader:
-        return SquaresReader(int(self.options.get("rows", 1000)))
+        return CalendarReader(date.fromisoformat(self.options["first"]), date.fromisoformat(self.options["last"]))
 
 
-class SquaresReader(DataSourceReader):
-    def __init__(self, rows: int):
-        self.rows = rows
+class CalendarReader(DataSourceReader):
+    STEP = 366
+
+    def __init__(self, first: date, last: date):
+        self.first, self.last = first.toordinal(), last.toordinal()
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(a) for a in range(0, max(self.rows, 1), 1000)]
+        return [InputPartition(a) for a in range(self.first, self.last + 1, self.STEP)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for n in range(partition.value, min(partition.value + 1000, self.rows)):
-            yield n, n * n
+        for n in range(partition.value, min(partition.value + self.STEP, self.last + 1)):
+            day = date.fromordinal(n)
+            yield day, day.isocalendar().week
 
 
 def custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(Squares)
-    return spark.read.format("squares").option("rows", 2500).load()
+    """Orders of every day of the table's span, from a source of days; days without any count 0."""
+    spark.dataSource.register(Calendar)
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    first, last = o.agg(F.min("day"), F.max("day")).first()
+    days = spark.read.format("calendar").option("first", str(first)).option("last", str(last)).load()
+    return days.join(o.groupBy("day").agg(F.count("*").alias("n")), "day", "left").select(F.col("day").cast("timestamp_ntz").alias("day"), "week", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 QUERIES = {
@@ -90,5 +98,5 @@ QUERIES = {
     "s3_orc": (orc, "select * from customer where c_acctbal > 9000"),
     "s3_text": (text, "select r_name from region"),
     "s4_partitioned_write": (partitioned, "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'F'"),
-    "s5_custom_source": (custom, "select n, n * n as square from range(2500) t(n)"),
+    "s5_custom_source": (custom, "with o as (select cast(o_orderdate as date) as day, count(*) as n from orders group by 1), d as (select unnest(generate_series((select min(day) from o), (select max(day) from o), interval 1 day)) as day) select cast(d.day as timestamp) as day, cast(weekofyear(d.day) as integer) as week, coalesce(n, 0) as n from d left join o on o.day = d.day"),
 }
