@@ -332,7 +332,7 @@ class Lookup:
         return out, np.concatenate(asked), np.concatenate(keys), np.concatenate(kinds)
 
 
-EVIDENCE = "row bigint, id {kind}, x0 double, x1 double, x2 double, n bigint, times array<int>, ratio array<double>, word array<int>, form_kind array<int>, key array<bigint>, run_sum array<double>, run_words array<int>"
+EVIDENCE = "row bigint, id {kind}, x0 double, x1 double, x2 double, n bigint, times array<int>, ratio array<float>, form array<int>, key array<bigint>, near array<float>, near_word array<int>"
 
 
 def _lists(values: np.ndarray, of: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -345,8 +345,9 @@ def evidence(look: Lookup, ids: pa.Array, blk: Block, row: int) -> pa.RecordBatc
 
     x0: sum of the known ratios; x1, x2: best run and best word among those that are known
     whole.  n: words.  times, ratio: occurrences of each open word, and its ratio if the others have
-    none of its forms.  word, form_kind, key: forms to ask for.  run_sum, run_words: known sum and
-    ``RUN`` places of open words (-1: none) of each run that has one.
+    none of its forms.  form, key: forms to ask for, word * 8 + kind.  near, near_word: the words from
+    which a run may reach an open one or that it may reach, one stretch after the other, as their
+    ratio or the number of the open word (-1: known; -2: the stretch before has ended).
     """
     s, e, first = blk.words()
     n = np.diff(first)
@@ -378,17 +379,25 @@ def evidence(look: Lookup, ids: pa.Array, blk: Block, row: int) -> pa.RecordBatc
     runs = np.flatnonzero(has_open)
     at = np.full(len(r) + RUN, -1, np.int64)
     at[open_] = place[own]
-    words = np.stack([np.where(runs + j < to[runs], at[runs + j], -1) for j in range(RUN)], 1)
+    near = np.zeros(len(r) + RUN, bool)  # the words of runs that have an open one
+    for j in range(RUN):
+        near[np.minimum(runs + j, to[runs] - 1)] = True
+    near = np.flatnonzero(near)
+    apart = np.append(True, (np.diff(near) > 1) | (np.diff(doc[near]) > 0)) if len(near) else np.zeros(0, bool)
+    # a mark before each stretch but the first of a text; the text's end is one by itself
+    inner = np.flatnonzero(apart & np.append(False, np.diff(doc[near]) == 0)) if len(near) else apart
+    near_doc = np.insert(doc[near], inner, doc[near[inner]]) if len(near) else doc[near]
+    near_word, near_ratio = np.insert(at[near], inner, -2), np.insert(known[near], inner, 0.0)
     best_run = segment_reduce(np.maximum, np.where(has_open, -np.inf, sums / RUN), first, 0.0)
     best_word = segment_reduce(np.maximum, np.where(is_open, -np.inf, r), first, 0.0)
     x = np.where(waits[:, None], np.column_stack([segment_sum(known, first), best_run, best_word]), x)
     cols = [
         pa.array(row + np.arange(blk.n)), ids, *(pa.array(x[:, k]) for k in range(3)), pa.array(n, mask=~waits),
-        _lists(np.bincount(own, minlength=len(one)), word_doc, blk.n, pa.int32()), _lists(ratio, word_doc, blk.n, pa.float64()),
-        _lists(place[asked], word_doc[asked], blk.n, pa.int32()), _lists(kinds, word_doc[asked], blk.n, pa.int32()), _lists(keys.view(np.int64), word_doc[asked], blk.n, pa.int64()),
-        _lists(sums[runs], doc[runs], blk.n, pa.float64()), _lists(words.ravel(), np.repeat(doc[runs], RUN), blk.n, pa.int32()),
+        _lists(np.bincount(own, minlength=len(one)), word_doc, blk.n, pa.int32()), _lists(ratio.astype(np.float32), word_doc, blk.n, pa.float32()),
+        _lists(place[asked] * 8 + kinds, word_doc[asked], blk.n, pa.int32()), _lists(keys.view(np.int64), word_doc[asked], blk.n, pa.int64()),
+        _lists(near_ratio.astype(np.float32), near_doc, blk.n, pa.float32()), _lists(near_word, near_doc, blk.n, pa.int32()),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["row", "id", "x0", "x1", "x2", "n", "times", "ratio", "word", "form_kind", "key", "run_sum", "run_words"])
+    return pa.RecordBatch.from_arrays(cols, names=["row", "id", "x0", "x1", "x2", "n", "times", "ratio", "form", "key", "near", "near_word"])
 
 
 def _flat(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -402,19 +411,28 @@ def concluded(b: pa.RecordBatch, steps: np.ndarray) -> np.ndarray:
     ratio, words = _flat(b.column("ratio"))
     times, _ = _flat(b.column("times"))
     told, bounds = _flat(b.column("told"))
-    w = ratio.to_numpy().copy()
-    word = words[np.repeat(np.arange(b.num_rows), np.diff(bounds))] + told.field("word").to_numpy()
-    kind = told.field("form_kind").to_numpy()
+    w = ratio.to_numpy().astype(float)
+    form = told.field("form").to_numpy()
+    word, kind = words[np.repeat(np.arange(b.num_rows), np.diff(bounds))] + (form >> 3), form & 7
     value = told.field("ratio").to_numpy() + np.append(0, np.cumsum(steps))[kind]
     order = np.lexsort((-kind, word))  # the longest form comes last and counts
     w[word[order]] = value[order]
-    sums, runs = _flat(b.column("run_sum"))
-    of, _ = _flat(b.column("run_words"))
-    of, base = of.to_numpy().reshape(-1, RUN), words[np.repeat(np.arange(b.num_rows), np.diff(runs))]
-    run = (sums.to_numpy() + np.where(of >= 0, w[np.maximum(base[:, None] + of, 0)], 0).sum(1)) / RUN
+    near, places = _flat(b.column("near"))
+    of, _ = _flat(b.column("near_word"))
+    near, of = near.to_numpy().astype(float), of.to_numpy()
+    base = words[np.repeat(np.arange(b.num_rows), np.diff(places))]
+    near[of >= 0] = w[(base + of)[of >= 0]]
+    # runs end with their stretch; one that the stretch cuts short has no open word and doesn't count
+    end = np.zeros(len(of) + 1, bool)
+    end[:-1] = of == -2
+    end[places] = True
+    stop = np.flatnonzero(end)
+    to = np.minimum(np.arange(len(of)) + RUN, stop[np.searchsorted(stop, np.arange(len(of)), "right")]) if len(of) else np.zeros(0, np.int64)
+    c, c_open = np.append(0, np.cumsum(near)), np.append(0, np.cumsum(of >= 0))
+    run = np.where((c_open[to] > c_open[:-1]) & (of != -2), (c[to] - c[:-1]) / RUN, -np.inf)
     x0, x1, x2 = (b.column(f"x{k}").to_numpy() for k in range(3))
     total = x0 + segment_sum(w * times.to_numpy(), words)
-    return np.column_stack([total / b.column("n").to_numpy(), np.maximum(x1, segment_reduce(np.maximum, run, runs, -np.inf)), np.maximum(x2, segment_reduce(np.maximum, w, words, -np.inf))])
+    return np.column_stack([total / b.column("n").to_numpy(), np.maximum(x1, segment_reduce(np.maximum, run, places, -np.inf)), np.maximum(x2, segment_reduce(np.maximum, w, words, -np.inf))])
 
 
 def held_of(model: Model) -> tuple[Held, DataFrame | None]:
@@ -471,9 +489,9 @@ def measured(docs: DataFrame, model: Model, finish, kind: str, schema: str) -> D
 
     read = written(arrow_map(docs, first, EVIDENCE.format(kind=kind)), "evidence")
     wait = read.where(F.col("n").isNotNull())
-    asked = wait.select("row", F.explode(F.arrays_zip("word", "form_kind", "key")).alias("a")).select("row", "a.*")
-    told = asked.join(others, "key").groupBy("row").agg(F.collect_list(F.struct("word", "form_kind", "ratio")).alias("told"))  # of one text
-    rest = wait.drop("word", "form_kind", "key").join(told, "row", "left")
+    asked = wait.select("row", F.explode(F.arrays_zip("form", "key")).alias("a")).select("row", "a.*")
+    told = asked.join(others, "key").groupBy("row").agg(F.collect_list(F.struct("form", "ratio")).alias("told"))  # of one text
+    rest = wait.drop("form", "key").join(told, "row", "left")
     return arrow_map(read.where(F.col("n").isNull()).select("id", "x0", "x1", "x2"), done, schema).unionAll(arrow_map(rest, second, schema))
 
 

@@ -265,6 +265,41 @@ def test_regression_of_the_three_differences():
     assert got == pytest.approx(np.append(w[0] - slopes @ x.mean(0), slopes), rel=1e-4)
 
 
+def test_evidence_of_texts_with_few_open_words():
+    """Concluded features against those of all ratios, with open words far apart, side by side and at the ends."""
+    rng = np.random.default_rng(12)
+    for share in (0.0, 0.03, 0.3, 0.9):
+        texts = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(n)) for n in (1, 2, 3, 60, 200, 0, 7)]
+        blk = op2_toxicity.expressions(block(texts))
+        blk = blk.with_data(block(texts).data)  # keep the digits, so that there are 400 words
+        s, e, first = blk.words()
+        h = blk.hash_spans(s, e)
+        is_open = (op2_toxicity.mix(h) % np.uint64(1000)) < np.uint64(int(share * 1000))
+        value = rng.normal(size=1 << 12)[(op2_toxicity.mix(h + np.uint64(1)) % np.uint64(1 << 12)).astype(int)]
+
+        class Look:
+            held = None
+
+            def ratios(self, b):
+                return np.where(is_open, np.nan, value)
+
+            def resolved(self, b, s1, e1):
+                k = np.arange(len(s1))
+                return np.full(len(k), 9.0), k, op2_toxicity.key_of(b, s1, e1, 0), np.zeros(len(k), np.int64)
+
+        got = op2_toxicity.evidence(Look(), pa.array(range(len(texts))), blk, 0)
+        known = {int(k): float(v) for k, v in zip(op2_toxicity.key_of(blk, s, e, 0).view(np.int64), value, strict=True)}
+        told = pa.array([[{"form": f, "ratio": known[k]} for f, k in zip(fs, ks, strict=True)] for fs, ks in zip(got.column("form").to_pylist(), got.column("key").to_pylist(), strict=True)], pa.list_(pa.struct([("form", pa.int32()), ("ratio", pa.float64())])))
+        waits = np.array([n is not None for n in got.column("n").to_pylist()])
+        assert waits.tolist() == [bool(is_open[a:z].any()) for a, z in zip(first[:-1], first[1:], strict=True)]
+        want = op2_toxicity.features(blk, value)
+        x = np.column_stack([got.column(f"x{k}").to_numpy() for k in range(3)])
+        assert np.allclose(x[~waits], want[~waits])
+        rest = got.append_column("told", told).filter(pa.array(waits))
+        if rest.num_rows:
+            assert np.allclose(op2_toxicity.concluded(rest, np.zeros(5)), want[waits], atol=1e-5)
+
+
 # -- 3: chats -----------------------------------------------------------------------------
 
 
