@@ -82,6 +82,14 @@ def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("o_orderstatus").pivot("p", ["urgent", "low"]).agg(F.count("o_orderkey")).na.fill(0)
 
 
+def dearest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two dearest orders of each customer, by a lateral join."""
+    # no projection between order and limit: Spark would rank without the order there, and take whatever rows the shuffle brings first
+    o = table(spark, sf_dir, "orders").where(F.col("o_custkey") == F.col("c_custkey").outer())
+    two = o.orderBy(F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")).limit(2)
+    return table(spark, sf_dir, "customer").lateralJoin(two).select("c_custkey", "o_orderkey")
+
+
 def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
     return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r <= 3").select("user_id", "event_id", "r")
@@ -247,7 +255,7 @@ QUERIES = {
     "j8_theta": ("select r_regionkey, n_nationkey from region join nation on r_regionkey < n_regionkey", None),
     "j9_range": (range_bins, "select e.event_id as error, o.event_id from events e join events o on epoch_us(o.ts) between epoch_us(e.ts) and epoch_us(e.ts) + 60000000 where e.event_type = 'error'"),
     "j10_asof": (asof, "select p.event_id, c.event_id as last_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts"),
-    "j11_lateral": ("select c_custkey, o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 2)", None),
+    "j11_lateral": (dearest_orders, "select c_custkey, o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 2)"),
     "j12_star": (star, "select c_mktsegment, cast(sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2)))) as double) as revenue, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where o_orderstatus = 'O' group by 1"),
     "j13_salted": (salted, "select s_nationkey, count(*) as n, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as price from lineitem join supplier on l_suppkey = s_suppkey group by 1"),
     "a1_group": ("select l_returnflag, cast(sum(cast(l_quantity as decimal(18,2))) as double) as qty, count(*) as n, min(l_shipdate) as first_ship, max(l_tax) as max_tax, round(avg(l_discount), 6) as avg_discount from lineitem group by l_returnflag", None),

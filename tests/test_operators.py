@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 import zlib
 
 import numpy as np
@@ -116,6 +117,19 @@ def test_asof_buckets_follow_the_fullest_day(spark, monkeypatch):
     assert all(r["out"] == min((r["t"] - T0).seconds // 3600, 2) for r in asof_join(a, b, "k", "t", "v", "out").collect())
 
 
+def test_lateral_ranks_by_its_order(spark, tmp_path):
+    """The rows are those of the order, however a shuffle deals them; null keys come last, as in DuckDB."""
+    from millrace import catalog
+
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(None, 1, 5.0), (10, 1, 5.0), (11, 1, 5.0), (12, 1, None), (20, 2, 1.0), (21, 2, 9.0), (22, 2, 3.0)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.queries()["j11_lateral"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(1, 10), (1, 11), (2, 21), (2, 22)}
+    ranks = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number() windowspecdefinition" in line]
+    assert ranks and all(re.search(r"windowspecdefinition\(o_custkey#\d+L?, o_totalprice#\d+ DESC NULLS LAST, o_orderkey#\d+L? ASC NULLS LAST", line) for line in ranks)
+
+
 def plain_nearest(x, ids, queries, k, metric):
     u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
     out = {}
