@@ -7,13 +7,15 @@ vectors of length 1), so a cell whose bound is below the k-th best score that a
 can't change its result:
 
 1. each query looks at the cells of highest bound that have k rows together,
-2. then at all others whose bound reaches the k-th best score found there.
-
-Nothing else is passed over, so the result is that of all rows.  Queries that are near each other
-share a block, and a block meets a part of a cell in one matrix product, by Spark's cogroup; blocks
-and parts are bounded, whatever the number of queries and rows in a cell.  A window ranks
-the k rows that each product leaves for a query.  How much is passed over depends on the data: evenly
-spread vectors of many dimensions have no cells worth the name, and then all rows are met.
+2. then at all whose bound reaches the k-th best score found there.
+
+Nothing else is passed over, so the result is that of all rows.  Rows of a cell are packed, a part of
+it to a row of a table, and so are queries that are near each other, a block to a row.  Blocks meet the parts
+that they want in a Cartesian product, which reads both tables again and shuffles neither; a
+task has one block at a time, scores it against the parts of its partition as matrix products, and
+gives k rows at most for each query when the block ends.  A window ranks those.  How much is passed
+over depends on the data: evenly spread vectors of many dimensions have no cells worth the name, and
+then all rows are met; what is written still is no more than both tables and k rows for each query and task.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from ..sources.scratch import new_path
 
 #: Rows that centres are fitted on, and centres, at most; rows for each centre, about.
 SAMPLE, CENTRES, CELL_ROWS = 1 << 15, 4096, 2048
-#: Rows of a part of a cell, and queries of a block, about.
-PART_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Rows of a part of a cell, and queries of a block, at most; bytes of either's vectors (of one vector at least).
+PART_ROWS, BLOCK_QUERIES, PACK_BYTES = 8192, 4096, 1 << 19
 #: Places after the point to which scores are compared, so that two ways to sum rank alike.
 PLACES = 9
+#: Bytes of an Arrow batch, about.
+ARROW_BYTES = 1 << 23
 _SLACK = 10.0**-PLACES
 
 
@@ -52,8 +56,15 @@ def _prepared(col: pa.Array, dim: int, metric: str) -> tuple[np.ndarray, np.ndar
     return (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300) if metric == "cosine" else x), at
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+def _binary(x: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    step = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * step), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _stacked(col: pa.Array, dim: int) -> np.ndarray:
+    """The matrix of such rows."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(-1, dim)
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -97,68 +108,166 @@ class Cells:
         return out & (bounds > -np.inf)
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
+def _written(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Packs are read as they lie, so that the size of a file tells what a task holds.
+_PLAIN = {"compression": "none", "parquet.enable.dictionary": "false"}
+
+
 def cells(rows: DataFrame, id_col: str, vector: str, dim: int, metric: str = "cosine") -> tuple[Cells, DataFrame]:
-    """Cells, and the rows with vectors of ``dim`` numbers by cell (written): cell, turn, id, vector."""
-    slim = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector")).where(F.size("vector") == dim)
+    """Cells, and the rows with vectors of ``dim`` numbers packed by cell (written): cell, n, ids, vectors, far."""
+    slim = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") == dim))
     total = slim.count()
     h = F.pmod(F.xxhash64("vector"), F.lit(1 << 30))
     near = slim.where(h < int((1 << 30) * min(1.0, 2.0 * SAMPLE / max(total, 1)))).select("vector").orderBy(h).limit(SAMPLE) if total > SAMPLE else slim.select("vector")
     sample, _ = _prepared(near.toArrow().column("vector"), dim, metric)  # SAMPLE rows at most
     centres = fit_centres(sample, min(CENTRES, max(1, total // CELL_ROWS))) if len(sample) else np.zeros((1, dim))
+    most = max(1, min(PART_ROWS, PACK_BYTES // (8 * dim)))
 
     def assign(batches: Iterator[pa.RecordBatch]):
-        turn = 0
         for b in batches:
             x, at = _prepared(b.column("vector"), dim, metric)
-            if not len(at):
-                continue
-            d = _squares(x, centres)
-            own = d.argmin(1)
-            far = np.sqrt(((x - centres[own]) ** 2).sum(1))
-            yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(turn + np.arange(len(at))), b.column("id").take(pa.array(at)), _lists(x), pa.array(far)], names=["cell", "turn", "id", "vector", "far"])
-            turn += len(at)
-
-    placed = _written(slim.mapInArrow(assign, "cell int, turn bigint, id bigint, vector array<double>, far double"), "cells")
+            for a in range(0, len(at), 4096):
+                y = x[a : a + 4096]
+                own = _squares(y, centres).argmin(1)
+                far = np.sqrt(((y - centres[own]) ** 2).sum(1))
+                yield pa.record_batch([pa.array(own.astype(np.int32)), b.column("id").take(pa.array(at[a : a + 4096])), _binary(y), pa.array(far)], names=["cell", "id", "vector", "far"])
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        held, n, of = [], 0, -1
+
+        def out():
+            t = pa.concat_tables(held)
+            return pa.record_batch([pa.array([of], pa.int32()), pa.array([n], pa.int32()), pa.array([t.column("id").to_numpy().tobytes()]), pa.array([b"".join(t.column("vector").to_pylist())]), pa.array([t.column("far").to_numpy().max()])], names=["cell", "n", "ids", "vectors", "far"])
+
+        for b in batches:
+            cell, a = b.column("cell").to_numpy(), 0
+            ends = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell))
+            while a < len(cell):
+                if n and (cell[a] != of or n == most):
+                    yield out()
+                    held, n = [], 0
+                of = int(cell[a])
+                upto = min(int(ends[np.searchsorted(ends, a, "right")]), a + most - n)
+                held.append(pa.Table.from_batches([b.slice(a, upto - a)]))
+                n, a = n + upto - a, upto
+        if n:
+            yield out()
+
+    placed = slim.mapInArrow(assign, "cell int, id bigint, vector binary, far double").repartitionByRange("cell", "id").sortWithinPartitions("cell", "id")
+    packed = _written(placed.mapInArrow(pack, "cell int, n int, ids binary, vectors binary, far double"), "cells", **_PLAIN)
     radius, count = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
-    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # CENTRES at most
+    for r in packed.groupBy("cell").agg(F.max("far").alias("far"), F.sum("n").alias("n")).collect():  # CENTRES at most
         radius[r["cell"]], count[r["cell"]] = r["far"], r["n"]
-    return Cells(centres, radius, count, metric), placed.drop("far")
-
-
-def _met(of: Cells, rows: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """query, id, score: the k best rows of each query among the cells that its block looks at, and more of them."""
-    spark = queries.sparkSession
-    parts = np.maximum(-(-of.count // PART_ROWS), 1)
-    sizes = spark.createDataFrame([(int(c), int(p)) for c, p in enumerate(parts)], "cell int, parts int")
-    pairs = pairs.join(F.broadcast(sizes), "cell")  # CENTRES rows at most
-    key = ["own", "block", "cell", "part"]
-    asked = queries.join(pairs, ["own", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "id", "vector")
-    there = rows.join(pairs, "cell").select("own", "block", "cell", F.pmod(F.col("turn"), F.col("parts")).cast("int").alias("part"), "id", "vector")
+    return Cells(centres, radius, count, metric), packed
+
+
+def _wanted(of: Cells, x: np.ndarray, least: np.ndarray, k: int, first: bool) -> np.ndarray:
+    """Which cells each query looks at."""
+    out = np.zeros((len(x), len(of.centres)), bool)
+    for a in range(0, len(x), 512):
+        bounds = of.bounds(x[a : a + 512])
+        out[a : a + 512] = of.first(bounds, k) if first else (bounds >= _below(least[a : a + 512, None])) & (bounds > -np.inf)
+    return out
+
+
+def _below(score: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(score), score - _SLACK * (1 + np.abs(np.where(np.isfinite(score), score, 0))), score)
+
+
+def _blocks(of: Cells, queries: DataFrame, k: int, first: bool) -> DataFrame:
+    """Queries (own, id, vector, least) packed (written): ids, vectors, leasts, cells that some query wants, pairs that will be scored."""
     dim = of.centres.shape[1]
+    most = max(1, min(BLOCK_QUERIES, 2 * PACK_BYTES // (8 * dim)))
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        held = None
 
-    def product(q: pa.Table, x: pa.Table) -> pa.Table:
-        out = []
-        if q.num_rows and x.num_rows:
-            a, _ = _matrix(q.column("vector"), dim)
-            b, _ = _matrix(x.column("vector"), dim)
-            ids, own = q.column("id").to_numpy(), x.column("id").to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), 256):
-                for me, row in zip(ids[at : at + 256], np.round(a[at : at + 256] @ b.T, PLACES), strict=True):
-                    row = np.where(own == me, -np.inf, row)
-                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    near = np.flatnonzero((row >= least) & (row > -np.inf))  # ties included
-                    near = near[np.lexsort((own[near], -row[near]))[:k]]
-                    out.append((np.full(len(near), me), own[near], row[near]))
-        cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float))]
-        return pa.table([pa.array(c) for c in cols], names=["query", "id", "score"])
-
-    return asked.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(product, "query bigint, id bigint, score double")
+        def out(t: pa.Table):
+            x, least = _stacked(t.column("vector"), dim), t.column("least").to_numpy()
+            want = _wanted(of, x, least, k, first)
+            cols = [pa.array([v.tobytes()]) for v in (t.column("id").to_numpy(), x, least)]
+            near = pa.array([np.flatnonzero(want.any(0)).astype(np.int32)], pa.list_(pa.int32()))
+            return pa.record_batch([*cols, near, pa.array([int((want @ of.count).sum())])], names=["ids", "vectors", "leasts", "cells", "scored"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            while held.num_rows >= most:
+                yield out(held.slice(0, most))
+                held = held.slice(most)
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    near = queries.repartitionByRange("own", "id").sortWithinPartitions("own", "id").select("id", "vector", "least")
+    return _written(near.mapInArrow(pack, "ids binary, vectors binary, leasts binary, cells array<int>, scored bigint"), "blocks", **_PLAIN)
+
+
+class _Best:
+    """The k best rows of each query of a block so far."""
+
+    def __init__(self, of: Cells, ids: bytes, vectors: bytes, leasts: bytes, k: int, first: bool):
+        self.ids, self.least, self.k = np.frombuffer(ids, np.int64), np.frombuffer(leasts, np.float64).copy(), k
+        self.x = np.frombuffer(vectors, np.float64).reshape(len(self.ids), -1)
+        self.want, self.order, self.held = _wanted(of, self.x, self.least, k, first), np.argsort(self.ids), []
+
+    def meet(self, cell: int, ids: np.ndarray, x: np.ndarray) -> None:
+        me = np.flatnonzero(self.want[:, cell])
+        if not len(me):
+            return
+        s = self.x[me] @ x.T
+        at = np.searchsorted(self.ids, ids, sorter=self.order)
+        own = self.order[np.minimum(at, len(self.ids) - 1)]
+        there = np.searchsorted(me, own)
+        same = np.flatnonzero((self.ids[own] == ids) & (me[np.minimum(there, len(me) - 1)] == own))
+        s[there[same], same] = -np.inf
+        least = self.least[me]
+        if len(ids) > self.k and not np.isfinite(least).all():
+            least = np.maximum(least, np.partition(s, len(ids) - self.k, 1)[:, len(ids) - self.k])
+        q, r = np.nonzero((s >= _below(least)[:, None]) & (s > -np.inf))  # ties included
+        self.held.append((me[q], ids[r], np.round(s[q, r], PLACES)))
+        if sum(len(h[0]) for h in self.held) > 4 * self.k * len(self.ids):
+            self.kept()
+
+    def kept(self) -> tuple[np.ndarray, ...]:
+        q, ids, score = (np.concatenate([h[c] for h in self.held]) if self.held else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float)))
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.least[q[rank == self.k - 1]] = score[rank == self.k - 1]
+        self.held = [tuple(v[rank < self.k] for v in (q, ids, score))]
+        return self.held[0]
+
+
+def _found(of: Cells, packed: DataFrame, blocks: DataFrame, k: int, first: bool) -> DataFrame:
+    """query, id, score: the k best rows of each query among the cells that it looks at, for each task."""
+
+    def product(batches: Iterator[pa.RecordBatch]):
+        best = key = None
+
+        def out():
+            q, ids, score = best.kept()
+            return pa.record_batch([pa.array(best.ids[q]), pa.array(ids), pa.array(score)], names=["query", "id", "score"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = b.column("ids")[i].as_py()
+                if ids != key:
+                    if best is not None:
+                        yield out()
+                    best, key = _Best(of, ids, b.column("vectors")[i].as_py(), b.column("leasts")[i].as_py(), k, first), ids
+                row = np.frombuffer(b.column("row_ids")[i].as_py(), np.int64)
+                best.meet(b.column("cell")[i].as_py(), row, np.frombuffer(b.column("row_vectors")[i].as_py(), np.float64).reshape(len(row), -1))
+        if best is not None:
+            yield out()
+
+    parts = packed.select("cell", F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"))
+    met = blocks.drop("scored").join(parts.hint("shuffle_replicate_nl"), F.array_contains("cells", F.col("cell"))).drop("cells")
+    return met.mapInArrow(product, "query bigint, id bigint, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -170,10 +279,14 @@ class Search:
     """Queries against cells; ``share`` tells which part of all (query, row) pairs was scored."""
 
     def __init__(self, of: Cells, rows: DataFrame):
-        self.of, self.rows, self.pairs = of, rows, []
+        self.of, self.rows, self.blocks = of, rows, []
 
     def nearest(self, queries: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
         of, dim = self.of, self.of.centres.shape[1]
+        limit, conf = "spark.sql.execution.arrow.maxBytesPerBatch", queries.sparkSession.conf
+        now = conf.get(limit, None)
+        if now is None or not now.isdigit() or int(now) > ARROW_BYTES:
+            conf.set(limit, str(ARROW_BYTES))  # a row of the product has three packs; the plan reads this when it runs
         q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") == dim))
         q = q.groupBy("id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
 
@@ -181,54 +294,20 @@ class Search:
             for b in batches:
                 x, at = _prepared(b.column("vector"), dim, of.metric)
                 if len(at):
-                    yield pa.record_batch([pa.array(_squares(x, of.centres).argmin(1).astype(np.int32)), b.column("id").take(pa.array(at)), _lists(x)], names=["own", "id", "vector"])
-
-        q = _written(q.mapInArrow(own, "own int, id bigint, vector array<double>"), "queries")
-        blocks = np.ones(len(of.centres), np.int64)
-        for r in q.groupBy("own").agg(F.count("*").alias("n")).collect():  # CENTRES at most
-            blocks[r["own"]] = -(-r["n"] // BLOCK_QUERIES)
-        numbers = q.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(blocks)], "own int, blocks int")
-        q = q.join(F.broadcast(numbers), "own").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("own", "block", "id", "vector")
-        self.queries = q
-
-        first = _written(_top(_met(of, self.rows, q, self._wanted(q.withColumn("least", F.lit(None).cast("double")), k, True), k), k), "first")
-        least = first.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-np.inf).alias("least"))
-        rest = q.join(least, "id", "left").select("own", "block", "id", "vector", F.coalesce("least", F.lit(-np.inf)).alias("least"))
-        more = _met(of, self.rows, q, self._wanted(rest, k, False), k)
-        return _top(first.select("query", "id", "score").unionAll(more), k)
-
-    def _wanted(self, q: DataFrame, k: int, first: bool) -> DataFrame:
-        """own, block, cell: the cells that some query of a block must look at."""
-        of, dim = self.of, self.of.centres.shape[1]
+                    yield pa.record_batch([pa.array(_squares(x, of.centres).argmin(1).astype(np.int32)), b.column("id").take(pa.array(at)), _binary(x)], names=["own", "id", "vector"])
 
-        def look(batches: Iterator[pa.RecordBatch]):
-            for b in batches:
-                x, at = _matrix(b.column("vector"), dim)
-                if not len(at):
-                    continue
-                for a in range(0, len(at), 512):
-                    bounds = of.bounds(x[a : a + 512])
-                    want = of.first(bounds, k)
-                    if not first:
-                        want = ~want & (bounds >= b.column("least").to_numpy()[a : a + 512, None] - _SLACK) & (bounds > -np.inf)
-                    row, cell = np.nonzero(want)
-                    own, block = b.column("own").to_numpy()[a : a + 512][row], b.column("block").to_numpy()[a : a + 512][row]
-                    one = np.unique(np.stack([own, block, cell.astype(np.int32)]), axis=1)
-                    yield pa.record_batch([pa.array(c) for c in one], names=["own", "block", "cell"])
-
-        pairs = _written(q.mapInArrow(look, "own int, block int, cell int").distinct(), "pairs")
-        if not first:  # what the block has looked at already
-            pairs = pairs.join(self.pairs[0], ["own", "block", "cell"], "left_anti")
-        self.pairs.append(pairs)
-        return pairs
+        q = _written(q.mapInArrow(own, "own int, id bigint, vector binary"), "queries")
+        look = _blocks(of, q.withColumn("least", F.lit(float("-inf"))), k, True)
+        first = _top(_found(of, self.rows, look, k, True), k)
+        least = _written(first.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least")), "least")
+        every = _blocks(of, q.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), k, False)
+        self.queries, self.blocks = q, [look, every]
+        return _top(_found(of, self.rows, every, k, False), k)
 
     def share(self) -> float:
-        """Scored pairs of a query and a row, divided by all of them."""
-        spark = self.queries.sparkSession
-        size = self.queries.groupBy("own", "block").agg(F.count("*").alias("n"))
-        rows = spark.createDataFrame([(c, int(n)) for c, n in enumerate(self.of.count)], "cell int, rows bigint")
-        met = sum(p.join(size, ["own", "block"]).join(F.broadcast(rows), "cell").agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0 for p in self.pairs)
-        return met / max(self.queries.count() * int(self.of.count.sum()), 1)
+        """Scored pairs of a query and a row, divided by all of them; what is looked at first is scored twice and counts twice."""
+        scored = sum(b.agg(F.sum("scored")).first()[0] or 0 for b in self.blocks)
+        return scored / max(self.queries.count() * int(self.of.count.sum()), 1)
 
 
 def search(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, metric: str = "cosine") -> Search:
@@ -242,6 +321,6 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: in
     ``metric``: cosine or dot.  Ties go to the lesser id.  Null vectors, and those of another
     length than the first query's or with nulls, have no neighbours and are none; the
     cosine with a zero vector is 0.  Rows of repeated ids are rows like others; of queries of
-    one id one is asked, and a null id asks nothing.
+    one id one is asked, and a null id asks nothing and is found by none.
     """
     return search(rows, queries, id_col, vector, metric).nearest(queries, id_col, vector, k)

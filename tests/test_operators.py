@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import re
 import zlib
 
@@ -172,6 +173,22 @@ def test_cells_are_passed_over_where_vectors_cluster(spark, monkeypatch):
         assert s.share() < (0.15 if metric == "cosine" else 0.6)
 
 
+def test_search_shuffles_no_row_for_each_block(spark, monkeypatch):
+    """Evenly spread vectors, of which nothing is passed over: what is shuffled stays within a few times the vectors; rows without id are found by none."""
+    monkeypatch.setattr(search, "CELL_ROWS", 20)
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    on_disk = lambda: {f: os.path.getsize(f) for d in dirs for at, _, names in os.walk(d) for n in names if os.path.exists(f := os.path.join(at, n))}
+    x = np.random.default_rng(6).normal(size=(2000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(None, x[0].tolist())], "id bigint, v array<double>").repartition(3)
+    asked, before = df.where("id % 20 = 0"), on_disk()
+    s = search.search(df, asked, "id", "v")
+    got = {}
+    for r in sorted(s.nearest(asked, "id", "v", 4).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query"], []).append(r["id"])
+    assert got == plain_nearest(x, np.arange(2000), range(0, 2000, 20), 4, "cosine")
+    assert sum(n for f, n in on_disk().items() if f not in before) < 10 * x.nbytes
+
+
 def test_sample_and_checksums(spark, sf):
     import xxhash
 
